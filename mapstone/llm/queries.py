@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .common import table
+from . import mixing
 from .exact_dedup import exact_dedup
+from .packing import best_fit_pack
+from .records import tokens_to_records
 from .simhash import near_dedup
 
 
@@ -11,13 +14,26 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_records(spark, sf_dir):
+    return tokens_to_records(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup)}
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_token_records, op6_simhash_near_dedup, op7_source_mixing, op8_best_fit_packing)}
 
 SQL = {
+    "op7_source_mixing": mixing.sql(),
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
