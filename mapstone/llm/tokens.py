@@ -21,6 +21,13 @@ _JOINED = re.compile(r"[.,](?:(?<![^\W_][.,])|(?=[^\w\s\0]|_))")
 _LOADED: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The visible character by which byte-level vocabularies write each byte."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers."""
 
@@ -40,8 +47,14 @@ class Encoder:
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and "\\s" in str(norm):
             self.mode = "words"
         self.cache: dict[str, bytes] = {}
+        byte = _byte_letters()
+        self.letters = {ord(" "): "\u0120"} | {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 0x250) if chr(c).isalpha()}
 
     def _ids(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " and self.mode == "spaced" else piece
+        if word.isalpha() and max(word) < "\u0250" and (self.mode == "spaced" or self.mode == "words" and word == word.lower()):
+            # letters alone are one pre-token in normal form: the library's merge step is all that is left to do
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))]).tobytes()
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, w: str) -> bytes:
