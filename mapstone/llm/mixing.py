@@ -28,7 +28,7 @@ from .common import materialize
 LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 NONE = "(none)"
-PER_BUCKET = 50_000
+PER_BUCKET = 2_000
 
 
 def default_domain(source: Column) -> Column:
@@ -80,12 +80,12 @@ def _fill(children: DataFrame, parent: list[str], level: str) -> DataFrame:
 def budgets(rows: DataFrame, weights: dict, total_share: float, max_epochs: int) -> DataFrame:
     """domain, lang, source, supply, docs, budget of every leaf."""
     leaf = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("docs")), "leaves")
-    total = leaf.agg(F.floor(F.sum("supply") * F.lit(total_share)).cast("long").alias("budget"))
+    total = leaf.agg(F.floor(F.sum("supply") * F.lit(total_share)).cast("long")).first()[0] or 0
     shares = None
     for k, level in enumerate(LEVELS):
         keys = LEVELS[: k + 1]
         nodes = leaf.groupBy(*keys).agg((F.sum("supply") * max_epochs).alias("cap")).withColumn("weight", _weight(level, weights))
-        nodes = nodes.crossJoin(F.broadcast(total)) if shares is None else nodes.join(shares, LEVELS[:k])  # total is one row
+        nodes = nodes.withColumn("budget", F.lit(total).cast("long")) if shares is None else nodes.join(shares, LEVELS[:k])
         parent = LEVELS[:k] or [F.lit(0)]
         shares = _fill(nodes, parent, level).select(*keys, F.col("share").alias("budget"))
     return materialize(leaf.join(shares, LEVELS, "left").na.fill({"budget": 0}), "budgets")
