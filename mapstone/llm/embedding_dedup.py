@@ -76,7 +76,7 @@ class Index:
         self.words = [_kmeans(res[:, p], max(1, min(256, len(u) // 4)), 6, rng) for p in self.parts]
         self.margin = self.radius * min(1.0, PROBE_Z / math.sqrt(d))
         diff = self.centroids[:, None] - self.centroids[None] if lists <= 512 else None
-        self.between = np.sqrt((diff**2).sum(2)) if diff is not None else np.sqrt(np.maximum(0, self._square(self.centroids)))
+        self.between = (np.sqrt((diff**2).sum(2)) if diff is not None else np.sqrt(np.maximum(0, self._square(self.centroids)))).astype(np.float32)
         share = np.bincount(at, minlength=len(self.centroids)) / len(u) * expected
         self.blocks = np.maximum(1, np.ceil(share / SHARD)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.blocks)])
@@ -107,15 +107,14 @@ class Index:
 
     def links(self, lst: int, q: np.ndarray, codes: np.ndarray, error: np.ndarray, v: np.ndarray):
         """Pairs (query, stored) with cosine at least the bound; q and v are unit vectors in double."""
-        res = (q - self.centroids[lst]).astype(np.float32)
-        tables = [((res[:, p][:, None] - w[None]) ** 2).sum(2) for p, w in zip(self.parts, self.words, strict=True)]
-        far = ((self.radius + error) * (1 + 1e-5) + 1e-6) ** 2
-        step = max(1, 2_000_000 // max(1, len(v)))
+        far = (((self.radius + error) * (1 + 1e-5) + 1e-5) ** 2).astype(np.float32)[:, None]
+        step = max(64, 1_000_000 // max(1, len(v)))
         for a in range(0, len(q), step):
-            d = np.zeros((len(res[a : a + step]), len(v)), np.float32)
-            for k, t in enumerate(tables):
-                d += t[a : a + step][:, codes[:, k]]
-            i, j = np.nonzero(d <= far)
+            res = (q[a : a + step] - self.centroids[lst]).astype(np.float32)
+            d = np.broadcast_to((res * res).sum(1), (len(v), len(res))).copy()
+            for k, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
+                d += ((w * w).sum(1)[:, None] - 2 * w @ res[:, p].T)[codes[:, k]]  # a codeword's row holds all queries
+            j, i = np.nonzero(d <= far)
             for b in range(0, len(i), 100_000):
                 x, y = i[b : b + 100_000] + a, j[b : b + 100_000]
                 ok = np.einsum("ij,ij->i", q[x], v[y]) >= self.cosine
