@@ -237,11 +237,19 @@ def features(blocks: list[Node], root: Node) -> np.ndarray:
     return out
 
 
+def _edges(v: np.ndarray) -> np.ndarray:
+    """Cuts between all values if there are few (rare flags must be seen), else between quantiles."""
+    u = np.unique(v)
+    if len(u) > BINS:
+        u = np.unique(np.quantile(v, np.linspace(0, 1, BINS + 1)))
+    return ((u[1:] + u[:-1]) / 2).astype(np.float32)
+
+
 class Boosted:
     """Gradient boosting of complete trees on binned features, with logistic loss."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]).astype(np.float32)) for j in range(x.shape[1])]
+        self.edges = [_edges(x[:, j]) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1)
         self.bias = float(np.log((w * y).sum() / (w * (1 - y)).sum()))
         z = np.full(len(y), self.bias)
@@ -483,15 +491,19 @@ class Maker:
             text = f"<main{k}>{text}</main>"
         elif style < 0.9:
             text = f'<div {r.choice(["class", "id"])}="{r.choice(["content", "post-content", "entry-content", "article-body", "story", "main", "text"])}"{k}>{text}</div>'
-        else:
+        elif style < 0.95:
             text = f"<div{k}>{text}</div>"
         if r.random() < 0.3:
             text = f"<{r.choice(['main', 'section', 'div'])}{k}>{text}" + "".join(self.junk() for _ in range(r.randint(0, 2)))
         before = [self.menu()] + ([self.edge(False)] if r.random() < 0.6 else []) + [self.junk() for _ in range(r.choice([0, 1, 1, 2]))]
         after = [self.junk() for _ in range(r.choice([0, 0, 1, 2, 3]))] + ([self.edge(True)] if r.random() < 0.9 else [])
         r.shuffle(before)
-        if r.random() < 0.15:
+        if r.random() < 0.2:
             before = []
+        if r.random() < 0.2:
+            after = []
+        if r.random() < 0.06:  # no page around it
+            return "".join(before[:1]) + text + "".join(after[:1])
         ends = r.choice(["</body></html>", "</body></html>", ""])
         return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body{k}>{''.join(before)}{text}{''.join(after)}{ends}"
 
