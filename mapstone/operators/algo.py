@@ -104,7 +104,7 @@ def impact_depths(nodes: DataFrame, edges: DataFrame, start: str, most: int = MA
     hops = reverse_hops(nodes, edges)
     if hops.count() <= kernel_edges:
 
-        def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             ids, depths, cut = _bfs(pdf, start, most)
             return pd.DataFrame({"id": ids, "depth": depths, "truncated": [cut] * len(ids)})
 
@@ -170,7 +170,7 @@ def dependency_cycles(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> Dat
     if deps.count() > kernel_edges:
         return _cycles_loop(deps)
 
-    def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(c[0], m) for c in _components(pdf) for m in c], columns=["cycle", "member"])
 
     return deps.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "cycle string, member string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import node_id_col
 from ..schema import NODE_KINDS, Graph, edges_of, nodes_of
-from .algo import pagerank
+from .algo import checkpointed, pagerank
 
 #: What counts as fan: both ends of these kinds, and only the target of package imports. Fixed values.
 FAN_BOTH = ("imports", "depends_on", "maps_to", "fk")
@@ -83,24 +83,22 @@ def depends_on(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def first_wins(edges: list[DataFrame]) -> DataFrame:
-    """Union of edge tables; of edges with one identity that of the earliest table stays."""
-    tagged = [e.withColumn("__order", F.lit(k)) for k, e in enumerate(edges)]
-    all_ = tagged[0]
-    for e in tagged[1:]:
-        all_ = all_.unionByName(e)
-    one = all_.withColumn("__rn", F.row_number().over(Window.partitionBy("id").orderBy("__order"))).where("__rn = 1")
-    return one.drop("__order", "__rn")
+    """Union of edge tables, each without repeats; of edges with one identity that of the earliest table stays."""
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e.join(out.select("id"), "id", "left_anti").select(*out.columns))
+    return out
 
 
 def manual_edges(edges: DataFrame, manual: DataFrame) -> DataFrame:
     """Edges of the configuration (kind, src, dst, reason): they replace extracted ones of the same identity."""
     own = edges_of(manual.select("kind", "src", "dst", "reason", F.lit("manual").alias("source"), F.lit("certain").alias("confidence")))
-    return first_wins([own, edges])
+    return first_wins([own.dropDuplicates(["id"]), edges])
 
 
 def with_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds derived module dependencies; a derived one replaces a manual one of the same identity."""
-    return first_wins([depends_on(nodes, edges), edges])
+    """Adds derived module dependencies; a derived one replaces a manual one of the same identity. Other kinds pass through."""
+    return edges.where("kind <> 'depends_on'").unionByName(first_wins([depends_on(nodes, edges), edges.where("kind = 'depends_on'")]))
 
 
 def fan_metrics(edges: DataFrame) -> DataFrame:
@@ -126,7 +124,8 @@ def rollup(nodes: DataFrame) -> DataFrame:
 
 
 def with_metrics(graph: Graph, rank: DataFrame | None = None) -> Graph:
-    """Fan, PageRank of files, and module sums attached to the nodes."""
+    """Fan, PageRank of files, and module sums attached to the nodes. Edges are read several times, so they are stored first."""
+    graph = Graph(checkpointed(graph.nodes), checkpointed(graph.edges))
     rank = pagerank(graph.nodes, graph.edges) if rank is None else rank
     base = graph.nodes.drop("fan_in", "fan_out", "rank")
     own = base.join(fan_metrics(graph.edges), "id", "left").join(rank.select("id", "rank"), "id", "left")

@@ -81,9 +81,8 @@ def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_nam
     if cfg.edges:
         edges = build.manual_edges(edges, spark.createDataFrame([(e["kind"], e["src"], e["dst"], e.get("reason")) for e in cfg.edges], "kind string, src string, dst string, reason string"))
     nodes, edges = checkpointed(nodes), checkpointed(edges)
-    edges = checkpointed(build.with_dependencies(nodes, edges))
-    g = build.with_metrics(Graph(nodes, edges))
-    return Graph(checkpointed(g.nodes), edges)
+    g = build.with_metrics(Graph(nodes, build.with_dependencies(nodes, edges)))
+    return Graph(checkpointed(g.nodes), g.edges)
 
 
 def python_roots(paths: list[str], configured: list[str]) -> list[str]:

@@ -93,7 +93,8 @@ def list_paths(root: str) -> list[str]:
 
 def local_tree(spark: SparkSession, root: str, gitignore: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """path, content of a local repository's sources and documents; contents are read by the tasks, not by the driver."""
-    paths = spark.createDataFrame([(p,) for p in list_paths(root)] or [("",)], "path string").where("path <> ''")
+    found = [(p,) for p in list_paths(root)]
+    paths = spark.createDataFrame(found, "path string")
     keep = paths.where(kept_path(F.col("path"), gitignore, exclude) & (is_source(F.col("path")) | F.lower("path").endswith(".md")))
 
     def run(batches):
@@ -101,5 +102,5 @@ def local_tree(spark: SparkSession, root: str, gitignore: list[str] | None = Non
             b["content"] = [Path(root, p).read_text(encoding="utf-8", errors="replace") for p in b["path"]]
             yield b
 
-    n = max(1, min(200, keep.count() // 50))
+    n = max(1, min(200, len(found) // 500))
     return keep.repartition(n).mapInPandas(run, "path string, content string")
