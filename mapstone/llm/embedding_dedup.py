@@ -7,17 +7,18 @@ distance exceeds the link radius by more than its own stored coding error can't
 its exact cosine in double precision.
 
 Sufficient probes: a list is probed if a link of the query could lie beyond the border to it. The exact bound on the
-distance to that border is the link radius; as a link's difference has a random direction towards any border, PROBE_Z
-standard deviations of its projection (radius * PROBE_Z / sqrt(dimension)) suffice, and in up to PROBE_Z^2 dimensions
-the bound is exact. Recall against brute force is measured in the tests.
+distance to that border is the link radius. A link's difference seldom points straight at a border, so the margin is
+the radius times the share of the vectors' spread within their lists that lies along that border's direction (its
+standard deviation), times a factor. The factor is measured on each table: PROBES sampled vectors are compared with
+all others, and it is the one at which FOUND of their links are met, PROBE_Z at least. Where it reaches the radius,
+the bound is exact.
 
 Equal vectors are one class with a weight. Lists are cut into shards of at most about SHARD stored classes. A class is
 stored in one shard and visits only later shards, so each pair meets at most once, and counts both ways. A shard
 returns link counts and a spanning forest, never the pairs. Centroids and codewords are trained on at most about
-SAMPLE vectors; every vector is indexed and queried.
+SAMPLE vectors; every vector is indexed and queried, among those of its own length.
 
-Defined results: a vector that is null, zero, holds null or non-finite components, or is not as long as most, links
-with nothing and is its own component; a null identifier takes part and is larger than any other; an empty table gives
+Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing and is its own component; a null identifier takes part and is larger than any other; an empty table gives
 an empty result; labels and other columns are not read.
 """
 
@@ -35,6 +36,7 @@ from .components import Forest, components
 from .simhash import balanced
 
 SAMPLE, SHARD, SUBSPACES, PROBE_Z = 20_000, 8_192, 8, 3.5
+PROBES, FOUND, LEAST_SPREAD, BIN = 2_000, 0.999, 1 / 64, 0.25
 NO_ID = 2**63 - 1
 
 
@@ -74,14 +76,34 @@ class Index:
         at = _nearest(u, self.centroids)
         res = u - self.centroids[at]
         self.words = [_kmeans(res[:, p], max(1, min(256, len(u) // 4)), 6, rng) for p in self.parts]
-        self.margin = self.radius * min(1.0, PROBE_Z / math.sqrt(d))
         diff = self.centroids[:, None] - self.centroids[None] if lists <= 512 else None
         self.between = (np.sqrt((diff**2).sum(2)) if diff is not None else np.sqrt(np.maximum(0, self._square(self.centroids)))).astype(np.float32)
+        cov = res.T @ res / len(u)
+        along = self.centroids @ cov @ self.centroids.T
+        along = np.diag(along)[:, None] + np.diag(along)[None] - 2 * along  # of the spread, by direction from list to list
+        scale = self.between.astype(np.float64) ** 2 * float(np.trace(cov))
+        self.spread = np.sqrt(np.clip(np.divide(along, scale, out=np.ones(scale.shape), where=scale > 1e-12), LEAST_SPREAD**2, 1)).astype(np.float32)
+        self.widen(PROBE_Z)
         share = np.bincount(at, minlength=len(self.centroids)) / len(u) * expected
         self.blocks = np.maximum(1, np.ceil(share / SHARD)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.blocks)])
         self.list_of = np.repeat(np.arange(len(self.blocks)), self.blocks)
 
+    def widen(self, z: float) -> None:
+        """Set the margins: z standard deviations, the link radius at most."""
+        self.width = (2 * self.radius * np.minimum(1, z * self.spread) * self.between * (1 + 1e-5) + 1e-5).astype(np.float32)
+
+    def needed(self, raw: np.ndarray, probes: np.ndarray) -> np.ndarray:
+        """How many links of the probes (unit vectors) with these vectors need a z in each bin of BIN."""
+        u = _unit(raw)
+        i, j = np.nonzero(u @ probes.T >= self.cosine)
+        du, dp = self._square(u[i].astype(np.float32)), self._square(probes[j].astype(np.float32))
+        a, b, k = du.argmin(1), dp.argmin(1), np.arange(len(i))
+        first = a <= b  # the vector of the earlier list is the one that visits
+        gap = np.where(first, du[k, b] - du[k, a], dp[k, a] - dp[k, b])
+        z = np.where(a == b, 0, gap / np.maximum(2 * self.radius * self.spread[a, b] * self.between[a, b], 1e-12))
+        return np.bincount((np.clip(z, 0, 1 / LEAST_SPREAD) / BIN).astype(int), minlength=int(1 / LEAST_SPREAD / BIN) + 1)
+
     def _square(self, x: np.ndarray) -> np.ndarray:
         c = self.centroids
         return (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T
@@ -97,7 +119,7 @@ class Index:
         error = np.sqrt(((res - coded) ** 2).sum(1))
         shard = self.first[own] + (ids * 2654435761 >> 7) % self.blocks[own]
         gap = dist - dist[np.arange(len(u)), own][:, None]
-        probe = gap <= 2 * self.margin * self.between[own]
+        probe = gap <= self.width[own]
         probe[np.arange(len(u)), own] = True
         i, lst = np.nonzero(probe)
         n = self.blocks[lst]
@@ -208,22 +230,51 @@ def _rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rows = _rows(vectors, vec_id, embedding)
-    usual = rows.where("key IS NOT NULL").groupBy(F.octet_length("key").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    alone = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    linked = rows.where(F.octet_length("key") == usual["size"])
+    size = F.octet_length("key")
+    sizes = [r["size"] for r in rows.where("key IS NOT NULL").groupBy(size.alias("size")).count().where("count > 1").orderBy("size").collect()]
+    alone = rows.where(F.col("key").isNull() | ~size.isin(sizes))
+    got = alone.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for k in sizes:
+        got = _linked(rows.where(size == k), k // 4, cosine).union(got)
+    return got
+
+
+def _factor(classes: DataFrame, index: Index, sample: np.ndarray) -> float:
+    """The z at which FOUND of the links of PROBES sampled vectors with all vectors are met."""
+    probes = _unit(sample[np.unique(np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int))])
+    held = classes.sparkSession.sparkContext.broadcast((index, probes))  # at most PROBES vectors
+
+    def run(batches):
+        index, probes = held.value
+        n = np.zeros(int(1 / LEAST_SPREAD / BIN) + 1, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                keys = b.column(0).slice(lo, 1000)
+                n += index.needed(np.frombuffer(b"".join(keys.to_pylist()), "<f4").reshape(len(keys), -1), probes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["bin", "n"])
+
+    n = np.zeros(int(1 / LEAST_SPREAD / BIN) + 1, np.int64)
+    for r in classes.select("key").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        n[r["bin"]] = r["n"]
+    n[0] -= len(probes)  # each with itself
+    return max(PROBE_Z, BIN * (1 + int(np.searchsorted(np.cumsum(n), FOUND * n.sum())))) if n.sum() > 0 else PROBE_Z
+
+
+def _linked(linked: DataFrame, length: int, cosine: float) -> DataFrame:
+    """The same for vectors of one length that can link."""
+    spark = linked.sparkSession
     least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "rid")).alias("least")
     classes = materialize(linked.groupBy("key").agg(F.count("*").alias("w"), least).withColumn("cid", F.monotonically_increasing_id()), "classes")
     n, p = classes.count(), partitions(spark)
     some = classes.select("key")
     if n > SAMPLE:
         some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    sample = np.frombuffer(b"".join(sorted(r[0] for r in some.collect())), "<f4").reshape(-1, usual["size"] // 4)  # bounded by SAMPLE
+    sample = np.frombuffer(b"".join(sorted(r[0] for r in some.collect())), "<f4").reshape(-1, length)  # bounded by SAMPLE
     index = Index(sample, n, cosine)
+    if len(index.centroids) > 1:
+        index.widen(_factor(classes, index, sample))
     _, _, shard, _, to = index.place(sample, np.arange(len(sample)))
     stored, visits = (np.bincount(x, minlength=len(index.list_of)).astype(float) for x in (shard, to))
     bins = balanced(stored * (stored + visits) + 0.05 * (stored + visits), p)
@@ -264,14 +315,12 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     per = per.select("cid", F.coalesce("root", "cid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "least")
     best = per.groupBy("root").agg(F.min("least").alias("best"))
     known = classes.select("cid", "key").join(per.join(best, "root").select("cid", "n_links", "best"), "cid").select("key", "n_links", "best")
-    got = linked.join(known, "key").select(
+    return linked.join(known, "key").select(
         F.col("id").alias("vec_id"),
         "n_links",
         F.nullif("best.id", F.lit(NO_ID)).alias("component_id"),
         F.when(F.col("id").isNull(), F.col("rid") == F.col("best.rid")).otherwise(F.col("id") == F.col("best.id")).alias("kept"),
     )
-    others = rows.where(F.col("key").isNull() | (F.octet_length("key") != usual["size"]))
-    return got.union(others.select(F.col("id").alias("vec_id"), F.lit(0).cast("long"), F.col("id").alias("component_id"), F.lit(True)))
 
 
 SQL = """
