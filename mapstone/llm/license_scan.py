@@ -1,7 +1,9 @@
 """License scans: a trained paragraph classifier, with template comparison to confirm. DataFrame and SQL functions only.
 
-A paragraph is a line of a text. Those that name one of CUES are candidates (no template lacks one, so by definition
-the others are not notices). A candidate's distinct word 1- to 3-grams meet the sparse weights of a multinomial logistic
+A paragraph is a line of a text, or a sentence that is wrapped over several lines: runs of lines up to a blank one are
+joined without comment signs and cut into sentences. Those that name one of CUES are candidates (no template lacks
+one, so by definition the others are not notices). A wrapped sentence stands for its lines if it is confirmed by a
+greater overlap than any of them, otherwise its lines stand. A candidate's distinct word 1- to 3-grams meet the sparse weights of a multinomial logistic
 regression over licence families and the class `unknown`; probabilities are scaled by a temperature fitted on held-back
 notices, so that `unknown` is calibrated. The predicted family is confirmed if enough of the word pairs of one of its
 templates are in the paragraph. A document gets its best confirmed paragraph and the list of its families.
@@ -30,6 +32,10 @@ from .common import materialize
 SEED, PER_TEMPLATE, CONFIRM, CERTAIN = 9, 40, 0.6, 0.5
 CUES = "licen[sc]|copyright|copyleft|public domain|rights reserved|warrant|permission|redistribut|creative commons|spdx"
 UNKNOWN = "unknown"
+#: What comments put around a line, and where a run of lines is cut: blank lines and ends of sentences. Marks (\x01 number
+#: \x02) tell where lines begin.
+SIGNS = r"^[ \t\r]*(?://+!?|/\*+|\*+/|\*+|#+|--+|;+|%+|<!--+|>+|\|+|\(\*|\{-|\.\.)?(?:[ \t\r]+|$)|^[ \t\r]*(?://+!?|/\*+|#+|--+|;+)|[ \t\r]*(?:\*+/|--+>|\*\)|-\}|\*+|#+)?[ \t\r]*$"
+CUTS = r"\n[ \t\r\n]*\n|(?<=[.!?])[ \t\r\n]+(?=(?:\x01[0-9]+\x02)?[\"'(\[]?[A-Z])"
 #: Short public notices by family. Fixed values.
 TEMPLATES = {
     "MIT": [
@@ -180,11 +186,22 @@ def _pairs(text: str) -> list[str]:
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One stored row for each paragraph that names a cue, and one (paragraph null) for each document without."""
+    """One stored row for each paragraph (lines paragraph to until) that names a cue, and one (paragraph null) for each document without."""
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
+    bare = F.transform("lines", lambda x: F.regexp_replace(F.translate(x, "\x01\x02", "  "), SIGNS, ""))
+    marked = F.transform(bare, lambda x, i: F.when(x == "", "").otherwise(F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), x)))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), lines.alias("lines"))
-    named = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda s: s["line"].rlike(f"(?i){CUES}"))
-    return materialize(own.select("id", "rid", F.explode_outer(named).alias("p")).select("id", "rid", "p.paragraph", "p.line"), "candidates")
+    plain = F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), i.alias("until"), x.alias("line")))
+    wrapped = F.filter(F.split(F.array_join(marked, "\n"), CUTS), lambda x: F.regexp_replace(x, "^\n+|\n+$", "").contains("\n"))
+
+    def sentence(x):
+        first = F.regexp_extract(x, "\x01([0-9]+)\x02", 1).cast("int")
+        last = F.regexp_extract(x, "(?s).*\x01([0-9]+)\x02", 1).cast("int")
+        starts = F.regexp_replace(x, "^\n+", "").startswith("\x01")
+        return F.struct((first - F.when(starts, 0).otherwise(1)).alias("paragraph"), last.alias("until"), F.regexp_replace(x, "\n?\x01[0-9]+\x02", " ").alias("line"))
+
+    named = F.filter(F.concat(plain, F.transform(wrapped, sentence)), lambda s: s["line"].rlike(f"(?i){CUES}"))
+    return materialize(own.select("id", "rid", F.explode_outer(named).alias("p")).select("id", "rid", "p.paragraph", "p.until", "p.line"), "candidates")
 
 
 def _grams(words):
@@ -197,38 +214,50 @@ def _grams(words):
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """rid, paragraph, family, probability, overlap, confirmed of every candidate paragraph."""
+    """rid, paragraph, until, family, probability, overlap, confirmed of every candidate paragraph."""
     spark, model = found.sparkSession, trained()
     families = model["families"]
     words = F.filter(F.transform(F.split(F.lower("line"), "[^a-z0-9.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-    own = found.where("paragraph IS NOT NULL").select("rid", "paragraph", words.alias("words"))
+    own = found.where("paragraph IS NOT NULL").select("rid", "paragraph", "until", words.alias("words"))
     columns = [f"w{k}" for k in range(len(families))]
     weights = spark.createDataFrame([(g, *ws) for g, ws in model["weights"].items()], "gram string, " + ", ".join(f"{c} double" for c in columns))
-    grams = own.select("rid", "paragraph", F.explode(_grams(F.col("words"))).alias("gram"))
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "paragraph").agg(*[F.sum(c).alias(c) for c in columns])  # as many weights as templates have n-grams
+    grams = own.select("rid", "paragraph", "until", F.explode(_grams(F.col("words"))).alias("gram"))
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "paragraph", "until").agg(*[F.sum(c).alias(c) for c in columns])  # as many weights as templates have n-grams
     z = F.array(*[F.round(F.col(c) + F.lit(b), 6) for c, b in zip(columns, model["bias"], strict=True)])
-    scored = sums.select("rid", "paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = sums.select("rid", "paragraph", "until", z.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.select(
         "rid",
         "paragraph",
+        "until",
         F.element_at(F.array(*map(F.lit, families)), F.array_position("z", F.col("top")).cast("int")).alias("guess"),
         (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"),
     )
     templates = spark.createDataFrame([(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts], "guess string, pairs array<string>")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, 2), " "))
-    both = scored.join(own.select("rid", "paragraph", F.array_distinct(pairs).alias("has")), ["rid", "paragraph"]).join(F.broadcast(templates), "guess", "left")
+    both = scored.join(own.select("rid", "paragraph", "until", F.array_distinct(pairs).alias("has")), ["rid", "paragraph", "until"]).join(F.broadcast(templates), "guess", "left")
     overlap = F.coalesce(F.size(F.array_intersect("has", "pairs")) / F.size("pairs"), F.lit(0.0))
-    both = both.groupBy("rid", "paragraph", "guess", "probability").agg(F.max(overlap).alias("overlap"))
+    both = both.groupBy("rid", "paragraph", "until", "guess", "probability").agg(F.max(overlap).alias("overlap"))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= CERTAIN) & (F.col("overlap") >= CONFIRM)
-    return both.select("rid", "paragraph", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"), sure.alias("confirmed"))
+    return both.select("rid", "paragraph", "until", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"), sure.alias("confirmed"))
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """The rows without confirmed lines that a wrapped sentence stands for, and without sentences that their lines stand for."""
+    long, sure = F.col("until") > F.col("paragraph"), F.col("confirmed")
+    lines = rows.where(sure & ~long).select("rid", F.col("paragraph").alias("at"), F.col("overlap").alias("own"))
+    over = rows.where(sure & long).select("rid", "paragraph", "until", "overlap", F.explode(F.sequence("paragraph", "until")).alias("at"))
+    over = over.join(lines, ["rid", "at"], "left").groupBy("rid", "paragraph", "until", "overlap").agg(F.max("own").alias("own"))
+    wins = F.col("own").isNull() | (F.col("overlap") > F.col("own"))
+    stood_for = over.where(wins).select("rid", F.explode(F.sequence("paragraph", "until")).alias("paragraph")).distinct().withColumn("until", F.col("paragraph"))
+    return rows.join(stood_for.union(over.where(~wins).select("rid", "paragraph", "until")), ["rid", "paragraph", "until"], "left_anti")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, family, probability, overlap, n_notices, n_candidates, families."""
     found = candidates(docs, text, doc_id)
-    rows = classify(found)
+    rows = _standing(materialize(classify(found), "classified"))
     best = rows.groupBy("rid").agg(
-        F.max_by(F.struct("family", "probability", "overlap"), F.struct("confirmed", "probability", -F.col("paragraph"))).alias("best"),
+        F.max_by(F.struct("family", "probability", "overlap"), F.struct("confirmed", "probability", -F.col("paragraph"), -F.col("until"))).alias("best"),
         F.sum(F.col("confirmed").cast("long")).alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
     )
@@ -244,10 +273,21 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     )
 
 
+def _paragraphs(text: str):
+    """First line, last line and text of every line and every wrapped sentence."""
+    lines = text.split("\n")
+    yield from ((k, k, x) for k, x in enumerate(lines))
+    bare = [re.sub(SIGNS, "", x.replace("\x01", " ").replace("\x02", " ")) for x in lines]
+    for x in re.split(CUTS, "\n".join(f"\x01{k}\x02{x}" if x else "" for k, x in enumerate(bare))):
+        if "\n" in x.strip("\n"):
+            at = [int(k) for k in re.findall("\x01([0-9]+)\x02", x)]
+            yield at[0] - (not x.lstrip("\n").startswith("\x01")), at[-1], re.sub("\n?\x01[0-9]+\x02", " ", x)
+
+
 def scan_text(text: str | None) -> dict:
     """The same by plain Python, for tests: one text."""
     model, out = trained(), []
-    for k, line in enumerate((text or "").split("\n")):
+    for k, until, line in _paragraphs(text or ""):
         if not re.search(CUES, line, re.I):
             continue
         words = words_of(line)
@@ -257,7 +297,7 @@ def scan_text(text: str | None) -> dict:
             if g in model["weights"]:
                 z, hit = z + np.array(model["weights"][g]), True
         if not hit:
-            out.append((False, 0.0, -k, UNKNOWN, 0.0))
+            out.append((False, 0.0, -k, -until, UNKNOWN, 0.0))
             continue
         z = np.round(z, 6)
         p = float(1 / np.exp(z - z.max()).sum())
@@ -265,7 +305,12 @@ def scan_text(text: str | None) -> dict:
         has = {" ".join(x) for x in zip(words, words[1:], strict=False)} or set(words[:1])
         over = max((len(has & set(_pairs(t))) / len(_pairs(t)) for t in TEMPLATES.get(guess, [])), default=0.0)
         sure = guess != UNKNOWN and p >= CERTAIN and over >= CONFIRM
-        out.append((sure, p, -k, guess if sure else UNKNOWN, over))
-    if not out:
+        out.append((sure, round(p, 6), -k, -until, guess if sure else UNKNOWN, round(over, 6)))
+    n, drop = len(out), set()
+    for _, _, a, b, _, over in (x for x in out if x[0] and x[2] != x[3]):
+        inside = [x for x in out if x[0] and x[2] == x[3] and b <= x[2] <= a]
+        drop |= {(a, b)} if any(x[5] >= over for x in inside) else {x[2:4] for x in inside}
+    out = [x for x in out if not (x[2:4] in drop and x[0])]
+    if not n:
         return {"family": "none", "n_notices": 0, "n_candidates": 0, "families": ""}
-    return {"family": max(out)[3], "n_notices": sum(x[0] for x in out), "n_candidates": len(out), "families": ",".join(sorted({x[3] for x in out if x[0]}))}
+    return {"family": max(out)[4], "n_notices": sum(x[0] for x in out), "n_candidates": n, "families": ",".join(sorted({x[4] for x in out if x[0]}))}
