@@ -3,7 +3,7 @@
 A token may be disguised by look-alike signs (1d10t), by separators between its letters (i-d-i-o-t, i d i o t) or by
 repeated letters (idiooot). Such tokens are found in the whole text; each is a lattice in which every character has
 readings (itself, the letters it looks like, nothing for a separator, one or two letters for a run of repeats) with
-channel costs, and the Viterbi path under a character language model of the corpus restores the word.
+channel costs. A sign may also end a word, and so may every letter of a spaced run. The Viterbi path under a character language model of the corpus restores the words, whatever the length.
 
 The score is a logistic model over the presence of words and word beginnings that the labels show to be toxic, in the
 text as it stands and in its restored tokens. Features are chosen by a likelihood-ratio test whose level falls with the
@@ -41,13 +41,12 @@ LOOKS = {
 }
 #: The bias goes no lower, so that one plain piece of evidence can decide: about 1 in 100 without any.
 NO_EVIDENCE = -4.6
-SUBSTITUTED, DROPPED, DOUBLED = 2.0, 1.0, 1.0
+SUBSTITUTED, DROPPED, DOUBLED, BROKEN = 2.0, 1.0, 1.0, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñòóôöùúûüß"]
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\W_])")
 _EDGES = ".,;:?!\"'()[]{}<>«»„“”‘’¿¡…-–—_#%&*$=/\\~^`+|"
 _PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKS)
-_REPEAT = re.compile(r"(.)\1{2,}")
+_REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 
 
 class CharModel:
@@ -80,45 +79,65 @@ class CharModel:
         return cost + self.unseen
 
 
-def restore(token: str, lm: CharModel, within: float = 4.0, most: int = 4) -> list[str]:
-    """The likeliest words behind a disguised token, best first: Viterbi over its lattice, states being the last letters."""
+def restore(token: str, lm: CharModel, within: float = 4.0, most: int = 4, spaced: bool = False) -> list[str]:
+    """The likeliest words behind a disguised token, best first: Viterbi over its lattice, states being the last letters.
+
+    Several words are one reading, with spaces between. Paths are linked back, so the work grows with the length only.
+    """
+    start = "^" * (ORDER - 1)
     runs: list[tuple[str, int]] = []
     for c in token:
         if runs and runs[-1][0] == c:
             runs[-1] = (c, runs[-1][1] + 1)
         else:
             runs.append((c, 1))
-    beams: dict[str, tuple[float, str]] = {"^" * (ORDER - 1): (0.0, "")}
+    beams: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
     for c, n in runs:
         readings: list[tuple[str, float]] = []
         letters = [(c, 0.0)] if c.isalpha() else [(x, SUBSTITUTED) for x in LOOKS.get(c, "")]
         for x, cost in letters:
             readings += [(x, cost), (x + x, cost + (DOUBLED if n > 2 else 0.0))] if n > 1 else [(x, cost)]
         if not c.isalpha():
-            readings.append(("", DROPPED * n))
+            readings += [("", DROPPED * n), (" ", DROPPED * n)]
         if n == 2 and c.isalpha():
             readings = [(c + c, 0.0), (c, 3 * DOUBLED)]  # two of a letter are mostly meant
-        after: dict[str, tuple[float, str]] = {}
-        for state, (score, word) in beams.items():
+        after: dict[str, tuple[float, tuple | None]] = {}
+        if spaced:
+            ended = max(((score + lm.log(s, "$") - BROKEN, path) for s, (score, path) in beams.items() if s != start), key=lambda x: x[0], default=None)
+            if ended and (start not in beams or beams[start][0] < ended[0]):
+                beams[start] = ended[0], (ended[1], " ")
+        for state, (score, path) in beams.items():
             for text, cost in readings:
                 s, total = state, score - cost
                 for x in text:
+                    if x == " ":
+                        total += lm.log(s, "$") if s != start else 0.0
+                        s = start
+                        continue
                     total += lm.log(s, x)
                     s = (s + x)[1 - ORDER :]
                 if s not in after or after[s][0] < total:
-                    after[s] = total, word + text
+                    after[s] = total, (path, text) if text else path
         beams = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:64]) or beams
-    ends = sorted(((score + lm.log(s, "$"), word) for s, (score, word) in beams.items()), reverse=True)
-    return [word for score, word in ends[:most] if score >= ends[0][0] - within]
+
+    def read(path) -> str:
+        texts = []
+        while path is not None:
+            path, text = path
+            texts.append(text)
+        return "".join(reversed(texts)).strip()
+
+    ends = sorted(((score + (lm.log(s, "$") if s != start else 0.0), path) for s, (score, path) in beams.items()), key=lambda x: -x[0])
+    return list(dict.fromkeys(read(path) for score, path in ends[:most] if score >= ends[0][0] - within))
 
 
-def disguised(low: str) -> set[str]:
-    """Tokens of a lower-case text that may be disguised words, without the signs around them."""
+def disguised(low: str) -> set[tuple[str, bool]]:
+    """Tokens of a lower-case text that may be disguised words, without the signs around them; with whether they are spaced runs."""
     out = {w.rstrip(_EDGES).lstrip(_PLAIN_EDGES) for w in low.split() if not w.isalpha()}
-    out = {w for w in out if 3 <= len(w) <= 40 and not w.isalpha() and not w.isdigit() and sum(map(str.isalpha, w)) >= 2}
-    if any(x in low for x in _TRIPLES):
-        out |= {w for w in _WORD.findall(low) if _REPEAT.search(w) and len(w) <= 60}
-    out |= {m.replace(" ", "") for m in _SPACED.findall(low) if len(m) <= 80}
+    out = {(w, False) for w in out if 3 <= len(w) and not w.isalpha() and not w.isdigit() and sum(map(str.isalpha, w)) >= 2}
+    if _REPEAT.search(low):
+        out |= {(w, False) for w in _WORD.findall(low) if _REPEAT.search(w)}
+    out |= {(m.replace(" ", ""), True) for m in _SPACED.findall(low)}
     return out
 
 
@@ -135,7 +154,7 @@ class Scorer:
 
         self.model, self.weights = model, model["weights"]
         self.lm = CharModel(Counter(model["words"]))
-        self.restored: dict[str, tuple[str, ...]] = {}
+        self.restored: dict[tuple[str, bool], tuple[str, ...]] = {}
         self.find = ahocorasick.Automaton()
         for f in self.weights:
             bare = f.rstrip("~")
@@ -158,7 +177,7 @@ class Scorer:
         for w in disguised(low):
             got = self.restored.get(w)
             if got is None:
-                got = tuple(f for x in restore(w, self.lm) for f in parts(x) if f in self.weights)
+                got = tuple({f for x in restore(w[0], self.lm, spaced=w[1]) for y in x.split() for f in parts(y) if f in self.weights})
                 if len(self.restored) < 200_000:
                     self.restored[w] = got
             found.update(got)
