@@ -10,7 +10,7 @@ text as it stands and in its restored tokens. Features are chosen by a likelihoo
 number of candidates, so chance words don't enter.
 
 Training takes a bounded sample: at most about TRAIN_ROWS labelled documents outside the held-out fold, chosen by a
-hash of the identifier. Scoring reads whole texts.
+hash of the identifier. The character model counts the n-grams of all texts. Scoring reads whole texts.
 
 Defined results: null and empty texts score the model's bias; with no labelled row, or one label only, every score is
 the training share of label 1 (0 without labels); labels that are null are not used; null identifiers are not held out
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +49,43 @@ _PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKS)
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 
 
+def char_grams(words: Counter) -> Counter:
+    """Counts of the characters of words between boundaries, and of those with up to ORDER - 1 before them."""
+    grams = Counter()
+    for w, n in words.items():
+        s = "^" * (ORDER - 1) + w + "$"
+        for i in range(ORDER - 1, len(s)):
+            for k in range(1, ORDER + 1):
+                grams[s[i - k + 1 : i + 1]] += n
+    return grams
+
+
+def corpus_grams(docs: DataFrame, text: str = "text", held: int = 200_000) -> dict[str, int]:
+    """char_grams of all words of all texts. What comes to the driver grows with the alphabets, not with the rows."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        words, grams = Counter(), Counter()
+        for b in batches:
+            for body in b.column(0):
+                words.update(_WORD.findall(body.as_py().lower()))
+            if len(words) > held:
+                grams += char_grams(words)
+                words = Counter()
+        grams += char_grams(words)
+        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
+
+    own = docs.select(F.col(text).cast("string").alias("body")).where("body IS NOT NULL")
+    return {r.g: r.n for r in own.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+
+
 class CharModel:
-    """A character language model with stupid backoff, over words between boundaries."""
-
-    def __init__(self, words: Counter) -> None:
-        grams: list[Counter] = [Counter() for _ in range(ORDER + 1)]
-        for w, n in words.items():
-            s = "^" * (ORDER - 1) + w + "$"
-            for i in range(ORDER - 1, len(s)):
-                for k in range(1, ORDER + 1):
-                    grams[k][s[i - k + 1 : i + 1]] += n
+    """A character language model with stupid backoff, of char_grams."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        grams: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
+        for g, n in counts.items():
+            grams[len(g)][g] = n
         self.total = max(1, sum(grams[1].values()))
         self.logs: dict[str, float] = {c: math.log(n / self.total) for c, n in grams[1].items()}
         heads: list[Counter] = [Counter() for _ in range(ORDER + 1)]
@@ -153,7 +180,7 @@ class Scorer:
         import ahocorasick
 
         self.model, self.weights = model, model["weights"]
-        self.lm = CharModel(Counter(model["words"]))
+        self.lm = CharModel(model["grams"])
         self.restored: dict[tuple[str, bool], tuple[str, ...]] = {}
         self.find = ahocorasick.Automaton()
         for f in self.weights:
@@ -230,7 +257,7 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: i
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> dict:
-    """The model: bias, weights of features and the words of the character model."""
+    """The model: bias, weights of features and the n-grams of the character model, which are those of all texts."""
     spark = docs.sparkSession
     ship(spark)
     some = labelled(docs, labels, text, doc_id, rows)
@@ -252,25 +279,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     total = next(((r["pos"], r["neg"]) for r in got if not r["f"]), (0, 0))
     if not total[0] or not total[1]:
         share = total[0] / max(1, sum(total))
-        return {"bias": math.log((share + 1e-9) / (1 - share + 1e-9)), "weights": {}, "words": {"a": 1}}
+        return {"bias": math.log((share + 1e-9) / (1 - share + 1e-9)), "weights": {}, "grams": char_grams(Counter("a"))}
     rated = [(_g2(r["pos"], r["neg"], *total), r["f"]) for r in got if r["f"] and r["pos"] >= 3]
     level = 2 * math.log(max(2, len(got))) + 4
     chosen = [f for g, f in sorted(rated, reverse=True)[:MAX_FEATURES] if g > level]
-    words = defaultdict(int, {r["f"]: r["n"] for r in sorted((r for r in got if r["n"] and r["f"][-1] != "~"), key=lambda r: -r["n"])[:50_000]})
-    for f in chosen:  # words that matter are well known to the language model
-        if f[-1] != "~":
-            words[f] = max(words[f], 50)
-    first = {"bias": 0.0, "weights": dict.fromkeys(chosen, 0.0), "words": dict(words)}
+    grams = Counter(corpus_grams(docs, text))
+    seen = {r["f"]: r["n"] for r in got}
+    grams += char_grams(Counter({f: 50 - seen[f] for f in chosen if f[-1] != "~" and seen[f] < 50}))  # words that matter are well known to the language model
+    first = {"bias": 0.0, "weights": dict.fromkeys(chosen, 0.0), "grams": dict(grams)}
+    held = spark.sparkContext.broadcast(first)  # at most MAX_FEATURES weights, and n-grams of ORDER characters
 
     def find(batches):
-        scorer = Scorer(first)
+        scorer = Scorer(held.value)
         for b in batches:
             found = [sorted(scorer.features(x.as_py())) for x in b.column("body")]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
 
     rows_ = [(r["toxic"], r["found"]) for r in some.select("toxic", "body").mapInArrow(find, "toxic int, found array<string>").collect()]  # bounded by rows
     weights, bias = fit(sorted(rows_), sorted(chosen))
-    return {"bias": bias, "weights": weights, "words": dict(words)}
+    return {"bias": bias, "weights": weights, "grams": dict(grams)}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
@@ -284,7 +311,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
         *([F.struct("*").alias("whole")] if whole else []),
     )
     extra = ["whole"] if whole else []
-    held = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights and 50,000 words
+    held = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights, and n-grams of ORDER characters
 
     def run(batches):
         scorer = Scorer(held.value)

@@ -12,10 +12,7 @@ WORDS = "he is a an and you are the one who said that idiot fool clever person o
 def scorer():
     r = random.Random(1)
     words = Counter(r.choices(WORDS, k=5_000))
-    model = {"bias": -4.6, "weights": {"idiot": 6.0, "idio~": 3.0}, "words": dict(words)}
-    if hasattr(toxicity, "char_grams"):
-        model["grams"] = toxicity.char_grams(words)
-    return toxicity.Scorer(model)
+    return toxicity.Scorer({"bias": -4.6, "weights": {"idiot": 6.0, "idio~": 3.0}, "grams": toxicity.char_grams(words)})
 
 
 @pytest.mark.parametrize(
@@ -36,3 +33,13 @@ def test_insults_are_found_at_any_length(text):
 def test_clean_runs_stay_clean():
     for text in (" ".join("heisagoodperson"), " ".join("youknowthatitwasabadday" * 5), "good-day-to-the-clever-person-over-there-and-you", "goo" + "o" * 90 + "d"):
         assert not scorer().features(text)
+
+
+def test_character_model_is_of_all_texts(spark):
+    rows = [(i, "clever person over there" if i % 2 else "idiot person over there") for i in range(60)] + [(i, "xylophon zzyzx xylophon") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    words = Counter(w for _, t in rows for w in t.split())
+    assert toxicity.corpus_grams(docs, held=3) == toxicity.char_grams(words)
+    grams = toxicity.train(docs, labels, rows=20)["grams"]
+    assert grams["zzyz"] == 40 and grams["^xyl"] == 80
