@@ -60,7 +60,7 @@ def db_drift(spark: SparkSession, root: str, store: Store, source: str | None =
     declared = drift.declared_columns(store.load_graph())
     found = drift.compute_drift(declared, live or _live(spark, root, source), SPARK_FAMILY)
     heads = config.migration_heads(scan.local_tree(spark, root).where("path LIKE '%versions/%.py'"))
-    return drift.drift_summary(declared, found) | {"findings": [r.asDict() for r in found.orderBy("schema", "table", "kind", "detail").limit(10_000).collect()], "heads": [r.revision for r in heads.collect()]}
+    return drift.drift_summary(declared, found) | {"findings": [r.asDict() for r in found.orderBy("schema", "table", "kind", "detail").collect()], "heads": [r.revision for r in heads.collect()]}
 
 
 def status(root: str, graph_sha: str | None) -> list[str]:

@@ -38,7 +38,7 @@ def watch(spark: SparkSession, root: str, rebuild: Callable[[list[str]], None],
     """Call rebuild with the changed paths of each batch, the first being all of them. Triggers that come close are one."""
 
     def batch(df: DataFrame, _: int) -> None:
-        paths = [r[0] for r in df.select("path").distinct().orderBy("path").limit(10_000).collect()]
+        paths = [r[0] for r in df.select("path").distinct().orderBy("path").collect()]
         if paths:
             rebuild(paths)
 
