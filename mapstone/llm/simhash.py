@@ -340,11 +340,14 @@ def _chains(stored: DataFrame, similarity: float) -> DataFrame:
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The component of each set (the index of a member), by all pairs that are similar enough."""
-    size = np.array([len(s) for s in sets])
-    start, all_of = np.cumsum(size) - size, np.concatenate(sets)
-    owner, comp = np.repeat(np.arange(len(sets)), size), np.arange(len(sets))
-    order = np.argsort(all_of, kind="stable")
-    ranked, held = all_of[order], owner[order]
+    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    ranked = np.concatenate(sets)
+    order = np.argsort(ranked, kind="stable")
+    ranked, held = ranked[order], np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    del order
+    same = ranked[1:] == ranked[:-1]
+    twice = np.append(same, False) | np.append(False, same)  # a shingle of one set only is shared with none
+    ranked, held = ranked[twice], held[twice]
     for i, s in enumerate(sets):
         rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1  # those not connected yet
         rest = rest[np.minimum(size[rest], size[i]) >= least_shared(np.maximum(size[rest], size[i]), similarity)]
@@ -354,7 +357,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         if (hi - lo).sum() < size[rest].sum():
             shared = np.bincount(np.concatenate([held[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=len(sets))[rest]
         else:
-            ours = np.concatenate([all_of[start[j] : start[j] + size[j]] for j in rest.tolist()])
+            ours = np.concatenate([sets[j] for j in rest.tolist()])
             at = np.minimum(np.searchsorted(s, ours), len(s) - 1)
             shared = np.bincount(np.repeat(np.arange(len(rest)), size[rest]), s[at] == ours, len(rest)).astype(np.int64)
         hit = rest[shared >= similarity * (size[rest] + size[i] - shared) - 1e-9]
@@ -371,24 +374,24 @@ def similar_components(stored: DataFrame, text: str, words: int, similarity: flo
     picked = near.join(one, "fp").select("chain", "fp", "rid")
     texts = stored.select("rid", F.col(f"whole.`{text}`").cast("string").alias("body")).join(picked, "rid").select("chain", "fp", "body")
 
-    def solve(fps, bodies):
+    def solve(fps, sets):
         fp = np.array(fps, np.int64)
-        comp = fp[similar([shingles(x, words) for x in bodies], similarity)]
+        comp = fp[similar(sets, similarity)]
         differ = comp != fp
         return pa.RecordBatch.from_arrays([pa.array(fp[differ]), pa.array(comp[differ])], names=["fp", "comp"])
 
     def run(batches):
-        at, fps, bodies = None, [], []
+        at, fps, sets = None, [], []
         for b in batches:
-            for c, fp, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != at:
+            for c, fp, body in zip(*b.columns, strict=True):
+                if c.as_py() != at:
                     if fps:
-                        yield solve(fps, bodies)
-                    at, fps, bodies = c, [], []
-                fps.append(fp)
-                bodies.append(body)
+                        yield solve(fps, sets)
+                    at, fps, sets = c.as_py(), [], []
+                fps.append(fp.as_py())
+                sets.append(shingles(body.as_py(), words))
         if fps:
-            yield solve(fps, bodies)
+            yield solve(fps, sets)
 
     dealt = texts.repartition(partitions(stored.sparkSession), "chain").sortWithinPartitions("chain", "fp")
     return checkpoint(dealt.mapInArrow(run, "fp long, comp long"))
