@@ -55,6 +55,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def numbered(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One stored row per document: id, rid (a row number of its own) and whole (the row)."""
+    return materialize(docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("whole")), "numbered")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of numbered() rows, all columns, without those whose rid is dropped.
+
+    The dropped numbers are stored first, so that Spark knows their size when it chooses the join.
+    """
+    return rows.select("rid", "whole").join(materialize(dropped.select("rid"), "dropped"), "rid", "left_anti").select("whole.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

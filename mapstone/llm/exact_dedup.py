@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, partitions, ship
+from .common import WS, materialize, numbered, partitions, ship, without
 
 NO_ID = 2**63 - 1
 RADIX_BITS = 3
@@ -29,25 +29,12 @@ def normalized(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
-    """One stored row per document: id, rid (a row number of its own), digest, check, size and, if whole, the row."""
-    own = docs.select(
-        F.col(doc_id).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("rid"),
-        normalized(F.col(text)).alias("norm"),
-        *([F.struct("*").alias("whole")] if whole else []),
-    )
-    return materialize(
-        own.select(
-            "id",
-            "rid",
-            F.unhex(F.sha2("norm", 256)).alias("digest"),
-            F.xxhash64("norm").alias("check"),
-            F.octet_length("norm").alias("size"),
-            *(["whole"] if whole else []),
-        ),
-        "digests",
-    )
+def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
+    """One stored row per document: id, rid (a row number of its own, or the given one), digest, check, size."""
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), number.alias("rid"), normalized(F.col(text)).alias("norm"))
+    hashed = own.select("id", "rid", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("check"), F.octet_length("norm").alias("size"))
+    return materialize(hashed, "digests")
 
 
 def merger(bits: int, done: int, take: int):
@@ -132,6 +119,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents, all columns, without those whose text an earlier identifier has."""
-    stored = digests(docs, text, doc_id, whole=True)
-    kept = tree_merge(stored.select("id", "rid", "digest", "check", "size")).select(F.col("keep_rid").alias("rid"))
-    return stored.select("rid", "whole").join(kept, "rid", "left_semi").select("whole.*")
+    rows = numbered(docs, doc_id)
+    stored = digests(rows.select("id", "rid", F.col("whole").getField(text).alias("body")), "body", "id", "rid")
+    kept = tree_merge(stored).select(F.col("keep_rid").alias("rid"))
+    return without(rows, stored.select("rid").join(kept, "rid", "left_anti"))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered, without
 
 LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
@@ -48,18 +48,17 @@ def _weight(level: str, weights: dict) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col(level)], F.lit(weights.get("default", 1))).cast("long")
 
 
-def measured(docs: DataFrame, text="text", doc_id="doc_id", lang="lang", source="source", domain=default_domain, tokens=default_tokens, whole=False) -> DataFrame:
-    """One stored row per document: id, rid, domain, lang, source, n_tokens and, if whole, the row."""
+def measured(docs: DataFrame, text="text", doc_id="doc_id", lang="lang", source="source", domain=default_domain, tokens=default_tokens, rid=None) -> DataFrame:
+    """One stored row per document: id, rid (a row number of its own, or the given one), domain, lang, source, n_tokens."""
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     return materialize(
         docs.select(
             F.col(doc_id).cast("long").alias("id"),
-            F.monotonically_increasing_id().alias("rid"),
+            (rid if rid is not None else F.monotonically_increasing_id()).alias("rid"),
             domain(label(source)).alias("domain"),
             label(lang).alias("lang"),
             label(source).alias("source"),
             tokens(F.col(text)).alias("n_tokens"),
-            *([F.struct("*").alias("whole")] if whole else []),
         ),
         "measured",
     )
@@ -119,12 +118,17 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, total_share: float = 0.8, max_
     return got.select(F.col("id").alias("doc_id"), "epoch", *LEVELS, "n_tokens")
 
 
-def mix_documents(docs: DataFrame, weights: dict = WEIGHTS, total_share: float = 0.8, max_epochs: int = 1, seed: int = 7, **names) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, weights: dict = WEIGHTS, total_share: float = 0.8, max_epochs: int = 1, seed: int = 7, text="text", doc_id="doc_id", lang="lang", source="source", **how
+) -> DataFrame:
     """The documents chosen, all columns; one that is chosen for several epochs repeats."""
-    rows = measured(docs, whole=True, **names)
-    thin = rows.drop("whole")
+    rows = numbered(docs, doc_id)
+    own = rows.select("id", "rid", *(F.col("whole").getField(c).alias(x) for x, c in (("text", text), ("lang", lang), ("source", source))))
+    thin = measured(own, doc_id="id", rid=F.col("rid"), **how)
     got = select_epochs(thin, budgets(thin, weights, total_share, max_epochs), seed).select("rid")
-    return rows.select("rid", "whole").join(got, "rid").select("whole.*")
+    if max_epochs == 1:
+        return without(rows, thin.select("rid").join(got, "rid", "left_anti"))
+    return rows.select("rid", "whole").join(materialize(got, "chosen"), "rid").select("whole.*")
 
 
 def sql(weights: dict = WEIGHTS, total_share: float = 0.8, max_epochs: int = 2, seed: int = 7) -> str:

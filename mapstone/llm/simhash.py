@@ -12,12 +12,8 @@ The tree is shaped by a bounded sample (SAMPLE fingerprints); every fingerprint
 affects balance only. Equal fingerprints are one node: copies of a text never meet each other.
 
 Stages of a pipeline take another rule: two texts link if the sets of their five-word shingles have a Jaccard similarity
-of 0.8 or more (drop_near_copies with `similarity`). Such pairs differ by 3 to 11 bits and more, where no branch of the
-tree can be pruned, so their search is a prefix join and exact: with shingles in one order for all texts, the first
-n - ceil(0.8 n) + 1 of the n of two linked texts share one. Texts that share one and are about as long are chained,
-the components of the chains are closed under links, and within each every pair that isn't connected yet is compared
-by its whole sets. The order puts shingles that are common in a sample (ORDER_SAMPLE documents) last; it affects the
-work only.
+of 0.8 or more (drop_near_copies with `similarity`). Such pairs differ by 3 to 20 of 64 bits, where no branch of the
+tree can be pruned, so they are searched by wider fingerprints in Hamming space with a radius for each pair (see setjoin).
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; a null identifier is larger
 than every other; repeated rows share a component; an empty table gives an empty result.
@@ -31,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, materialize, partitions, ship
+from .common import checkpoint, materialize, numbered, partitions, ship, without
 from .components import Forest, components
+from .setjoin import sets_of, similar_components
 
 SAMPLE = 65_536
-ORDER_SAMPLE, COMMON = 20_000, 65_536
 LEVELS = 8
 NO_ID = 2**63 - 1
 _CHUNK = 1 << 16
@@ -57,26 +53,18 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, whole: bool = False) -> DataFrame:
-    """One stored row per document: id, rid (a row number of its own), fp (as a signed long) and, if whole, the row."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, rid: str | None = None) -> DataFrame:
+    """One stored row per document: id, rid (a row number of its own, or the given one), fp (as a signed long)."""
     ship(docs.sparkSession)
-    extra = ["whole"] if whole else []
-    own = docs.select(
-        F.col(doc_id).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(text).cast("string").alias("body"),
-        *([F.struct("*").alias("whole")] if whole else []),
-    )
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), number.alias("rid"), F.col(text).cast("string").alias("body"))
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py(), words) for x in b.column("body")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("rid"), pa.array(fps.view(np.int64)), *(b.column(x) for x in extra)], names=["id", "rid", "fp", *extra]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(fps.view(np.int64))], names=["id", "rid", "fp"])
 
-    kind = own.schema["whole"].dataType.simpleString() if whole else ""
-    return materialize(own.mapInArrow(run, "id long, rid long, fp long" + (f", whole {kind}" if whole else "")), "fingerprints")
+    return materialize(own.mapInArrow(run, "id long, rid long, fp long"), "fingerprints")
 
 
 class Tree:
@@ -245,158 +233,6 @@ def _by_component(stored: DataFrame, comps: DataFrame) -> DataFrame:
     return with_comp.join(best, "comp").select("fp", "best")
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct word shingles of a text as sorted hashes; a shorter text is one shingle."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h, join = xxhash.xxh64_intdigest, b" ".join
-    if len(w) <= words:
-        return np.array([h(join(w), 42)], np.uint64)
-    return np.unique(np.fromiter((h(join(x), 42) for x in zip(*(w[i:] for i in range(words)), strict=False)), np.uint64, len(w) - words + 1))
-
-
-def least_shared(n, similarity: float):
-    """How many of n elements a set shares at least with one that is similar enough."""
-    return np.ceil(similarity * n - 1e-9).astype(np.int64)
-
-
-def _common(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are common in a sample, sorted, and their counts there."""
-    n = docs.count()
-    some = docs.select(F.col(text).cast("string").alias("body"))
-    if n > ORDER_SAMPLE:
-        some = some.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < int((1 << 30) * ORDER_SAMPLE / n))
-
-    def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                sets = [shingles(x.as_py(), words) for x in b.column(0).slice(lo, 1000)]
-                g, k = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k)], names=["g", "n"])
-
-    counts = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n >= 3")
-    got = sorted((r.g, r.n) for r in counts.orderBy(F.desc("n"), "g").limit(COMMON).collect())
-    return np.array([g for g, _ in got], np.int64), np.array([k for _, k in got], np.int64)
-
-
-def _prefixes(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float) -> DataFrame:
-    """One stored row per document: id, rid, fp (a hash of its set of shingles), n (its size), prefix and the row."""
-    ship(docs.sparkSession)
-    common, counts = _common(docs, text, words)
-    own = docs.select(
-        F.col(doc_id).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(text).cast("string").alias("body"),
-        F.struct("*").alias("whole"),
-    )
-
-    def first(s: np.ndarray) -> bytes:
-        g = s.view(np.int64)
-        rank = np.zeros(len(g), np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, g), len(common) - 1)
-            rank = np.where(common[at] == g, counts[at], 0)
-        return g[np.lexsort((g, rank))[: len(g) - int(least_shared(len(g), similarity)) + 1]].tobytes()
-
-    def run(batches):
-        for b in batches:
-            sets = [shingles(x.as_py(), words) for x in b.column("body")]
-            fp = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("rid"), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array([first(s) for s in sets], pa.binary()), b.column("whole")],
-                names=["id", "rid", "fp", "n", "prefix", "whole"],
-            )
-
-    kind = own.schema["whole"].dataType.simpleString()
-    return materialize(own.mapInArrow(run, f"id long, rid long, fp long, n long, prefix binary, whole {kind}"), "prefixes")
-
-
-def _chains(stored: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links whose components hold every similar pair. Among texts that share a shingle of their prefixes, in
-    order of size, neighbours link if their sizes allow it, so any two whose sizes allow it are in one chain."""
-
-    def explode(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                raw = part.column("prefix").to_pylist()
-                k = [len(x) // 8 for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(part.column(c).to_numpy(), k)) for c in ("n", "fp"))], names=["g", "n", "fp"]
-                )
-
-    def chain(batches):
-        last = np.zeros((0, 3), np.int64)
-        for b in batches:
-            x = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns], 1)])
-            u, v = x[:-1], x[1:]
-            ok = (u[:, 0] == v[:, 0]) & (u[:, 2] != v[:, 2]) & (u[:, 1] >= least_shared(v[:, 1], similarity))
-            pairs = np.unique(np.sort(np.stack([u[ok, 2], v[ok, 2]], 1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            last = x[-1:]
-
-    rows = stored.select("n", "fp", "prefix").mapInArrow(explode, "g long, n long, fp long")
-    return rows.repartition(partitions(stored.sparkSession), "g").sortWithinPartitions("g", "n", "fp").mapInArrow(chain, "a long, b long")
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The component of each set (the index of a member), by all pairs that are similar enough."""
-    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
-    ranked = np.concatenate(sets)
-    order = np.argsort(ranked, kind="stable")
-    ranked, held = ranked[order], np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
-    del order
-    same = ranked[1:] == ranked[:-1]
-    twice = np.append(same, False) | np.append(False, same)  # a shingle of one set only is shared with none
-    ranked, held = ranked[twice], held[twice]
-    for i, s in enumerate(sets):
-        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1  # those not connected yet
-        rest = rest[np.minimum(size[rest], size[i]) >= least_shared(np.maximum(size[rest], size[i]), similarity)]
-        if not len(rest):
-            continue
-        lo, hi = np.searchsorted(ranked, s), np.searchsorted(ranked, s, "right")
-        if (hi - lo).sum() < size[rest].sum():
-            shared = np.bincount(np.concatenate([held[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=len(sets))[rest]
-        else:
-            ours = np.concatenate([sets[j] for j in rest.tolist()])
-            at = np.minimum(np.searchsorted(s, ours), len(s) - 1)
-            shared = np.bincount(np.repeat(np.arange(len(rest)), size[rest]), s[at] == ours, len(rest)).astype(np.int64)
-        hit = rest[shared >= similarity * (size[rest] + size[i] - shared) - 1e-9]
-        if len(hit):
-            comp[np.isin(comp, comp[hit])] = comp[i]
-    return comp
-
-
-def similar_components(stored: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """fp, comp: the representative of each linked fp that is not its own, by exact Jaccard similarity."""
-    near = checkpoint(components(_chains(stored, similarity)).toDF("fp", "chain"))
-    near = near.union(near.select("chain", "chain").distinct())
-    one = stored.groupBy("fp").agg(F.min("rid").alias("rid"))
-    picked = near.join(one, "fp").select("chain", "fp", "rid")
-    texts = stored.select("rid", F.col(f"whole.`{text}`").cast("string").alias("body")).join(picked, "rid").select("chain", "fp", "body")
-
-    def solve(fps, sets):
-        fp = np.array(fps, np.int64)
-        comp = fp[similar(sets, similarity)]
-        differ = comp != fp
-        return pa.RecordBatch.from_arrays([pa.array(fp[differ]), pa.array(comp[differ])], names=["fp", "comp"])
-
-    def run(batches):
-        at, fps, sets = None, [], []
-        for b in batches:
-            for c, fp, body in zip(*b.columns, strict=True):
-                if c.as_py() != at:
-                    if fps:
-                        yield solve(fps, sets)
-                    at, fps, sets = c.as_py(), [], []
-                fps.append(fp.as_py())
-                sets.append(shingles(body.as_py(), words))
-        if fps:
-            yield solve(fps, sets)
-
-    dealt = texts.repartition(partitions(stored.sparkSession), "chain").sortWithinPartitions("chain", "fp")
-    return checkpoint(dealt.mapInArrow(run, "fp long, comp long"))
-
-
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     stored = fingerprints(docs, text, doc_id, words)
@@ -412,11 +248,13 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     With a similarity, texts link by the Jaccard similarity of their shingles, and radius isn't used.
     """
+    rows = numbered(docs, doc_id)
+    body = rows.select("id", "rid", F.col("whole").getField(text).cast("string").alias("body"))
     if similarity is None:
-        stored = fingerprints(docs, text, doc_id, words, whole=True)
+        stored = fingerprints(body, "body", "id", words, rid="rid")
         comps = near_components(stored, radius)
     else:
-        stored = _prefixes(docs, text, doc_id, words, similarity)
-        comps = similar_components(stored, text, words, similarity)
-    best = _by_component(stored.select("id", "rid", "fp"), comps).select(F.col("best.rid").alias("rid")).distinct()
-    return stored.select("rid", "whole").join(best, "rid", "left_semi").select("whole.*")
+        stored = sets_of(body, "body", words, similarity)
+        comps = similar_components(body, stored, "body", words, similarity)
+    kept = _by_component(stored.select("id", "rid", "fp"), comps).select(F.col("best.rid").alias("rid")).distinct()
+    return without(rows, stored.select("rid").join(kept, "rid", "left_anti"))

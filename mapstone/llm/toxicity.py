@@ -300,17 +300,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return {"bias": bias, "weights": weights, "grams": dict(grams)}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted and, if whole, the row. Reads nothing but the text to score."""
+def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted. Reads nothing but the text to score."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(fold(F.col(doc_id).cast("long")) == 0, F.lit(False)).alias("held_out"),
         F.col(text).cast("string").alias("body"),
-        *([F.struct("*").alias("whole")] if whole else []),
     )
-    extra = ["whole"] if whole else []
     held = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights, and n-grams of ORDER characters
 
     def run(batches):
@@ -318,12 +316,11 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
         for b in batches:
             got = [scorer.score(x.as_py() or "") for x in b.column("body")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(x >= 0.5) for x in got], pa.int32()), *(b.column(x) for x in extra)],
-                names=["doc_id", "held_out", "score", "predicted", *extra],
+                [b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(x >= 0.5) for x in got], pa.int32())],
+                names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    kind = f", whole {own.schema['whole'].dataType.simpleString()}" if whole else ""
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + kind)
+    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -333,5 +330,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents, all columns, that are not predicted toxic."""
-    got = score(docs, train(docs, labels, text, doc_id, rows), text, doc_id, whole=True)
-    return got.where("predicted = 0").select("whole.*")
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    held = spark.sparkContext.broadcast(train(docs, labels, text, doc_id, rows))
+
+    def run(batches):
+        scorer = Scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(x.as_py() or "") < 0.5 for x in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)  # each row goes through once and comes back as it is

@@ -8,8 +8,9 @@ from mapstone.llm import toxicity
 from mapstone.llm.mixing import WEIGHTS
 from mapstone.llm.queries import QUERIES
 
-from .test_dedup import brute_components, norm, slow_fingerprint
+from .test_dedup import norm
 from .test_learned import water_fill
+from .test_near_stage import least
 from .test_tokens import plain_ids
 
 SF = "/root/testdata/sf0.001"
@@ -69,12 +70,7 @@ def test_each_stage_equals_its_brute_force_version(spark):
                 first.setdefault(norm(r.text), r.doc_id)
             want = list(first.values())
         elif name == "simhash_near_dedup":
-            fp = {r.doc_id: slow_fingerprint(r.text) for r in rows}
-            comp = brute_components(set(fp.values()), lambda a, b: (a ^ b).bit_count() <= 2)
-            least = {}
-            for i, f in fp.items():
-                least[comp[f]] = min(i, least.get(comp[f], i))
-            want = list(least.values())
+            want = least((r.doc_id, r.text) for r in rows)
         else:
             want = mixed(rows)
         assert ids(got) == sorted(want), name
