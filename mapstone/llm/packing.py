@@ -76,15 +76,16 @@ def plan(histogram: dict[int, int], seq_len: int) -> list[tuple[list[int], int]]
                 break
             room = rooms[k]
             group = open_[room][-1]
-            take = min(left, group[0])
+            each = min(left, room // length)  # the tightest sequence stays the tightest until no more fit
+            take = min(left // each, group[0])
             group[0] -= take
             if not group[0]:
                 open_[room].pop()
                 if not open_[room]:
                     del open_[room]
                     rooms.pop(k)
-            put(room - length, take, [*group[1], length])
-            left -= take
+            put(room - each * length, take, [*group[1], *[length] * each])
+            left -= take * each
     return [(lengths, count) for room in sorted(open_) for count, lengths in open_[room]]
 
 

@@ -3,7 +3,8 @@
 Both public vocabularies used here split a text into pre-tokens before they merge, and a pre-token never spans the
 boundary before a single space (byte-level) or any space (word-level). So a text can be encoded piece by piece with the
 same ids, and a piece that has been seen before costs one dictionary look-up. A text with white space other than single
-spaces and line ends between words is given to the byte-level tokenizer whole.
+spaces and line ends between words is given to the byte-level tokenizer whole, and so is a text with the string of an
+added token, which the library reads as that token.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ class Encoder:
 
         path = tokenizer_path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -46,6 +46,10 @@ class Encoder:
             self.mode = "spaced"
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and "\\s" in str(norm):
             self.mode = "words"
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]  # the library reads their strings in a text as one token each
+        if any(t.get("normalized") for t in added):
+            self.mode = "whole"
         self.cache: dict[str, bytes] = {}
         byte = _byte_letters()
         self.letters = {ord(" "): "\u0120"} | {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 0x250) if chr(c).isalpha()}
@@ -66,6 +70,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.mode == "whole" or any(t in text for t in self.added):
+            return self._ids(text)
         if self.mode == "words":
             if "\0" in text:
                 return self._ids(text)

@@ -3,6 +3,7 @@
 import glob
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from mapstone.llm.common import tokenizer_path
 from mapstone.llm.tokens import encoder
 
 TEXTS = [
-    "", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "it's don't I'LL, go. now", "ÀÉ. Ünï, éa ́b", "a\tb c", "<|endoftext|> x", "x\0 a", "日本 語。テスト ok.", "x.\r\ny z",
+    "", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "it's don't I'LL, go. now", "ÀÉ. Ünï, éa ́b", "a\tb c", "<|endoftext|> x", "a <|endoftext|> b", "a<|startoftext|>b <|ENDOFTEXT|>.", "<|endoftext",  "x\0 a", "日本 語。テスト ok.", "x.\r\ny z",
     "ΣΑΣ. ΟΔΟΣ", "İstanbul I.", "foo.. bar,, baz!. 12. a1. 3,", "\n a", "a\n", "_. a_, x._y ..", "word " * 9000, "é. café, x", "ﬁ ﬂ Å Ω", "　 a b",
 ]
 
@@ -21,7 +22,6 @@ def test_cached_encoding_is_the_librarys(name):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path(name))
-    plain.encode_special_tokens = True
     r = random.Random(4)
     alphabet = list("abcdeAÉéß .,\n'!#1½ıſ") + ["  ", ". ", ", "]
     texts = TEXTS + ["".join(r.choices(alphabet, k=r.randint(1, 80))) for _ in range(1500)]
@@ -34,7 +34,6 @@ def plain_ids(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -107,9 +106,11 @@ def best_fit_one_by_one(lengths, room):
 
 def test_plan_on_counts_equals_best_fit_on_items():
     r = random.Random(8)
-    for _ in range(40):
-        lengths = [r.randint(1, r.choice([20, 60, 100])) for _ in range(r.randint(1, 300))]
-        histogram = {x: lengths.count(x) for x in lengths}
+    cases = [{33: 9, 5: 9, 50: 8, 8: 11}, {40: 5, 20: 20, 1: 3}]
+    cases += [{r.randint(1, r.choice([20, 60, 100])): r.randint(1, 12) for _ in range(r.randint(1, 10))} for _ in range(2_000)]
+    cases += [Counter(r.randint(1, r.choice([20, 60, 100])) for _ in range(r.randint(1, 300))) for _ in range(40)]
+    for histogram in cases:
+        lengths = [x for x, n in histogram.items() for _ in range(n)]
         got = packing.plan(histogram, 100)
         assert sum(n for _, n in got) == best_fit_one_by_one(lengths, 100)
         assert sorted(x for p, n in got for x in p for _ in range(n)) == sorted(lengths) and all(sum(p) <= 100 for p, _ in got)
