@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators' contracts define it.
 WS = "[\\x20\\x09-\\x0D]+"
+#: Rows of an Arrow batch, where the session keeps Spark's own default (10,000): whole texts are held on both sides.
+BATCH_ROWS = 2_000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it; see BATCH_ROWS."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

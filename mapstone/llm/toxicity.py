@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation: restore disguised words first, then score the restored text.
 
-A token may be disguised by look-alike signs (1d10t), by separators between its letters (i-d-i-o-t, i d i o t) or by
-repeated letters (idiooot). Such tokens are found in the whole text; each is a lattice in which every character has
+A token may be disguised by look-alike signs (1d10t), by separators between its letters (i-d-i-o-t, i d i o t, one
+letter a line) or by repeated letters (idiooot, iidioot). Such tokens are found in the whole text; each is a lattice in which every character has
 readings (itself, the letters it looks like, nothing for a separator, one or two letters for a run of repeats) with
 channel costs. A sign may also end a word, and so may every letter of a spaced run. The Viterbi path under a character language model of the corpus restores the words, whatever the length.
 
@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship
+from .common import fold, materialize, ship
 
 TRAIN_ROWS = 12_000
 MAX_FEATURES = 4_000
@@ -43,24 +45,54 @@ LOOKS = {
 NO_EVIDENCE = -4.6
 SUBSTITUTED, DROPPED, DOUBLED, BROKEN = 2.0, 1.0, 1.0, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:(?:\s+|[ .\-_*]{1,2})[^\W_]){2,}(?![^\W_])")
+_GAP = re.compile(r"\s+")
 _EDGES = ".,;:?!\"'()[]{}<>«»„“”‘’¿¡…-–—_#%&*$=/\\~^`+|"
 _PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKS)
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
+_DOUBLE = re.compile(r"([^\W\d_])\1+")
+_ANY_SIGN = re.compile(r"[\W_]+")
+_INNER = re.compile("[" + re.escape("".join(c for c in _EDGES if c not in LOOKS)) + "]+")  # signs that look like no letter
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, with compatibility forms (full-width letters and the like) as plain ones."""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 def char_grams(words: Counter) -> Counter:
     """Counts of the characters of words between boundaries, and of those with up to ORDER - 1 before them."""
-    grams = Counter()
-    for w, n in words.items():
-        s = "^" * (ORDER - 1) + w + "$"
+    grams, pad = Counter(), "^" * (ORDER - 1)
+    if not words:
+        return grams
+    codes = np.frombuffer("".join([f"{pad}{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter((len(w) + ORDER for w in words), np.int64, len(words))
+    alphabet, ids = np.unique(codes, return_inverse=True)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * ORDER > 63:  # more letters than a key holds: by parts with fewer, or longer words alone by their parts
+        if len(words) > 1:
+            items = list(words.items())
+            return char_grams(Counter(dict(items[::2]))) + char_grams(Counter(dict(items[1::2])))
+        (w, n), = words.items()
+        s = pad + w + "$"
         for i in range(ORDER - 1, len(s)):
             for k in range(1, ORDER + 1):
                 grams[s[i - k + 1 : i + 1]] += n
+        return grams
+    first = np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(np.arange(len(codes)) - first >= ORDER - 1)
+    weight, key = np.repeat(np.fromiter(words.values(), np.int64, len(words)), size)[at], np.zeros(len(at), np.int64)
+    for k in range(ORDER):
+        key |= ids[at - k].astype(np.int64) << (bits * k)
+        u, inverse = np.unique(key, return_inverse=True)
+        letters = np.stack([alphabet[u >> (bits * j) & ((1 << bits) - 1)] for j in range(k, -1, -1)], 1)
+        text = np.ascontiguousarray(letters, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        n = np.bincount(inverse, weight).astype(np.int64).tolist()
+        grams.update(dict(zip((text[i : i + k + 1] for i in range(0, len(text), k + 1)), n, strict=True)))
     return grams
 
 
-def corpus_grams(docs: DataFrame, text: str = "text", held: int = 200_000) -> dict[str, int]:
+def corpus_grams(docs: DataFrame, text: str = "text", held: int = 100_000) -> dict[str, int]:
     """char_grams of all words of all texts. What comes to the driver grows with the alphabets, not with the rows."""
     ship(docs.sparkSession)
 
@@ -68,11 +100,11 @@ def corpus_grams(docs: DataFrame, text: str = "text", held: int = 200_000) -> di
         words, grams = Counter(), Counter()
         for b in batches:
             for body in b.column(0):
-                words.update(_WORD.findall(body.as_py().lower()))
+                words.update(_WORD.findall(lowered(body.as_py())))
             if len(words) > held:
-                grams += char_grams(words)
+                grams.update(char_grams(words))
                 words = Counter()
-        grams += char_grams(words)
+        grams.update(char_grams(words))
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
 
     own = docs.select(F.col(text).cast("string").alias("body")).where("body IS NOT NULL")
@@ -106,35 +138,39 @@ class CharModel:
         return cost + self.unseen
 
 
+def readings(c: str, n: int) -> list[tuple[str, float]]:
+    """What n times a sign may stand for, with costs; a space ends a word."""
+    if c.isalpha():
+        if n == 1:
+            return [(c, 0.0)]
+        return [(c + c, 0.0), (c, 3 * DOUBLED)] if n == 2 else [(c, 0.0), (c + c, DOUBLED)]  # two of a letter are mostly meant
+    letters = [(x, SUBSTITUTED) for x in LOOKS.get(c, "")]
+    if n > 1:
+        letters = [y for x, cost in letters for y in ((x, cost), (x + x, cost + (DOUBLED if n > 2 else 0.0)))]
+    return [*letters, ("", DROPPED * n), (" ", DROPPED * n)]
+
+
+def runs_of(token: str) -> list[tuple[str, int]]:
+    return [(c, len(list(g))) for c, g in groupby(token)]
+
+
 def restore(token: str, lm: CharModel, within: float = 4.0, most: int = 4, spaced: bool = False) -> list[str]:
     """The likeliest words behind a disguised token, best first: Viterbi over its lattice, states being the last letters.
 
-    Several words are one reading, with spaces between. Paths are linked back, so the work grows with the length only.
+    Several words are one reading, with spaces between; in a spaced run a word may end after each letter. All states are
+    kept. Paths are linked back, so the work grows with the length only.
     """
     start = "^" * (ORDER - 1)
-    runs: list[tuple[str, int]] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
     beams: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
-    for c, n in runs:
-        readings: list[tuple[str, float]] = []
-        letters = [(c, 0.0)] if c.isalpha() else [(x, SUBSTITUTED) for x in LOOKS.get(c, "")]
-        for x, cost in letters:
-            readings += [(x, cost), (x + x, cost + (DOUBLED if n > 2 else 0.0))] if n > 1 else [(x, cost)]
-        if not c.isalpha():
-            readings += [("", DROPPED * n), (" ", DROPPED * n)]
-        if n == 2 and c.isalpha():
-            readings = [(c + c, 0.0), (c, 3 * DOUBLED)]  # two of a letter are mostly meant
+    for c, n in runs_of(token):
+        choices = readings(c, n)
         after: dict[str, tuple[float, tuple | None]] = {}
         if spaced:
             ended = max(((score + lm.log(s, "$") - BROKEN, path) for s, (score, path) in beams.items() if s != start), key=lambda x: x[0], default=None)
             if ended and (start not in beams or beams[start][0] < ended[0]):
                 beams[start] = ended[0], (ended[1], " ")
         for state, (score, path) in beams.items():
-            for text, cost in readings:
+            for text, cost in choices:
                 s, total = state, score - cost
                 for x in text:
                     if x == " ":
@@ -145,7 +181,7 @@ def restore(token: str, lm: CharModel, within: float = 4.0, most: int = 4, space
                     s = (s + x)[1 - ORDER :]
                 if s not in after or after[s][0] < total:
                     after[s] = total, (path, text) if text else path
-        beams = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:64]) or beams
+        beams = after
 
     def read(path) -> str:
         texts = []
@@ -158,13 +194,29 @@ def restore(token: str, lm: CharModel, within: float = 4.0, most: int = 4, space
     return list(dict.fromkeys(read(path) for score, path in ends[:most] if score >= ends[0][0] - within))
 
 
-def disguised(low: str) -> set[tuple[str, bool]]:
-    """Tokens of a lower-case text that may be disguised words, without the signs around them; with whether they are spaced runs."""
-    out = {w.rstrip(_EDGES).lstrip(_PLAIN_EDGES) for w in low.split() if not w.isalpha()}
-    out = {(w, False) for w in out if 3 <= len(w) and not w.isalpha() and not w.isdigit() and sum(map(str.isalpha, w)) >= 2}
+def squeezed(word: str) -> str:
+    return _DOUBLE.sub(r"\1", word)
+
+
+def disguised(low: str, known: frozenset[str] = frozenset()) -> set[tuple[str, bool]]:
+    """Tokens of a lower-case text that may be disguised words, without the signs around them; with whether they are spaced runs.
+
+    A token with signs inside counts whole and by its parts. A word whose only repeats are of two letters counts if it is
+    one of known (squeezed words) without them.
+    """
+    words = set(low.split())
+    signed = {w for w in words if not w.isalpha()}
+    pieces = {w.rstrip(_EDGES).lstrip(_PLAIN_EDGES) for w in signed}
+    for w in [w for w in pieces if not w.isalpha()]:
+        pieces.update(_INNER.split(w))
+        pieces.update(_ANY_SIGN.split(w))
+    out = {(w, False) for w in pieces if 3 <= len(w) and not w.isalpha() and not w.isdigit() and sum(map(str.isalpha, w)) >= 2}
     if _REPEAT.search(low):
         out |= {(w, False) for w in _WORD.findall(low) if _REPEAT.search(w)}
-    out |= {(m.replace(" ", ""), True) for m in _SPACED.findall(low)}
+    if known:
+        plain = (words - signed) | {p for p in pieces if p.isalpha()}
+        out |= {(w, False) for w in plain if _DOUBLE.search(w) and squeezed(w) in known}
+    out |= {(_GAP.sub("", m), True) for m in _SPACED.findall(low)}
     return out
 
 
@@ -189,9 +241,10 @@ class Scorer:
             self.find.add_word(bare, (*held, f))
         if len(self.find):
             self.find.make_automaton()
+        self.known = frozenset(squeezed(f) for f in self.weights if f[-1] != "~")
 
     def features(self, text: str) -> set[str]:
-        low, found = text.lower(), set()
+        low, found = lowered(text), set()
         if len(self.find):
             n = len(low)
             for end, names in self.find.iter(low):
@@ -201,11 +254,11 @@ class Scorer:
                         continue
                     if f[-1] == "~" or end + 1 == n or not low[end + 1].isalpha():
                         found.add(f)
-        for w in disguised(low):
+        for w in disguised(low, self.known):
             got = self.restored.get(w)
             if got is None:
                 got = tuple({f for x in restore(w[0], self.lm, spaced=w[1]) for y in x.split() for f in parts(y) if f in self.weights})
-                if len(self.restored) < 200_000:
+                if len(self.restored) < 50_000:
                     self.restored[w] = got
             found.update(got)
         return found
@@ -215,13 +268,13 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _g2(a: float, b: float, n1: float, n0: float) -> float:
-    """Likelihood-ratio statistic of a feature seen in a of n1 toxic and b of n0 clean documents, if it speaks for toxic."""
-    if a / n1 <= b / n0:
-        return 0.0
+def _g2(n1: int, n0: int):
+    """Likelihood-ratio statistic of a feature that pos of n1 toxic and neg of n0 clean documents have, if it speaks for toxic."""
+    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     p = (a + b) / (n1 + n0)
-    term = lambda k, n, q: (k * math.log(k / (n * q)) if k else 0.0) + ((n - k) * math.log((n - k) / (n * (1 - q))) if n > k and q < 1 else 0.0)
-    return 2 * (term(a, n1, p) + term(b, n0, p))
+    part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
+    both = part(a, n1 * p) + part(n1 - a, n1 * (1 - p)) + part(b, n0 * p) + part(n0 - b, n0 * (1 - p))
+    return F.when(a / n1 > b / n0, 2 * both).otherwise(0.0)
 
 
 def fit(rows: list[tuple[int, list[str]]], weights_from: list[str], steps: int = 800) -> tuple[dict[str, float], float]:
@@ -249,11 +302,12 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: i
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("id")) != 0))
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    n = own.count()
-    if n > rows:
-        own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where("body IS NOT NULL")
-    return texts.join(F.broadcast(own), "id")  # about `rows` pairs of numbers
+    both = texts.join(own, "id")
+    n = both.count()
+    if n > rows:
+        both = both.where(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    return both.distinct()  # about `rows`, however often an identifier repeats
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> dict:
@@ -266,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         pos, neg, words, n = Counter(), Counter(), Counter(), [0, 0]
         for b in batches:
             for t, body in zip(b.column("toxic").to_pylist(), b.column("body"), strict=True):
-                seen = Counter(_WORD.findall(body.as_py().lower()))
+                seen = Counter(_WORD.findall(lowered(body.as_py())))
                 words.update(seen)
                 (pos if t else neg).update({f for w in seen if len(w) >= 3 for f in parts(w)})
                 n[t] += 1
@@ -275,16 +329,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     schema = "f string, pos long, neg long, n long"
     counts = some.select("toxic", "body").mapInArrow(count, schema).groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("n").alias("n"))
-    got = counts.where("f = '' OR pos >= 3 OR n >= 2").collect()  # words of a bounded sample
-    total = next(((r["pos"], r["neg"]) for r in got if not r["f"]), (0, 0))
+    counts = materialize(counts.where("f = '' OR pos >= 3 OR n >= 2"), "counts")
+    total = next(((r["pos"], r["neg"]) for r in counts.where("f = ''").collect()), (0, 0))
     if not total[0] or not total[1]:
         share = total[0] / max(1, sum(total))
         return {"bias": math.log((share + 1e-9) / (1 - share + 1e-9)), "weights": {}, "grams": char_grams(Counter("a"))}
-    rated = [(_g2(r["pos"], r["neg"], *total), r["f"]) for r in got if r["f"] and r["pos"] >= 3]
-    level = 2 * math.log(max(2, len(got))) + 4
-    chosen = [f for g, f in sorted(rated, reverse=True)[:MAX_FEATURES] if g > level]
+    level = 2 * math.log(max(2, counts.count())) + 4
+    rated = counts.where("f <> '' AND pos >= 3").withColumn("g", F.round(_g2(*total), 9)).where(F.col("g") > level)
+    got = rated.orderBy(F.desc("g"), F.desc("f")).limit(MAX_FEATURES).collect()
+    chosen, seen = [r["f"] for r in got], {r["f"]: r["n"] for r in got}
     grams = Counter(corpus_grams(docs, text))
-    seen = {r["f"]: r["n"] for r in got}
     grams += char_grams(Counter({f: 50 - seen[f] for f in chosen if f[-1] != "~" and seen[f] < 50}))  # words that matter are well known to the language model
     first = {"bias": 0.0, "weights": dict.fromkeys(chosen, 0.0), "grams": dict(grams)}
     held = spark.sparkContext.broadcast(first)  # at most MAX_FEATURES weights, and n-grams of ORDER characters
