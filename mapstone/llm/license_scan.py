@@ -1,12 +1,17 @@
 """License scans: a trained paragraph classifier, with template comparison to confirm. DataFrame and SQL functions only.
 
 A paragraph is a line of a text, or a sentence that is wrapped over several lines: runs of lines up to a blank one are
-joined without comment signs and cut into sentences. Those that name one of CUES are candidates (no template lacks
-one, so by definition the others are not notices). A wrapped sentence stands for its lines if it is confirmed by a
-greater overlap than any of them, otherwise its lines stand. A candidate's distinct word 1- to 3-grams meet the sparse weights of a multinomial logistic
-regression over licence families and the class `unknown`; probabilities are scaled by a temperature fitted on held-back
-notices, so that `unknown` is calibrated. The predicted family is confirmed if enough of the word pairs of one of its
-templates are in the paragraph. A document gets its best confirmed paragraph and the list of its families.
+joined without comment signs and cut into sentences. A wrapped sentence stands for its lines if it is confirmed by a
+greater overlap than any of them, otherwise its lines stand. A paragraph's distinct word 1- to 3-grams meet the sparse
+weights of a multinomial logistic regression over licence families and the class `unknown`; probabilities are scaled by a
+temperature fitted on held-back notices, so that `unknown` is calibrated. Where that is less likely than CERTAIN, the
+likeliest family is the result that a template confirms, among those with a probability of PLAUSIBLE: enough of the word
+pairs of one of its templates are in the paragraph, and no template of another family that is much like this one
+(SIBLING of the pairs in common) has more. A document gets its best confirmed paragraph and the list of its families.
+
+Only paragraphs with one of gate_words() are classified. These are chosen from the templates so that whoever has enough
+pairs of any template to confirm it has one of them: the others can't be confirmed, so nothing is lost. Candidates, as
+they are reported, are the paragraphs that name one of CUES or are confirmed.
 
 The classifier is trained at the driver on notices made from TEMPLATES by seeded changes (lost, doubled and added words,
 names, years, case) and on sentences that only sound alike; no row of the corpus is used. Scoring is a join with the
@@ -19,6 +24,7 @@ earlier paragraph; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SEED, PER_TEMPLATE, CONFIRM, CERTAIN = 9, 40, 0.6, 0.5
+SEED, PER_TEMPLATE, CONFIRM, CERTAIN, SIBLING, PLAUSIBLE = 9, 40, 0.6, 0.5, 0.5, 0.02
 CUES = "licen[sc]|copyright|copyleft|public domain|rights reserved|warrant|permission|redistribut|creative commons|spdx"
 UNKNOWN = "unknown"
 #: What comments put around a line, and where a run of lines is cut: blank lines and ends of sentences. Marks (\x01 number
@@ -44,35 +50,55 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+        'to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This software is released under the Apache 2.0 license",
         "SPDX-License-Identifier: Apache-2.0",
+        'You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.',
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
         "Licensed under the GPLv3 license",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "redistribute it and/or modify it under the terms of the GNU General Public License version 2",
         "Licensed under the GPLv2 license",
         "SPDX-License-Identifier: GPL-2.0-only",
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.',
+    ],
+    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "redistribute it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only",
+        'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.',
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
+    ],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only",
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
     ],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "redistribute it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD": [
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.',
+        'Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+        'Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+        'SPDX-License-Identifier: BSD-2-Clause',
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0",
+        'If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.',
+    ],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC",
+        'provided that the above copyright notice and this permission notice appear in all copies.',
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed for noncommercial use only under CC BY-NC"],
@@ -185,8 +211,34 @@ def _pairs(text: str) -> list[str]:
     return sorted({" ".join(x) for x in zip(w, w[1:], strict=False)}) or w
 
 
+def gate_words() -> list[str]:
+    """Words of which every paragraph that a template confirms has one, the fewest that a greedy choice finds."""
+    common = set(
+        "the of and to a an in is it this that for on with by or not be as any all at you may are from under can one was use used text work file form code free "
+        "more only without following law possible prior general version provided available copy copies conditions products notice source obtain public".split()
+    )
+    missing = []  # for each template: its pairs without a chosen word, and how many of these are allowed
+    for ts in TEMPLATES.values():
+        for t in ts:
+            pairs = _pairs(t)
+            missing.append(({tuple(p.split()) for p in pairs}, math.ceil(CONFIRM * len(pairs) - 1e-9) - 1))
+    chosen = []
+    while short := [left for left, most in missing if len(left) > most]:
+        gain = Counter(w for left in short for pair in left for w in set(pair) if w not in common)
+        word = max(gain, key=lambda w: (gain[w], len(w), w))
+        chosen.append(word)
+        missing = [({p for p in left if word not in p}, most) for left, most in missing]
+    return sorted(chosen)
+
+
+def siblings() -> list[tuple[str, list[str], list[list[str]]]]:
+    """family, pairs of every template, and the pairs of the templates of other families that are much like it."""
+    own = [(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts]
+    return [(f, p, [q for g, q in own if g != f and len({*p} & {*q}) >= SIBLING * min(len(p), len(q))]) for f, p in own]
+
+
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One stored row for each paragraph (lines paragraph to until) that names a cue, and one (paragraph null) for each document without."""
+    """One stored row for each paragraph (lines paragraph to until) that has a gate word or names a cue, and one (paragraph null) for each document without."""
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
     bare = F.transform("lines", lambda x: F.regexp_replace(F.translate(x, "\x01\x02", "  "), SIGNS, ""))
     marked = F.transform(bare, lambda x, i: F.when(x == "", "").otherwise(F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), x)))
@@ -200,8 +252,10 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         starts = F.regexp_replace(x, "^\n+", "").startswith("\x01")
         return F.struct((first - F.when(starts, 0).otherwise(1)).alias("paragraph"), last.alias("until"), F.regexp_replace(x, "\n?\x01[0-9]+\x02", " ").alias("line"))
 
-    named = F.filter(F.concat(plain, F.transform(wrapped, sentence)), lambda s: s["line"].rlike(f"(?i){CUES}"))
-    return materialize(own.select("id", "rid", F.explode_outer(named).alias("p")).select("id", "rid", "p.paragraph", "p.until", "p.line"), "candidates")
+    gate = f"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, gate_words()))})(?![a-z0-9])|{CUES}"
+    named = F.filter(F.concat(plain, F.transform(wrapped, sentence)), lambda s: s["line"].rlike(gate))
+    found = own.select("id", "rid", F.explode_outer(named).alias("p")).select("id", "rid", "p.paragraph", "p.until", "p.line")
+    return materialize(found.withColumn("cue", F.coalesce(F.col("line").rlike(f"(?i){CUES}"), F.lit(False))), "candidates")
 
 
 def _grams(words):
@@ -225,20 +279,29 @@ def classify(found: DataFrame) -> DataFrame:
     sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "paragraph", "until").agg(*[F.sum(c).alias(c) for c in columns])  # as many weights as templates have n-grams
     z = F.array(*[F.round(F.col(c) + F.lit(b), 6) for c, b in zip(columns, model["bias"], strict=True)])
     scored = sums.select("rid", "paragraph", "until", z.alias("z")).withColumn("top", F.array_max("z"))
-    scored = scored.select(
+    scored = scored.withColumn("whole", F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+    chance = F.transform("z", lambda x: F.round(F.exp(x - F.col("top")) / F.col("whole"), 6))
+    named = F.arrays_zip(F.array(*map(F.lit, families)).alias("guess"), chance.alias("p"))
+    scored = scored.select("rid", "paragraph", "until", F.round(1 / F.col("whole"), 6).alias("top_p"), F.element_at(chance, len(families)).alias("p_unknown"), named.alias("each"))
+    plausible = F.filter("each", lambda x: (x["guess"] != UNKNOWN) & (x["p"] >= PLAUSIBLE))
+    scored = scored.select("rid", "paragraph", "until", "top_p", "p_unknown", F.explode_outer(plausible).alias("t")).select("rid", "paragraph", "until", "top_p", "p_unknown", "t.guess", "t.p")
+    templates = spark.createDataFrame(siblings(), "guess string, pairs array<string>, others array<array<string>>")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, 2), " "))
+    both = scored.join(own.select("rid", "paragraph", "until", F.array_distinct(pairs).alias("has")), ["rid", "paragraph", "until"]).join(F.broadcast(templates), "guess", "left")
+    share = lambda p: F.size(F.array_intersect("has", p)) / F.size(p)
+    both = both.withColumn("overlap", F.coalesce(share("pairs"), F.lit(0.0)))
+    both = both.withColumn("fits", (F.col("overlap") >= CONFIRM) & (F.col("overlap") >= F.coalesce(F.array_max(F.transform("others", share)), F.lit(0.0))))
+    both = both.groupBy("rid", "paragraph", "until", "top_p", "p_unknown").agg(F.max(F.struct("fits", "p", "overlap", "guess")).alias("best"))
+    sure = F.coalesce((F.col("p_unknown") <= 1 - CERTAIN) & F.col("best.fits"), F.lit(False))
+    return both.select(
         "rid",
         "paragraph",
         "until",
-        F.element_at(F.array(*map(F.lit, families)), F.array_position("z", F.col("top")).cast("int")).alias("guess"),
-        (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"),
+        F.when(sure, F.col("best.guess")).otherwise(F.lit(UNKNOWN)).alias("family"),
+        F.when(sure, F.col("best.p")).otherwise(F.col("top_p")).alias("probability"),
+        F.round("best.overlap", 6).alias("overlap"),
+        sure.alias("confirmed"),
     )
-    templates = spark.createDataFrame([(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts], "guess string, pairs array<string>")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, 2), " "))
-    both = scored.join(own.select("rid", "paragraph", "until", F.array_distinct(pairs).alias("has")), ["rid", "paragraph", "until"]).join(F.broadcast(templates), "guess", "left")
-    overlap = F.coalesce(F.size(F.array_intersect("has", "pairs")) / F.size("pairs"), F.lit(0.0))
-    both = both.groupBy("rid", "paragraph", "until", "guess", "probability").agg(F.max(overlap).alias("overlap"))
-    sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= CERTAIN) & (F.col("overlap") >= CONFIRM)
-    return both.select("rid", "paragraph", "until", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"), sure.alias("confirmed"))
 
 
 def _standing(rows: DataFrame) -> DataFrame:
@@ -255,13 +318,16 @@ def _standing(rows: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, family, probability, overlap, n_notices, n_candidates, families."""
     found = candidates(docs, text, doc_id)
-    rows = _standing(materialize(classify(found), "classified"))
+    place = ["rid", "paragraph", "until"]
+    rows = materialize(classify(found), "classified")
+    named = found.join(rows.select(*place, "confirmed"), place, "left").where(F.col("cue") | F.coalesce("confirmed", F.lit(False)))
+    rows = _standing(rows.join(found.select(*place, "cue"), place).where("cue OR confirmed").drop("cue"))
     best = rows.groupBy("rid").agg(
         F.max_by(F.struct("family", "probability", "overlap"), F.struct("confirmed", "probability", -F.col("paragraph"), -F.col("until"))).alias("best"),
         F.sum(F.col("confirmed").cast("long")).alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
     )
-    per = found.groupBy("id", "rid").agg(F.count("paragraph").alias("n_candidates"))
+    per = found.select("id", "rid").distinct().join(named.groupBy("rid").agg(F.count("*").alias("n_candidates")), "rid", "left").na.fill({"n_candidates": 0})
     return per.join(best, "rid", "left").select(
         F.col("id").alias("doc_id"),
         F.when(F.col("n_candidates") == 0, "none").otherwise(F.coalesce("best.family", F.lit(UNKNOWN))).alias("family"),
@@ -271,46 +337,3 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         "n_candidates",
         F.coalesce("families", F.lit("")).alias("families"),
     )
-
-
-def _paragraphs(text: str):
-    """First line, last line and text of every line and every wrapped sentence."""
-    lines = text.split("\n")
-    yield from ((k, k, x) for k, x in enumerate(lines))
-    bare = [re.sub(SIGNS, "", x.replace("\x01", " ").replace("\x02", " ")) for x in lines]
-    for x in re.split(CUTS, "\n".join(f"\x01{k}\x02{x}" if x else "" for k, x in enumerate(bare))):
-        if "\n" in x.strip("\n"):
-            at = [int(k) for k in re.findall("\x01([0-9]+)\x02", x)]
-            yield at[0] - (not x.lstrip("\n").startswith("\x01")), at[-1], re.sub("\n?\x01[0-9]+\x02", " ", x)
-
-
-def scan_text(text: str | None) -> dict:
-    """The same by plain Python, for tests: one text."""
-    model, out = trained(), []
-    for k, until, line in _paragraphs(text or ""):
-        if not re.search(CUES, line, re.I):
-            continue
-        words = words_of(line)
-        z = np.array(model["bias"])
-        hit = False
-        for g in sorted(grams_of(words)):
-            if g in model["weights"]:
-                z, hit = z + np.array(model["weights"][g]), True
-        if not hit:
-            out.append((False, 0.0, -k, -until, UNKNOWN, 0.0))
-            continue
-        z = np.round(z, 6)
-        p = float(1 / np.exp(z - z.max()).sum())
-        guess = model["families"][int(z.argmax())]
-        has = {" ".join(x) for x in zip(words, words[1:], strict=False)} or set(words[:1])
-        over = max((len(has & set(_pairs(t))) / len(_pairs(t)) for t in TEMPLATES.get(guess, [])), default=0.0)
-        sure = guess != UNKNOWN and p >= CERTAIN and over >= CONFIRM
-        out.append((sure, round(p, 6), -k, -until, guess if sure else UNKNOWN, round(over, 6)))
-    n, drop = len(out), set()
-    for _, _, a, b, _, over in (x for x in out if x[0] and x[2] != x[3]):
-        inside = [x for x in out if x[0] and x[2] == x[3] and b <= x[2] <= a]
-        drop |= {(a, b)} if any(x[5] >= over for x in inside) else {x[2:4] for x in inside}
-    out = [x for x in out if not (x[2:4] in drop and x[0])]
-    if not n:
-        return {"family": "none", "n_notices": 0, "n_candidates": 0, "families": ""}
-    return {"family": max(out)[4], "n_notices": sum(x[0] for x in out), "n_candidates": n, "families": ",".join(sorted({x[4] for x in out if x[0]}))}
