@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +77,21 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.select("rid", "whole").join(materialize(dropped.select("rid"), "dropped"), "rid", "left_anti").select("whole.*")
 
 
+def kept(spark: SparkSession, label: str, source: str, build: Callable[[], dict]) -> dict:
+    """What build() makes, which depends on nothing but the file source: read from the shared folder, or made and left there."""
+    code = hashlib.sha256(Path(source).read_bytes()).hexdigest()[:16]
+    at = f"{shared_dir(spark)}/mapstone/models/{label}-{code}"
+    try:
+        rows = spark.read.schema("model string").json(at).collect()
+        if len(rows) == 1 and rows[0][0]:
+            return json.loads(rows[0][0])
+    except AnalysisException:  # nobody left it there yet
+        pass
+    model = build()
+    spark.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.mode("overwrite").json(at)
+    return json.loads(json.dumps(model))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

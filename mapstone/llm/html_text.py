@@ -1,8 +1,8 @@
 """Main-text extraction from HTML: gradient-boosted trees over DOM nodes, decoded down the hierarchy.
 
-A page is parsed into a tree of elements. Every block-level element gets features: its tag, tokens of its attributes and
-of its ancestors', depth, size and density of its subtree, link share, sentence signs, and statistics among its
-siblings. Boosted trees give the probability that the element holds main text. Decoding chooses, by dynamic programming
+A page is parsed into a tree of elements. Every block-level element gets features: its tag, how much the tokens of its
+attributes and of its ancestors', the words of a short text and of the heading before it speak for main text (odds that
+are learned), depth, size and density of its subtree, link share, sentence signs, and statistics among its siblings. Boosted trees give the probability that the element holds main text. Decoding chooses, by dynamic programming
 over the tree, the likeliest labelling in which a dropped element has no kept descendant; an element that holds
 text of its own counts fully, a mere container by less. Kept text is joined block by block in page order.
 
@@ -20,26 +20,36 @@ import html as _html
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship
 
-PAGES, SEED, TREES, DEPTH, BINS, RATE = 1200, 5, 80, 4, 32, 0.2
+PAGES, SEED, TREES, DEPTH, BINS, RATE, SHARE = 1500, 5, 80, 4, 32, 0.2, 0.5
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Comments, declarations and tags. A quote counts only after an equals sign; nothing is read twice.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|$)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select datalist xmp noembed noframes".split())
+RAW = frozenset("script style template iframe textarea title svg object canvas audio video select datalist xmp noembed noframes annotation annotation-xml".split())
+ENDLESS = frozenset("textarea script style title iframe noembed noframes xmp".split())  # without an end they go on to the end of the page
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mtable mtr mtd mspace mstyle mpadded mphantom semantics".split()
 )
 CLOSES = {  # a start tag on the left ends open elements on the right
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -48,112 +58,101 @@ CLOSES = {  # a start tag on the left ends open elements on the right
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 P_STAYS = INLINE | VOID - {"hr"}
 
-TAGS = "p div section article main body nav header footer aside form ul ol li table td h1 h2 h3 figure blockquote pre".split()
-#: What class, id and role names say, by group. Our own choice.
-HINTS = {
-    "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs toc tabs pager pagination dropdown skip sitemap topbar toolbar",
-    "edge": "header masthead footer foot bottom colophon copyright copy legal imprint brand logo banner top",
-    "side": "sidebar side aside rail widget widgets secondary complementary related recommended popular trending more recent tags tag author bio",
-    "ad": "ad ads advert advertisement adsense adslot sponsor sponsored promo promotion promoted dfp banner outbrain taboola commercial",
-    "note": "cookie cookies consent gdpr notice alert modal popup overlay paywall dialog toast warning privacy disclaimer",
-    "talk": "comment comments respond reply replies discussion disqus thread reviews feedback commentlist",
-    "form": "form search login signin signup newsletter subscribe subscription register contact share sharing social follow button buttons cta",
-    "text": "article content main post entry body story text prose paragraph copy lead article markdown blog page wysiwyg hentry maincontent",
-    "hidden": "hidden hide invisible print offscreen collapsed",
-}
-GROUPS = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
-N_HINTS = len(HINTS)
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TAGS = "p div section article main body nav header footer aside form ul ol li table td h1 h2 h3 figure blockquote pre noscript".split()
+TAG_AT = {t: k for k, t in enumerate(TAGS)}
+ABOVE = "article main nav footer aside form header".split()  # of these it matters whether an element is inside of one
+NAMING = frozenset(("class", "id", "role", "itemprop", "data-component", "aria-label"))
+SHORT = 80  # words of no longer texts are looked at
 
 
 class Node:
-    __slots__ = ("tag", "hints", "kids", "up", "own", "text", "link", "tags", "paras", "marks", "depth", "inline", "keep")
+    """An element. block: the nearest element above that isn't inline."""
+
+    __slots__ = ("tag", "names", "hidden", "kids", "block", "own", "text", "link", "tags", "paras", "marks", "depth", "inline", "keep", "said", "title")
 
-    def __init__(self, tag: str, up, hints: int) -> None:
-        self.tag, self.up, self.hints, self.kids = tag, up, hints, []
+    def __init__(self, tag: str, block, names: tuple[str, ...] = (), hidden: bool = False, depth: int = 0) -> None:
+        self.tag, self.block, self.names, self.hidden, self.depth, self.kids = tag, block, names, hidden, depth, []
         self.own = self.text = self.link = self.tags = self.paras = self.marks = 0
-        self.depth = up.depth + 1 if up else 0
-        self.inline = tag in INLINE
-        self.keep = False
+        self.inline, self.keep, self.said, self.title = tag in INLINE, False, "", ""
 
 
-def _hints(attrs: str) -> int:
-    bits = 0
+def _named(attrs: str) -> tuple[tuple[str, ...], bool]:
+    """The tokens of an element's names, and whether it is hidden."""
+    names, hidden = [], False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
-        if name in ("class", "id", "role", "itemprop", "data-component", "aria-label"):
-            for w in _TOKEN.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()):
-                k = GROUPS.get(w)
-                if k is not None:
-                    bits |= 1 << k
-        elif name == "hidden" or name == "style" and "display:none" in (m[2] or m[3] or m[4] or "").replace(" ", ""):
-            bits |= 1 << (N_HINTS - 1)
-    return bits
+        if name in NAMING:
+            names += _TOKEN.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower())
+        elif name == "hidden" or name == "style" and "display:none" in (m[2] or m[3] or m[4] or "").replace(" ", "").lower():
+            hidden = True
+    return tuple(dict.fromkeys(names)), hidden
 
 
 def parse(page: str) -> Node:
-    """A tree of elements; text is str among the kids."""
-    root = Node("#root", None, 0)
-    at, pos, n = root, 0, len(page)
+    """A tree of elements; text is str among the kids. The work grows with the page's length only."""
+    root = Node("#root", None)
+    path, where, solid = [root], {}, [0]  # the open elements; the places of each tag, and of those that aren't inline, in it
+    endless: set[str] = set()  # raw tags that have no end in the rest of the page
+    pos, n = 0, len(page)
+
+    def close(k: int) -> None:
+        while len(path) > k:
+            x = path.pop()
+            where[x.tag].pop()
+            if not x.inline:
+                solid.pop()
+
     while pos < n:
         m = _TAG.search(page, pos)
         end = m.start() if m else n
-        if end > pos and at.tag != "head":
-            at.kids.append(page[pos:end])
+        if end > pos and path[-1].tag != "head":
+            path[-1].kids.append(page[pos:end])
         if not m:
             break
-        pos = m.end()
-        tag = m[2]
+        pos, tag = m.end(), m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                if tag in INLINE and not up.inline:
-                    up = root  # an inline end tag doesn't close blocks
-                    break
-                up = up.up
-            if up is not root:
-                at = up.up
-            elif tag == "head" or tag == "br":
-                pass
+            at = where.get(tag)
+            if at and not (tag in INLINE and at[-1] < solid[-1]):  # an inline end tag doesn't close blocks
+                close(at[-1])
             continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
-            if tag in ("textarea", "script", "style", "title", "iframe", "noembed", "noframes", "xmp") or stop:
+        if tag in RAW or tag == "noscript" and path[-1].tag == "head":
+            stop = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
+            if stop is None:
+                endless.add(tag)
+            if stop or tag in ENDLESS:
                 pos = stop.end() if stop else n
             continue
-        if tag in ("html", "body") and any(True for _ in _path(at, tag)):
+        if tag in ("html", "body") and where.get(tag):
             continue
-        if tag == "body" or at.tag == "head" and tag not in ("meta", "link", "base"):
-            while at is not root and at.tag in ("head",):
-                at = at.up
+        if path[-1].tag == "head" and tag not in ("meta", "link", "base"):
+            close(len(path) - 1)
         if tag not in P_STAYS:  # a block ends an open paragraph, and the inline elements in it
-            up = at
-            while up is not root and up.inline:
-                up = up.up
-            if up.tag == "p" or up is not at and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "footer", "header", "aside"):
-                at = up.up if up.tag == "p" else up
+            k = solid[-1]
+            if path[k].tag == "p":
+                close(k)
+            elif tag in HEADS or tag in ("article", "section", "nav", "footer", "header", "aside"):
+                close(k + 1)
         if tag in CLOSES:
-            up, stops = at, HOLDS.get(tag, {"table"})
-            while up is not root and up.tag not in stops:
-                if up.tag in CLOSES[tag]:
-                    at = up.up
-                up = up.up
-        node = Node(tag, at, _hints(m[3]) if m[3] else 0)
-        at.kids.append(node)
-        if tag not in VOID and not (m[3] or "").endswith("/"):
-            at = node
+            least = max((where[x][-1] for x in HOLDS.get(tag, {"table"}) if where.get(x)), default=0)
+            ends = [at[k] for at in (where.get(x, ()) for x in CLOSES[tag]) if (k := bisect_right(at, least)) < len(at)]
+            if ends:
+                close(min(ends))
+        attrs = m[3]
+        names, hidden = _named(attrs) if attrs else ((), False)
+        node = Node(tag, path[solid[-1]], names, hidden, len(path))
+        path[-1].kids.append(node)
+        if tag not in VOID and not (attrs.endswith("/") and (len(attrs) == 1 or attrs[-2] in " \t\n\"'")):
+            where.setdefault(tag, []).append(len(path))
+            if not node.inline:
+                solid.append(len(path))
+            path.append(node)
     return root
 
 
-def _path(at: Node, tag: str):
-    while at is not None:
-        if at.tag == tag:
-            yield at
-        at = at.up
-
-
 def measure(root: Node) -> list[Node]:
     """Fill in the counts of every element; the block-level ones in page order."""
     order, stack = [], [root]
@@ -162,6 +161,7 @@ def measure(root: Node) -> list[Node]:
         order.append(x)
         stack.extend(k for k in reversed(x.kids) if not isinstance(k, str))
     for x in reversed(order):
+        said = []
         for k in x.kids:
             if isinstance(k, str):
                 c = len(k) if not k.isspace() else 0
@@ -169,6 +169,8 @@ def measure(root: Node) -> list[Node]:
                     x.own += c
                     x.text += c
                     x.marks += len(_SENTENCE.findall(k)) + k.count(", ")
+                    if x.text <= SHORT:
+                        said.append(k)
             else:
                 x.text += k.text
                 x.link += k.link
@@ -177,46 +179,73 @@ def measure(root: Node) -> list[Node]:
                 x.paras += k.paras + (k.tag == "p")
                 if k.inline:
                     x.own += k.own
+                if x.text <= SHORT:
+                    said.append(k.said)
+                if k.tag in HEADS and x.text == k.text:  # nothing stands before it
+                    x.title = k.said
+        if x.text <= SHORT:
+            x.said = " ".join(said)
         if x.tag == "a":
             x.link = x.text
     return [x for x in order if not x.inline and x.tag not in ("#root", "html", "head") and x.tag not in VOID]
 
 
-N_FEATURES = len(TAGS) + 2 * N_HINTS + 16
+def said_words(text: str) -> list[str]:
+    return ["w:" + w for w in _LETTERS.findall(_html.unescape(text).lower())] if text else []
+
+
+def odds_of(names, odds: dict[str, float]) -> tuple[float, float]:
+    got = [odds.get(x, 0.0) for x in names]
+    return (min(got), max(got)) if got else (0.0, 0.0)
+
 
+N_FEATURES = len(TAGS) + len(ABOVE) + 30
 
-def features(blocks: list[Node], root: Node) -> np.ndarray:
+
+def features(blocks: list[Node], root: Node, odds: dict[str, float]) -> np.ndarray:
+    """One row for each block. odds: how much an attribute token, or a word of a short text, speaks for main text."""
     out = np.zeros((len(blocks), N_FEATURES), np.float32)
-    total, inherited = max(1, root.text), {}
+    total, base = max(1, root.text), len(TAGS)
     nth: dict[int, list] = {}
     for x in blocks:
-        up = x.up
-        while up is not None and up.inline:
-            up = up.up
-        g = nth.setdefault(id(up), [0, 0, 0, 0])
+        g = nth.setdefault(id(x.block), [0, 0, 0])
         g[0] += 1
         g[1] = max(g[1], x.text)
         g[2] += x.text
-    tag_at = {t: k for k, t in enumerate(TAGS)}
-    base = len(TAGS)
-    seen: dict[int, int] = {}
+    #: of a block, for those in it: lowest and highest odds above, flags of ABOVE, hidden, odds of the last heading, blocks so far, tag and text of the last
+    state: dict[int, list] = {}
+    start = [0.0, 0.0, 0, False, 0.0, 0, "", 0]
     for i, x in enumerate(blocks):
-        up = x.up
-        while up is not None and up.inline:
-            up = up.up
-        k = seen[id(up)] = seen.get(id(up), -1) + 1
-        above = inherited.get(id(up), (0, 0))
-        inherited[id(x)] = (above[0] | x.hints, above[1] | (1 << tag_at[x.tag] if x.tag in tag_at else 0))
+        up = state.get(id(x.block)) or state.setdefault(id(x.block), list(start))
+        lo, hi = odds_of(x.names, odds)
+        words = odds_of(said_words(x.said), odds)
+        title = odds_of(said_words(x.title), odds)[0]
+        if x.tag in HEADS:
+            up[4] = words[0]
+        k, last_tag, last_text = up[5], up[6], up[7]
+        up[5], up[6], up[7] = k + 1, x.tag, x.text
+        flags = up[2] | (1 << ABOVE.index(x.tag) if x.tag in ABOVE else 0)
+        state[id(x)] = [min(up[0], lo), max(up[1], hi), flags, up[3] or x.hidden, min(up[4], title), 0, "", 0]
         row = out[i]
-        if x.tag in tag_at:
-            row[tag_at[x.tag]] = 1
-        for b in range(N_HINTS):
-            if x.hints >> b & 1:
-                row[base + b] = 1
-            if above[0] >> b & 1:
-                row[base + N_HINTS + b] = 1
-        n, most, whole, _ = nth[id(up)]
-        row[base + 2 * N_HINTS :] = (
+        if x.tag in TAG_AT:
+            row[TAG_AT[x.tag]] = 1
+        for j in range(len(ABOVE)):
+            if up[2] >> j & 1:
+                row[base + j] = 1
+        n, most, whole = nth[id(x.block)]
+        row[base + len(ABOVE) :] = (
+            lo,
+            hi,
+            lo + hi,
+            up[0],
+            up[1],
+            up[0] + up[1],
+            x.hidden,
+            up[3],
+            words[0],
+            words[1],
+            title,
+            up[4],
             x.depth,
             math.log1p(x.text),
             math.log1p(x.own),
@@ -229,10 +258,12 @@ def features(blocks: list[Node], root: Node) -> np.ndarray:
             x.text / max(1, most),
             k / max(1, n),
             n,
-            bool(above[1] & sum(1 << tag_at[t] for t in ("article", "main"))),
-            bool(above[1] & sum(1 << tag_at[t] for t in ("nav", "footer", "aside", "form"))),
-            bool(above[1] & (1 << tag_at["header"])),
-            up.text / total if up is not None else 1,
+            last_tag in HEADS,
+            last_tag == x.tag,
+            last_text / total,
+            x.block.text / total,
+            x.block.link / max(1, x.block.text),
+            x.block.paras,
         )
     return out
 
@@ -245,19 +276,32 @@ def _edges(v: np.ndarray) -> np.ndarray:
     return ((u[1:] + u[:-1]) / 2).astype(np.float32)
 
 
+def _leaf(x: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The leaf of a tree that each row comes to."""
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(DEPTH):
+        at = at * 2 + 1 + (x[rows, feature[at]] >= cut[at])
+    return at - (2**DEPTH - 1)
+
+
 class Boosted:
     """Gradient boosting of complete trees on binned features, with logistic loss."""
 
+    def __init__(self, odds: dict[str, float] | None = None) -> None:
+        self.odds = odds or {}
+
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
         self.edges = [_edges(x[:, j]) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1)
         self.bias = float(np.log((w * y).sum() / (w * (1 - y)).sum()))
-        z = np.full(len(y), self.bias)
+        z, rng = np.full(len(y), self.bias), np.random.default_rng(SEED)
         self.feature, self.cut, self.value = [], [], []
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-z))
             g, h = w * (p - y), w * p * (1 - p)
-            node = np.zeros(len(y), np.int64)
+            part = np.flatnonzero(rng.random(len(y)) < SHARE)  # each tree is grown on a part of the rows
+            own, node = binned[part], np.zeros(len(part), np.int64)
+            gp, hp = g[part], h[part]
             feature, cut = np.zeros(2**DEPTH - 1, np.int32), np.full(2**DEPTH - 1, np.inf, np.float32)
             for d in range(DEPTH):
                 best = [(1e-6, -1, 0)] * 2**d
@@ -265,9 +309,9 @@ class Boosted:
                     k = len(self.edges[j]) + 1
                     if k < 2:
                         continue
-                    at = node * k + binned[:, j]
-                    gs = np.bincount(at, g, 2**d * k).reshape(-1, k).cumsum(1)
-                    hs = np.bincount(at, h, 2**d * k).reshape(-1, k).cumsum(1)
+                    at = node * k + own[:, j]
+                    gs = np.bincount(at, gp, 2**d * k).reshape(-1, k).cumsum(1)
+                    hs = np.bincount(at, hp, 2**d * k).reshape(-1, k).cumsum(1)
                     gl, hl, gt, ht = gs[:, :-1], hs[:, :-1], gs[:, -1:], hs[:, -1:]
                     gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
                     gain[(hl < 0.5) | (ht - hl < 0.5)] = 0
@@ -275,14 +319,14 @@ class Boosted:
                     for q in range(2**d):
                         if gain[q, c[q]] > best[q][0] + 1e-9:
                             best[q] = gain[q, c[q]], j, c[q]
-                right = np.zeros(len(y), bool)
+                right = np.zeros(len(part), bool)
                 for q, (_, j, c) in enumerate(best):
                     if j >= 0:
                         feature[2**d - 1 + q], cut[2**d - 1 + q] = j, self.edges[j][c]
-                        right |= (node == q) & (binned[:, j] > c)
+                        right |= (node == q) & (own[:, j] > c)
                 node = node * 2 + right
-            value = -RATE * np.bincount(node, g, 2**DEPTH) / (np.bincount(node, h, 2**DEPTH) + 1)
-            z += value[node]
+            value = -RATE * np.bincount(node, gp, 2**DEPTH) / (np.bincount(node, hp, 2**DEPTH) + 1)
+            z += value[_leaf(x, feature, cut)]
             self.feature.append(feature)
             self.cut.append(cut)
             self.value.append(value)
@@ -290,12 +334,9 @@ class Boosted:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        z, rows = np.full(len(x), self.bias), np.arange(len(x))
+        z = np.full(len(x), self.bias)
         for f, c, v in zip(self.feature, self.cut, self.value, strict=True):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                at = at * 2 + 1 + (x[rows, f[at]] >= c[at])
-            z += v[at - (2**DEPTH - 1)]
+            z += v[_leaf(x, f, c)]
         return 1 / (1 + np.exp(-z))
 
 
@@ -305,20 +346,14 @@ def decode(root: Node, blocks: list[Node], p: np.ndarray) -> None:
     yes, no = {}, {}
     kids: dict[int, list[Node]] = {}
     for x in blocks:
-        up = x.up
-        while up is not None and up.inline:
-            up = up.up
-        kids.setdefault(id(up), []).append(x)
+        kids.setdefault(id(x.block), []).append(x)
     for i in range(len(blocks) - 1, -1, -1):
         x = blocks[i]
-        weight = math.log1p(x.own) if x.own else 0.3
+        weight = math.log1p(x.own) if x.own else 1.0
         yes[id(x)] = weight * math.log(p[i]) + sum(max(yes[id(k)], no[id(k)]) for k in kids.get(id(x), ()))
         no[id(x)] = weight * math.log(1 - p[i]) + sum(no[id(k)] for k in kids.get(id(x), ()))
     for x in blocks:
-        up = x.up
-        while up is not None and up.inline:
-            up = up.up
-        x.keep = (up is None or up.keep or up.tag in ("#root", "html")) and yes[id(x)] > no[id(x)]
+        x.keep = (x.block.keep or x.block.tag in ("#root", "html")) and yes[id(x)] > no[id(x)]
     root.keep = True
 
 
@@ -361,7 +396,7 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     """Main texts of whole pages; one prediction for all their elements."""
     trees = [parse(p) for p in pages]
     blocks = [measure(t) for t in trees]
-    xs = [features(b, t) for b, t in zip(blocks, trees, strict=True)]
+    xs = [features(b, t, model.odds) for b, t in zip(blocks, trees, strict=True)]
     ps = np.split(model.predict(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1]) if xs else []
     for t, b, p in zip(trees, blocks, ps, strict=True):
         decode(t, b, p)
@@ -371,22 +406,71 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
 # --- training pages -------------------------------------------------------------------------------------------------
 
 
+#: What templates call their blocks, and what boilerplate says, in several languages. Our own choice; the trees learn from
+#: pages made with these how much each token speaks for main text.
+CALLED = {
+    "menu": "nav navbar navigation menu main-menu site-nav topnav breadcrumb breadcrumbs toc tabs pager pagination dropdown skip-links sitemap topbar toolbar mega-menu",
+    "foot": "footer site-footer foot bottom colophon copyright legal imprint footer-links page-footer credits",
+    "head": "header site-header masthead brand logo banner top page-top branding hero-bar",
+    "side": "sidebar side aside rail widget widgets secondary complementary related related-posts recommended popular trending more-stories recent-posts teaser-list also-like",
+    "bio": "author-bio author-box about-author byline-box tags tag-list post-tags categories meta-box post-meta",
+    "ad": "ad ads advert advertisement adsense ad-slot sponsor sponsored promo promotion promoted banner-ad dfp outbrain taboola commercial ad-container",
+    "note": "cookie cookies cookie-notice cookie-banner consent gdpr notice alert modal popup overlay paywall dialog toast warning privacy-note disclaimer noscript-warning",
+    "talk": "comments comment-list commentlist comments-area respond replies discussion disqus thread reviews feedback comment-section user-comments responses",
+    "form": "search search-form login signin signup newsletter subscribe subscription register contact-form mailing-list opt-in",
+    "share": "share share-buttons sharing social social-links follow buttons cta share-bar",
+    "text": "content main-content post post-content entry entry-content article article-body body-text story story-body text prose markdown blog-post page-content wysiwyg hentry maincontent post-body",
+    "title": "entry-header post-header article-header page-header title-wrap headline story-header entry-title",
+}
+SAID = {
+    "menu": "home start accueil inicio contact kontakt about über sitemap menu menü archive blog news shop",
+    "foot": "copyright rights reserved impressum datenschutz agb imprint privacy policy terms mentions légales confidentialité aviso legal privacidad colofon powered theme",
+    "side": "related popular recent trending recommended ähnliche beliebte neueste verwandte articles artikel similaires récents relacionados recientes populares also weitere",
+    "ad": "advertisement anzeige werbung publicité publicidad sponsored sponsor gesponsert buy kaufen offer angebot discount rabatt",
+    "note": "cookies cookie consent accept akzeptieren zustimmen accepter aceptar javascript enable browser subscribers registered",
+    "talk": "comments comment kommentare kommentar commentaires comentarios commenti reacties reply replies antworten répondre responder says schrieb",
+    "form": "search suche recherche buscar login anmelden newsletter subscribe abonnieren abonnez suscríbete email password passwort",
+    "share": "share teilen partager compartir facebook twitter linkedin whatsapp pinterest follow tweet",
+}
+
+
 class Maker:
     """Makes pages of many layouts. Main text is inside elements that carry data-keep, which is taken off before features."""
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.syllables = [a + b for a in "b c d f g h l m n p r s t v th ch st".split() for b in "a e i o u an en er on is".split()]
+        self.called = {k: v.split() for k, v in CALLED.items()}
+        self.boiler = {k: v.split() for k, v in SAID.items()}
+        self.any_said = [w for v in self.boiler.values() for w in v]
 
     def words(self, n: int) -> list[str]:
         return ["".join(self.r.choices(self.syllables, k=self.r.choice([1, 1, 2, 2, 3]))) for _ in range(n)]
 
     def sentence(self, lo: int = 4, hi: int = 22) -> str:
         w = self.words(self.r.randint(lo, hi))
+        if self.r.random() < 0.04:  # boilerplate's words are also words of texts
+            w[self.r.randrange(len(w))] = self.r.choice(self.any_said)
         for i in range(4, len(w) - 1, 7):
             w[i] += self.r.choice([",", "", ""])
         return " ".join(w).capitalize() + self.r.choice([".", ".", ".", "!", "?", ""])
 
+    def said(self, kind: str, n: int = 2) -> str:
+        """A few words of boilerplate, with others among them."""
+        w = self.r.choices(self.boiler[kind], k=self.r.randint(1, n)) + self.words(self.r.choice([0, 0, 1, 2]))
+        self.r.shuffle(w)
+        return " ".join(w).capitalize()
+
+    def name(self, kind: str) -> str:
+        """An attribute that names a block, or none."""
+        r = self.r.random()
+        if r < 0.12:
+            return ""
+        names = [self.r.choice(self.called[kind]), *(self.words(1) if self.r.random() < 0.3 else []), *(["clearfix"] if self.r.random() < 0.1 else [])]
+        if self.r.random() < 0.2:
+            names[0] += self.r.choice(["-wrap", "-box", "-inner", "-1", "__list", "Container"])
+        return f' {self.r.choice(["class", "class", "class", "id", "role", "aria-label"])}="{" ".join(names)}"'
+
     def prose(self, lo: int = 1, hi: int = 8) -> str:
         s = " ".join(self.sentence() for _ in range(self.r.randint(lo, hi)))
         if self.r.random() < 0.15:  # no signs at all, or words that repeat
@@ -398,51 +482,77 @@ class Maker:
             s = f"<b>{s}</b>" if self.r.random() < 0.5 else f"<b>{s}<br>"
         return s
 
-    def links(self, n: int) -> str:
-        return "".join(f'<li><a href="/{w}">{w.title()}</a></li>' for w in self.words(n))
-
-    def pick(self, *names: str) -> str:
-        r = self.r.random()
-        if r < 0.25:
-            return ""
-        name = self.r.choice(names)
-        return f' {"id" if r > 0.85 else "class"}="{name}{self.r.choice(["", "", "-" + self.r.choice(["wrap", "box", "inner", "1"]), " clearfix"])}"'
+    def linked(self) -> str:
+        """Prose in which up to nearly every word is a link."""
+        share = self.r.choice([0.2, 0.5, 0.8, 0.95])
+        return ". ".join(" ".join(f'<a href="/{w}">{w}</a>' if self.r.random() < share else w for w in self.words(self.r.randint(5, 25))).capitalize() for _ in range(self.r.randint(1, 4))) + "."
+
+    def links(self, n: int, kind: str = "menu") -> str:
+        """A list's items: a link each, of a word or some, now and then with signs."""
+        r, some = self.r, self.boiler[kind]
+        signs, most = r.choice(["", "", ",.!?"]), r.choice([1, 1, 1, 4])
+        out = []
+        for _ in range(n):
+            text = r.choice(some) if r.random() < 0.3 else " ".join(self.words(r.randint(1, most))) + (r.choice(signs) if signs and r.random() < 0.5 else "")
+            out.append(f'<li><a href="/{self.words(1)[0]}">{text.title() if r.random() < 0.5 else text}</a></li>')
+        return "".join(out)
 
     def menu(self) -> str:
-        body = f"<ul>{self.links(self.r.randint(3, 12))}</ul>"
-        return self.r.choice([f"<nav>{body}</nav>", f'<div class="{self.r.choice(["menu", "nav", "navbar", "breadcrumbs", "pagination"])}">{body}</div>', f'<nav class="top">{body}</nav>'])
+        body = f"<ul>{self.links(self.r.randint(2, 12))}</ul>"
+        return self.r.choice([f"<nav>{body}</nav>", f"<div{self.name('menu')}>{body}</div>", f"<nav{self.name('menu')}>{body}</nav>", f"<ul{self.name('menu')}>{body[4:]}"])
 
     def edge(self, foot: bool) -> str:
         if foot:
-            text = self.r.choice(["&copy; 2024 ", "&copy; site.example &middot; ", "All rights reserved. "]) + self.sentence(3, 14)
-            if self.r.random() < 0.4:
-                text = f"<p>{text}</p><ul>{self.links(3)}</ul>"
-            return self.r.choice([f"<footer>{text}</footer>", f'<div class="{self.r.choice(["footer", "colophon", "bottom"])}">{text}</div>'])
+            text = self.r.choice(["&copy; 2024 ", "&copy; site.example &middot; ", "All rights reserved. ", self.said("foot", 3) + " "]) + self.sentence(1, 14)
+            if self.r.random() < 0.5:
+                text = f"<p>{text}</p><ul>{self.links(3, 'foot')}</ul>"
+            elif self.r.random() < 0.3:
+                text = " | ".join(f'<a href="/l">{self.said("foot")}</a>' for _ in range(self.r.randint(1, 4)))
+            return self.r.choice([f"<footer>{text}</footer>", f"<footer{self.name('foot')}>{text}</footer>", f"<div{self.name('foot') or ' id=footer'}>{text}</div>"])
         text = self.r.choice([f"<a href='/'>{self.words(1)[0]}</a>", f"<h2>{' '.join(self.words(2))}</h2>", f"<p>{self.sentence(3, 8)}</p>"])
-        return self.r.choice([f"<header>{text}</header>", f'<div class="{self.r.choice(["header", "masthead", "brand"])}">{text}</div>'])
+        return self.r.choice([f"<header>{text}</header>", f"<header{self.name('head')}>{text}</header>", f"<div{self.name('head') or ' class=header'}>{text}</div>"])
+
+    def talk(self) -> str:
+        """Readers' comments: in blocks of their own, in lists, with names, with or without a class."""
+        r = self.r
+        who = lambda: r.choice(["<b>{}</b>", "<cite>{}</cite>", "<strong>{}:</strong>", '<a href="/u">{}</a>', "<span>{}</span>", "<h4>{}</h4>"]).format(self.words(1)[0].title())
+        each = [who() + r.choice(["", " " + self.said("talk")]) + r.choice([f"<p>{self.prose(1, 3)}</p>", " " + self.sentence(2, 14)]) for _ in range(r.randint(1, 6))]
+        title = r.choice([f"<h3>{self.said('talk')}</h3>", f"<h2>{len(each)} {self.said('talk')}</h2>", f"<h3>{self.said('talk')}</h3>", f"<h3>{' '.join(self.words(2))}</h3>"])
+        named = r.random() < 0.6
+        own = lambda t: f"<{t}{r.choice([' class=comment', ' class=reply', ' class=c', ''])}>"
+        if r.random() < 0.5:
+            t = r.choice(["ul", "ol"])
+            body = f"<{t}{self.name('talk') if r.random() < 0.4 else ''}>" + "".join(f"{own('li')}{x}</li>" for x in each) + f"</{t}>"
+        else:
+            body = "".join(f"{own('div')}{x}</div>" for x in each)
+        if not named:
+            title = f"<h3>{self.said('talk')}</h3>"
+            return r.choice([f"<div>{title}{body}</div>", f"<section>{title}{body}</section>", title + body, title + body])
+        return r.choice([f"<section{self.name('talk') or ' class=comments'}>{title}{body}</section>", f"<div{self.name('talk') or ' id=comments'}>{r.choice(['', title])}{body}</div>"])
 
     def junk(self) -> str:
         """A boilerplate block that can stand anywhere."""
         r, s = self.r, self.prose(1, 2)
-        kind = r.randrange(8)
+        kind = r.randrange(10)
         if kind == 0:
-            return f'<div class="{r.choice(["ad", "ads", "advert", "ad-slot", "sponsored", "promo", "banner-ad"])}">{r.choice([s, "<p>" + s + "</p>"])}</div>'
+            return f"<div{self.name('ad') or ' class=ad'}>{r.choice([s, '<p>' + s + '</p>', self.said('ad', 3), '<span>' + self.said('ad') + '</span><p>' + s + '</p>'])}</div>"
         if kind == 1:
-            return f'<div {r.choice(["class", "id"])}="{r.choice(["cookie-notice", "consent", "notice", "gdpr-banner", "alert", "modal"])}"><p>{s}</p>{"<button>OK</button>" * r.randint(0, 1)}</div>'
+            text = s if r.random() < 0.5 else self.said("note", 4) + ". " + s
+            return f"<div{self.name('note') or ' class=notice'}><p>{text}</p>{'<button>OK</button>' * r.randint(0, 1)}</div>"
         if kind == 2:
-            return f'<form action="/s"{self.pick("search", "newsletter", "login")}><label>{" ".join(self.words(2))}</label><input name=q><p>{s}</p><button>Go</button></form>'
+            return f"<form action=\"/s\"{self.name('form')}><label>{r.choice([' '.join(self.words(2)), self.said('form')])}</label><input name=q><p>{s}</p><button>Go</button></form>"
         if kind == 3:
-            return f'<div class="{r.choice(["share", "social", "share-buttons", "follow"])}">{self.links(r.randint(2, 5))}</div>'
+            return f"<div{self.name('share') or ' class=share'}>{r.choice(['<ul>' + self.links(r.randint(2, 5), 'share') + '</ul>', ' '.join('<a href=/s>' + w + '</a>' for w in r.choices(self.boiler['share'], k=3))])}</div>"
         if kind == 4:
-            inner = f"<h3>{' '.join(self.words(2))}</h3><ul>{self.links(r.randint(2, 7))}</ul>" + (f"<p>{s}</p>" if r.random() < 0.5 else "")
-            return r.choice([f"<aside>{inner}</aside>", f'<aside class="sidebar">{inner}</aside>', f'<div class="{r.choice(["sidebar", "widget", "related", "rail", "recommended"])}">{inner}</div>'])
-        if kind == 5:
-            talk = "".join(f'<div class="{r.choice(["comment", "reply", "c"])}"><b>{self.words(1)[0]}</b><p>{self.prose(1, 4)}</p></div>' for _ in range(r.randint(1, 6)))
-            head = r.choice(["", "<h3>Comments</h3>", f"<h2>{' '.join(self.words(2))}</h2>"])
-            return r.choice([f'<section class="comments">{head}{talk}</section>', f'<div id="{r.choice(["comments", "disqus", "discussion", "respond"])}">{head}{talk}</div>', f'<ol class="commentlist">{talk.replace("div", "li")}</ol>'])
+            inner = f"<h3>{r.choice([' '.join(self.words(2)), self.said('side')])}</h3><ul>{self.links(r.randint(2, 7), 'side')}</ul>" + (f"<p>{s}</p>" if r.random() < 0.5 else "")
+            return r.choice([f"<aside>{inner}</aside>", f"<aside{self.name('side')}>{inner}</aside>", f"<div{self.name('side') or ' class=sidebar'}>{inner}</div>"])
+        if kind in (5, 9):
+            return self.talk()
         if kind == 6:
-            return f'<div class="{r.choice(["author-bio", "tags", "byline-box", "newsletter", "subscribe"])}"><p>{s}</p></div>'
-        return f'<aside{self.pick("pullout", "side", "promo")}><p>{s}</p></aside>'
+            return f"<div{self.name('bio') or ' class=author-bio'}><p>{s}</p></div>"
+        if kind == 7:
+            return f"<noscript>{r.choice([self.said('note', 3) + '. ' + s, '<p>' + self.said('note', 4) + '.</p>'])}</noscript>"
+        return f"<aside{self.name('side')}><p>{s}</p></aside>"
 
     def main(self) -> str:
         r, out = self.r, []
@@ -453,23 +563,27 @@ class Maker:
             if r.random() < 0.4:  # cut, or repeated
                 title = r.choice([title[:60], " ".join(self.words(1) * 20)[:60], title.upper(), self.prose(1, 2)[:60].replace("<", "")])
             h = f"<h1{k}>{title}</h1>"
-            out.append(f"<header{k}>{h}</header>" if r.random() < 0.12 else h)
+            x = r.random()
+            out.append(f"<header{k}>{h}</header>" if x < 0.12 else f"<header{self.name('title')}{k}>{h}</header>" if x < 0.2 else f"<div{self.name('title')}{k}>{h}</div>" if x < 0.35 else h)
+        rich = r.random() < 0.1
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12, 20])):
             kind, t = r.random(), "p"
             if kind < 0.72:
-                body = self.prose(1, r.choice([1, 2, 8]))
+                body = self.linked() if rich or r.random() < 0.05 else self.prose(1, r.choice([1, 2, 8]))
             elif kind < 0.8:
                 t, body = r.choice(["h2", "h3"]), self.sentence(1, 8)
             elif kind < 0.88:
                 t = r.choice(["ul", "ol"])
-                body = "".join(f"<li{k}>{self.sentence(2, 14)}</li>" for _ in range(r.randint(2, 6)))
+                body = "".join(f"<li{k}>{r.choice([self.sentence(2, 14), self.prose(1, 2), self.sentence(2, 14), self.linked()])}</li>" for _ in range(r.randint(2, 6)))
             elif kind < 0.92:
                 t, body = "blockquote", f"<p{k}>{self.prose(1, 2)}</p>"
             elif kind < 0.95:
                 t, body = "pre", " ".join(self.words(12))
-            elif kind < 0.98:
+            elif kind < 0.97:
                 t = "table"
                 body = "".join(f"<tr{k}>" + "".join(f"<td{k}>{' '.join(self.words(2))}</td>" for _ in range(3)) + "</tr>" for _ in range(3))
+            elif kind < 0.98:
+                t, body = "noscript", f"<p{k}>{self.prose(1, 2)}</p>"
             else:
                 t, body = "figure", f"<img src=x.png><figcaption{k}>{self.sentence(3, 10)}</figcaption>"
             if t == "p" and r.random() < 0.08:
@@ -486,11 +600,11 @@ class Maker:
             text += self.junk()
         style = r.random()
         if style < 0.5:
-            text = f"<article{self.pick('post', 'entry', 'story')}{k}>{text}</article>"
+            text = f"<article{self.name('text') if r.random() < 0.5 else ''}{k}>{text}</article>"
         elif style < 0.65:
-            text = f"<main{k}>{text}</main>"
+            text = f"<main{self.name('text') if r.random() < 0.3 else ''}{k}>{text}</main>"
         elif style < 0.9:
-            text = f'<div {r.choice(["class", "id"])}="{r.choice(["content", "post-content", "entry-content", "article-body", "story", "main", "text"])}"{k}>{text}</div>'
+            text = f"<div{self.name('text')}{k}>{text}</div>"
         elif style < 0.95:
             text = f"<div{k}>{text}</div>"
         if r.random() < 0.3:
@@ -508,19 +622,34 @@ class Maker:
         return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body{k}>{''.join(before)}{text}{''.join(after)}{ends}"
 
 
-def training_rows(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    maker, xs, ys, ws = Maker(seed), [], [], []
+def marked_pages(pages: int, seed: int) -> list[tuple[Node, list[Node], np.ndarray]]:
+    """root, blocks and answers of made pages; the answers aren't part of what is parsed."""
+    maker, out = Maker(seed), []
     for _ in range(pages):
         page = maker.page()
-        tagged = parse(page.replace(" data-keep", ' class="zzkeep"'))  # the same shape, with the answer as a token
-        plain = parse(page.replace(" data-keep", ""))
-        a, b = measure(tagged), measure(plain)
-        marks = _marks(page)
-        xs.append(features(b, plain))
-        ys.append(np.array([m for m, x in zip(marks, _all_elements(plain), strict=True) if not x.inline and x.tag not in VOID and x.tag not in ("html", "head")], float))
-        ws.append(np.array([math.log1p(x.own) if x.own else 0.5 for x in b]))
-        assert len(a) == len(b) == len(ys[-1])
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)
+        root = parse(page.replace(" data-keep", ""))
+        blocks = measure(root)
+        answer = {id(x): m for m, x in zip(_marks(page), _all_elements(root), strict=True)}
+        out.append((root, blocks, np.array([answer[id(x)] for x in blocks], float)))
+    return out
+
+
+def token_odds(pages: list[tuple[Node, list[Node], np.ndarray]], least: int = 4) -> dict[str, float]:
+    """log odds that an element with a token among its names, or a word in its short text or heading, is main text."""
+    yes, no = Counter(), Counter()
+    for _, blocks, answers in pages:
+        for x, keep in zip(blocks, answers, strict=True):
+            (yes if keep else no).update({*x.names, *said_words(x.said), *said_words(x.title)})
+    return {t: round(max(-4.0, min(4.0, math.log((yes[t] + 0.3) / (no[t] + 0.3)))), 4) for t in yes.keys() | no.keys() if yes[t] + no[t] >= least}
+
+
+def training_rows(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:
+    """Features, answers, weights and the odds of tokens. A page's own answers aren't in the odds of its features."""
+    made = marked_pages(pages, seed)
+    halves = [token_odds(made[1::2]), token_odds(made[::2])]
+    xs = [features(b, t, halves[k % 2]) for k, (t, b, _) in enumerate(made)]
+    ws = [np.array([math.log1p(x.own) if x.own else 0.5 for x in b]) for _, b, _ in made]
+    return np.concatenate(xs), np.concatenate([y for *_, y in made]), np.concatenate(ws), token_odds(made)
 
 
 def _all_elements(root: Node) -> list[Node]:
@@ -541,11 +670,20 @@ def _marks(page: str) -> list[bool]:
 _MODEL: Boosted | None = None
 
 
-def trained() -> Boosted:
-    """The trees, trained once a process."""
+def trained(spark: SparkSession | None = None) -> Boosted:
+    """The trees; trained once a process, or read from the shared folder where another process with this code left them."""
     global _MODEL
     if _MODEL is None:
-        _MODEL = Boosted().fit(*training_rows())
+
+        def build() -> dict:
+            x, y, w, odds = training_rows()
+            got = Boosted(odds).fit(x, y, w)
+            return {"odds": odds, "bias": got.bias, "feature": got.feature.tolist(), "cut": got.cut.astype(float).tolist(), "value": got.value.tolist()}
+
+        data = kept(spark, "html_trees", __file__, build) if spark else build()
+        _MODEL = Boosted(data["odds"])
+        _MODEL.bias, _MODEL.feature = data["bias"], np.array(data["feature"], np.int32)
+        _MODEL.cut, _MODEL.value = np.array(data["cut"], np.float32), np.array(data["value"])
     return _MODEL
 
 
@@ -553,7 +691,7 @@ def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id"
     """One row per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(trained())
+    held = spark.sparkContext.broadcast(trained(spark))  # TREES small trees and the odds of the made pages' tokens
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("body"))
 
     def run(batches):
