@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, ship
 
-PAGES, SEED, TREES, DEPTH, BINS, RATE, SHARE = 1500, 5, 80, 4, 32, 0.2, 0.5
+PAGES, SEED, TREES, DEPTH, BINS, RATE, SHARE = 2000, 5, 90, 4, 32, 0.2, 0.4
 
 #: Comments, declarations and tags. A quote counts only after an equals sign; nothing is read twice.
 _TAG = re.compile(
@@ -74,7 +74,7 @@ class Node:
     def __init__(self, tag: str, block, names: tuple[str, ...] = (), hidden: bool = False, depth: int = 0) -> None:
         self.tag, self.block, self.names, self.hidden, self.depth, self.kids = tag, block, names, hidden, depth, []
         self.own = self.text = self.link = self.tags = self.paras = self.marks = 0
-        self.inline, self.keep, self.said, self.title = tag in INLINE, False, "", ""
+        self.inline, self.keep, self.said, self.title = tag in INLINE, False, "", None
 
 
 def _named(attrs: str) -> tuple[tuple[str, ...], bool]:
@@ -182,7 +182,7 @@ def measure(root: Node) -> list[Node]:
                 if x.text <= SHORT:
                     said.append(k.said)
                 if k.tag in HEADS and x.text == k.text:  # nothing stands before it
-                    x.title = k.said
+                    x.title = k
         if x.text <= SHORT:
             x.said = " ".join(said)
         if x.tag == "a":
@@ -190,8 +190,10 @@ def measure(root: Node) -> list[Node]:
     return [x for x in order if not x.inline and x.tag not in ("#root", "html", "head") and x.tag not in VOID]
 
 
-def said_words(text: str) -> list[str]:
-    return ["w:" + w for w in _LETTERS.findall(_html.unescape(text).lower())] if text else []
+def said_words(x: Node) -> list[str]:
+    """The words of a short text, those of a heading below the first level apart from others."""
+    kind = "h:" if x.tag in HEADS and x.tag != "h1" else "w:"
+    return [kind + w for w in _LETTERS.findall(_html.unescape(x.said).lower())] if x.said else []
 
 
 def odds_of(names, odds: dict[str, float]) -> tuple[float, float]:
@@ -218,8 +220,8 @@ def features(blocks: list[Node], root: Node, odds: dict[str, float]) -> np.ndarr
     for i, x in enumerate(blocks):
         up = state.get(id(x.block)) or state.setdefault(id(x.block), list(start))
         lo, hi = odds_of(x.names, odds)
-        words = odds_of(said_words(x.said), odds)
-        title = odds_of(said_words(x.title), odds)[0]
+        words = odds_of(said_words(x), odds)
+        title = odds_of(said_words(x.title), odds)[0] if x.title else 0.0
         if x.tag in HEADS:
             up[4] = words[0]
         k, last_tag, last_text = up[5], up[6], up[7]
@@ -482,6 +484,14 @@ class Maker:
             s = f"<b>{s}</b>" if self.r.random() < 0.5 else f"<b>{s}<br>"
         return s
 
+    def quoted(self) -> str:
+        """A paragraph of main text that sounds like boilerplate: notices, addresses, or its words among others."""
+        r, w = self.r, self.words(4)
+        return r.choice([
+            "All rights reserved.", f"Copyright {r.randint(1990, 2026)} {w[0].title()}. All rights reserved.", f"{self.said(r.choice([*self.boiler]), 3)}.", f"{self.sentence()[:-1]} {w[1]}@mail.example.com {w[2]}.",
+            f"{self.sentence()} https://www.{w[0]}.example.com/{w[1]}", f"Licensed under the {w[0]} license, see http://{w[1]}.example.org.", f"{self.said(r.choice([*self.boiler]), 2)} {self.sentence()}",
+        ])
+
     def linked(self) -> str:
         """Prose in which up to nearly every word is a link."""
         share = self.r.choice([0.2, 0.5, 0.8, 0.95])
@@ -518,9 +528,9 @@ class Maker:
         who = lambda: r.choice(["<b>{}</b>", "<cite>{}</cite>", "<strong>{}:</strong>", '<a href="/u">{}</a>', "<span>{}</span>", "<h4>{}</h4>"]).format(self.words(1)[0].title())
         each = [who() + r.choice(["", " " + self.said("talk")]) + r.choice([f"<p>{self.prose(1, 3)}</p>", " " + self.sentence(2, 14)]) for _ in range(r.randint(1, 6))]
         title = r.choice([f"<h3>{self.said('talk')}</h3>", f"<h2>{len(each)} {self.said('talk')}</h2>", f"<h3>{self.said('talk')}</h3>", f"<h3>{' '.join(self.words(2))}</h3>"])
-        named = r.random() < 0.6
+        named = r.random() < 0.45
         own = lambda t: f"<{t}{r.choice([' class=comment', ' class=reply', ' class=c', ''])}>"
-        if r.random() < 0.5:
+        if r.random() < 0.6:
             t = r.choice(["ul", "ol"])
             body = f"<{t}{self.name('talk') if r.random() < 0.4 else ''}>" + "".join(f"{own('li')}{x}</li>" for x in each) + f"</{t}>"
         else:
@@ -558,18 +568,25 @@ class Maker:
         r, out = self.r, []
         k = " data-keep"
         end = lambda t: f"</{t}>" if t != "p" or r.random() > 0.1 else ""
+        first = self.prose(1, r.choice([1, 1, 2, 8])) if r.random() < 0.2 else ""
         if r.random() < 0.85:
             title = self.sentence(1, 12)
-            if r.random() < 0.4:  # cut, or repeated
+            if r.random() < 0.1:
+                title = re.sub(r"[<>]", "", self.quoted())[:60]
+            elif r.random() < 0.4:  # cut, or repeated
                 title = r.choice([title[:60], " ".join(self.words(1) * 20)[:60], title.upper(), self.prose(1, 2)[:60].replace("<", "")])
+            if first:  # the text's beginning
+                title = re.sub(r"<[^>]*>", "", first)[:60]
             h = f"<h1{k}>{title}</h1>"
             x = r.random()
             out.append(f"<header{k}>{h}</header>" if x < 0.12 else f"<header{self.name('title')}{k}>{h}</header>" if x < 0.2 else f"<div{self.name('title')}{k}>{h}</div>" if x < 0.35 else h)
+        if first:
+            out.append(f"<p{k}>{first}{end('p')}")
         rich = r.random() < 0.1
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12, 20])):
+        for _ in range(r.choice([0, 0, 0, 1, 2, 5] if first else [0, 1, 1, 2, 3, 5, 8, 12, 20])):
             kind, t = r.random(), "p"
             if kind < 0.72:
-                body = self.linked() if rich or r.random() < 0.05 else self.prose(1, r.choice([1, 2, 8]))
+                body = self.linked() if rich or r.random() < 0.05 else self.quoted() if r.random() < 0.12 else self.prose(1, r.choice([1, 2, 8]))
             elif kind < 0.8:
                 t, body = r.choice(["h2", "h3"]), self.sentence(1, 8)
             elif kind < 0.88:
@@ -639,7 +656,7 @@ def token_odds(pages: list[tuple[Node, list[Node], np.ndarray]], least: int = 4)
     yes, no = Counter(), Counter()
     for _, blocks, answers in pages:
         for x, keep in zip(blocks, answers, strict=True):
-            (yes if keep else no).update({*x.names, *said_words(x.said), *said_words(x.title)})
+            (yes if keep else no).update({*x.names, *said_words(x), *(said_words(x.title) if x.title else ())})
     return {t: round(max(-4.0, min(4.0, math.log((yes[t] + 0.3) / (no[t] + 0.3)))), 4) for t in yes.keys() | no.keys() if yes[t] + no[t] >= least}
 
 
@@ -648,7 +665,7 @@ def training_rows(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.
     made = marked_pages(pages, seed)
     halves = [token_odds(made[1::2]), token_odds(made[::2])]
     xs = [features(b, t, halves[k % 2]) for k, (t, b, _) in enumerate(made)]
-    ws = [np.array([math.log1p(x.own) if x.own else 0.5 for x in b]) for _, b, _ in made]
+    ws = [np.array([math.log1p(x.own) if x.own else 3.0 for x in b]) for _, b, _ in made]
     return np.concatenate(xs), np.concatenate([y for *_, y in made]), np.concatenate(ws), token_odds(made)
 
 
