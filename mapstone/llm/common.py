@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the operators' contracts define it.
 WS = "[\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch, where the session keeps Spark's own default (10,000): whole texts are held on both sides.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
+#: Rows of a table of numbers that may be broadcast: some 30 MB. Beyond it Spark joins by sorting.
+BROADCAST_ROWS = 1_000_000
 _SHIPPED: set[str] = set()
 
 
@@ -69,12 +71,15 @@ def numbered(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return materialize(docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("whole")), "numbered")
 
 
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents of numbered() rows, all columns, without those whose rid is dropped.
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it is counted to have BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
-    The dropped numbers are stored first, so that Spark knows their size when it chooses the join.
-    """
-    return rows.select("rid", "whole").join(materialize(dropped.select("rid"), "dropped"), "rid", "left_anti").select("whole.*")
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of numbered() rows, all columns, without those whose rid is dropped."""
+    gone = small(materialize(dropped.select("rid"), "dropped"))
+    return rows.select("rid", "whole").join(gone, "rid", "left_anti").select("whole.*")
 
 
 def kept(spark: SparkSession, label: str, source: str, build: Callable[[], dict]) -> dict:

@@ -25,6 +25,7 @@ from .tokens import encoder
 
 PER_BUCKET = 20_000
 CHUNK = 10_000
+CACHE = 300_000  # words; less than for records, as other stages of a pipeline leave their memory in the same workers
 
 
 def pieces(
@@ -35,7 +36,7 @@ def pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, CACHE), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for i, t in zip(b.column("id").to_pylist(), b.column("body"), strict=True):

@@ -32,7 +32,8 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, cache: int | None = None) -> None:
+        self.most = cache or CACHE
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +64,7 @@ class Encoder:
 
     def _piece(self, w: str) -> bytes:
         got = self._ids(w) if w else b""
-        if len(self.cache) < CACHE:
+        if len(self.cache) < self.most:
             self.cache[w] = got
         return got
 
@@ -93,8 +94,8 @@ class Encoder:
             return b"".join([self._piece(w) if x is None else x for x, w in zip(got, pieces, strict=True)])
 
 
-def encoder(name: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
+def encoder(name: str, cache: int | None = None) -> Encoder:
+    """One encoder for each Python worker and vocabulary, that remembers the ids of up to so many words."""
     if name not in _LOADED:
-        _LOADED[name] = Encoder(name)
+        _LOADED[name] = Encoder(name, cache)
     return _LOADED[name]

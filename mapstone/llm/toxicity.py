@@ -302,12 +302,15 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: i
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("id")) != 0))
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    n = own.count()
+    if n > rows:
+        own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where("body IS NOT NULL")
-    both = texts.join(own, "id")
+    both = texts.join(F.broadcast(own), "id")  # about `rows` pairs of numbers
     n = both.count()
-    if n > rows:
-        both = both.where(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    return both.distinct()  # about `rows`, however often an identifier repeats
+    if n > 2 * rows:  # identifiers repeat
+        both = both.where(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)) < int((1 << 30) * rows / n)).distinct()
+    return both
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> dict:

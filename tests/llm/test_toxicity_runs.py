@@ -94,4 +94,4 @@ def test_ngrams_are_those_of_a_plain_count():
 def test_a_repeated_identifier_doesnt_fill_the_sample(spark):
     docs = spark.createDataFrame([(1, "bad words") for _ in range(500)] + [(i, f"text {i}") for i in range(2, 40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    assert toxicity.labelled(docs, labels, "text", "doc_id", 1000).where("id = 1").count() <= 1
+    assert toxicity.labelled(docs, labels, "text", "doc_id", 100).where("id = 1").count() <= 1
