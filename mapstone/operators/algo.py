@@ -10,7 +10,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Damping and iterations of the rank, and the visits after which reachability stops.
@@ -48,7 +48,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kernel_edges: int = KERNEL_EDGE
     """id, rank of every file over file-to-file imports, rounded to 6 decimals."""
     files = nodes.where("kind = 'file'").select("id")
     links = edges.where("kind = 'imports'").select("src", "dst")
-    if links.count() > kernel_edges:
+    if max(links.count(), files.count()) > kernel_edges:
         return _rank_loop(files, links)
     one = F.lit(1).alias("k")
     return files.select(one, "id").groupBy("k").cogroup(links.select(one, "src", "dst").groupBy("k")).applyInPandas(
@@ -99,29 +99,42 @@ def _bfs(hops: pd.DataFrame, start: str, most: int) -> tuple[list[str], list[int
 def impact_depths(nodes: DataFrame, edges: DataFrame, start: str, most: int = MAX_VISITS, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """id, depth, truncated: all that a change to start reaches, by least number of hops.
 
-    The search stops once `most` identities are visited, checked before each expansion (whole levels in the loop).
+    The search stops once `most` identities are visited, checked before each expansion, whatever the size of the graph.
     """
     hops = reverse_hops(nodes, edges)
     if hops.count() <= kernel_edges:
 
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             ids, depths, cut = _bfs(pdf, start, most)
-            return pd.DataFrame({"id": ids, "depth": depths, "truncated": [cut] * len(ids)})
+            return pd.DataFrame({"id": pd.Series(ids, dtype=object), "depth": pd.Series(depths, dtype="int32"), "truncated": pd.Series([cut] * len(ids), dtype=bool)})
 
         return hops.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "id string, depth int, truncated boolean")
-    spark, hops = nodes.sparkSession, checkpointed(hops)
+    return _impact_loop(checkpointed(hops), start, most)
+
+
+def _impact_loop(hops: DataFrame, start: str, most: int) -> DataFrame:
+    """The same by joins, level by level. pos is a node's place in the queue; of what a level finds, only that is kept which
+    nodes find that are expanded before `most` identities are visited. While that isn't so a level has fewer than `most`."""
+    spark = hops.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id string, depth int")
-    edge, n, cut = seen, 1, False
-    for d in range(1, most + 1):
-        if n >= most:
-            cut = True
-            break
-        fresh = hops.join(edge.select(F.col("id").alias("at")), "at").select(F.col("next").alias("id")).distinct()
-        edge = checkpointed(fresh.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth")))
-        found = edge.count()
-        if not found:
-            break
-        seen, n = checkpointed(seen.union(edge)), n + found
+    edge, places, n, cut, d = spark.createDataFrame([(start, 0)], "id string, pos long"), [0], 1, most <= 1, 0
+    while places and not cut:
+        d += 1
+        found = hops.join(edge.select(F.col("id").alias("at"), "pos"), "at").groupBy(F.col("next").alias("id")).agg(F.min("pos").alias("pos"))
+        found = checkpointed(found.join(seen, "id", "left_anti"))
+        of = {r["pos"]: r["n"] for r in found.groupBy("pos").agg(F.count("*").alias("n")).collect()}  # fewer than `most`
+        until = None
+        for place in places:
+            if n >= most:
+                until, cut = place, True
+                break
+            n += of.get(place, 0)
+        fresh = found if until is None else found.where(F.col("pos") < until)
+        seen = checkpointed(seen.union(fresh.select("id", F.lit(d).alias("depth"))))
+        size = sum(of.values()) if not cut else 0
+        cut = cut or size > 0 and n >= most
+        edge = fresh.withColumn("pos", F.row_number().over(Window.orderBy("pos", "id")).cast("long") - 1) if size and not cut else edge
+        places = list(range(size)) if not cut else []
     return seen.where(F.col("id") != start).withColumn("truncated", F.lit(cut))
 
 
@@ -177,11 +190,36 @@ def dependency_cycles(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> Dat
 
 
 def _cycles_loop(deps: DataFrame) -> DataFrame:
-    """By doubling the transitive closure until it stops growing; two modules are in one cycle if each reaches the other."""
-    reach, n = checkpointed(deps.distinct()), -1
-    while (now := reach.count()) != n:
-        n = now
-        step = reach.toDF("src", "mid").join(reach.toDF("mid", "dst"), "mid").select("src", "dst")
-        reach = checkpointed(reach.union(step).distinct())
-    both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("cycle")).select(F.least("cycle", "member").alias("cycle"), "member")
+    """By colours: each node takes the greatest name that reaches it; a colour's cycle is what its name is reached from
+    within the colour. Cycles go, and what is left is coloured again. Rows never exceed the edges, ends without a way on or
+    back are trimmed first."""
+    spark = deps.sparkSession
+    edges, parts = checkpointed(deps.distinct()), []
+    while not edges.isEmpty():
+        n = -1
+        while (now := edges.count()) != n:  # trim
+            n = now
+            edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            edges = checkpointed(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        colour, changed = checkpointed(nodes.withColumn("c", F.col("id"))), 1
+        while changed:
+            sent = edges.join(colour.toDF("src", "s"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("s").alias("s"))
+            after = checkpointed(colour.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("s", "c")).alias("c"), F.coalesce(F.col("s") > F.col("c"), F.lit(False)).alias("new")))
+            changed, colour = after.where("new").count(), after.select("id", "c")
+        inside = edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "e"), "dst").where("c = e").select("src", "dst", "c")
+        inside = checkpointed(inside)
+        back = checkpointed(colour.where("id = c"))
+        edge = back
+        while not edge.isEmpty():
+            edge = checkpointed(inside.join(edge.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct().join(back, ["id", "c"], "left_anti"))
+            back = checkpointed(back.union(edge))
+        parts.append(back)
+        gone = back.select("id")
+        edges = checkpointed(edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    out = spark.createDataFrame([], "id string, c string")
+    for x in parts:
+        out = out.union(x)
+    alone = deps.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("own", F.lit(True))
+    size = out.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("cycle"))
+    return out.join(size, "c").join(alone, "id", "left").where("n > 1 OR own").select("cycle", F.col("id").alias("member"))

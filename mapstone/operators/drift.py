@@ -51,11 +51,11 @@ def compute_drift(declared: DataFrame, live: Live, families: dict[str, str] | No
     key = F.concat_ws(".", "schema", "table")
     none = F.lit(None).cast("string").alias("column")
     out = dt.join(lt, ["schema", "table"], "left_anti").select(
-        "schema", "table", F.lit("table_missing_in_db").alias("kind"), none, F.concat(key, F.lit(" is declared in code but missing in the live database")).alias("detail")
+        "schema", "table", F.lit("table_missing_in_db").alias("kind"), none, F.concat(F.lit("the database has no table "), key).alias("detail")
     )
     out = out.union(
         lt.join(dt, ["schema", "table"], "left_anti").join(dt.select("schema").distinct(), "schema", "left_semi").select(
-            "schema", "table", F.lit("table_missing_in_code"), none, F.concat(key, F.lit(" exists in the live database but is not declared in code"))
+            "schema", "table", F.lit("table_missing_in_code"), none, F.concat(F.lit("no entity declares the table "), key)
         )
     )
     common = dt.join(lt, ["schema", "table"], "left_semi")
@@ -66,10 +66,10 @@ def compute_drift(declared: DataFrame, live: Live, families: dict[str, str] | No
     word = lambda c: F.when(F.col(c), "nullable").otherwise("not null")
     found = F.array_compact(
         F.array(
-            F.when(F.col("l_type").isNull(), F.struct(F.lit("column_missing_in_db").alias("kind"), F.concat("column", F.lit(" (declared "), "d_type", F.lit(") is missing in the live table")).alias("detail"))),
-            F.when(F.col("d_type").isNull(), F.struct(F.lit("column_missing_in_code").alias("kind"), F.concat("column", F.lit(" (live "), "l_type", F.lit(") is not declared in code")).alias("detail"))),
-            F.when((df != "unknown") & (df != lf), F.struct(F.lit("type_mismatch").alias("kind"), F.concat("column", F.lit(": declared "), "d_type", F.lit(" ("), df, F.lit(") vs live "), "l_type", F.lit(" ("), lf, F.lit(")")).alias("detail"))),
-            F.when(F.col("d_null") != F.col("l_null"), F.struct(F.lit("nullability_mismatch").alias("kind"), F.concat("column", F.lit(": declared "), word("d_null"), F.lit(" vs live "), word("l_null")).alias("detail"))),
+            F.when(F.col("l_type").isNull(), F.struct(F.lit("column_missing_in_db").alias("kind"), F.concat(F.lit("the database has no column "), "column", F.lit(" of type "), "d_type").alias("detail"))),
+            F.when(F.col("d_type").isNull(), F.struct(F.lit("column_missing_in_code").alias("kind"), F.concat(F.lit("no entity declares the column "), "column", F.lit(" of type "), "l_type").alias("detail"))),
+            F.when((df != "unknown") & (df != lf), F.struct(F.lit("type_mismatch").alias("kind"), F.concat("column", F.lit(" should be "), "d_type", F.lit(", a type of "), df, F.lit("; the database has "), "l_type", F.lit(", a type of "), lf).alias("detail"))),
+            F.when(F.col("d_null") != F.col("l_null"), F.struct(F.lit("nullability_mismatch").alias("kind"), F.concat("column", F.lit(" should be "), word("d_null"), F.lit("; the database has it "), word("l_null")).alias("detail"))),
         )
     )
     out = out.union(both.select("schema", "table", F.explode(found).alias("f"), "column").select("schema", "table", "f.kind", "column", "f.detail"))
@@ -78,8 +78,8 @@ def compute_drift(declared: DataFrame, live: Live, families: dict[str, str] | No
     lk = live.keys.select("schema", "table", F.col("from_col").alias("column"), F.concat_ws(".", "to_schema", "to_table", F.coalesce("to_col", F.lit(""))).alias("target")).distinct()
     dk, lk = dk.join(common, ["schema", "table"], "left_semi"), lk.join(common, ["schema", "table"], "left_semi")
     pair = ["schema", "table", "column", "target"]
-    out = out.union(dk.join(lk, pair, "left_anti").select("schema", "table", F.lit("fk_missing_in_db"), "column", F.concat(F.lit("declared FK "), "column", to, F.lit(" has no constraint in the live database"))))
-    return out.union(lk.join(dk, pair, "left_anti").select("schema", "table", F.lit("fk_missing_in_code"), "column", F.concat(F.lit("live FK "), "column", to, F.lit(" is not declared in code"))))
+    out = out.union(dk.join(lk, pair, "left_anti").select("schema", "table", F.lit("fk_missing_in_db"), "column", F.concat(F.lit("the database doesn't enforce the reference "), "column", to)))
+    return out.union(lk.join(dk, pair, "left_anti").select("schema", "table", F.lit("fk_missing_in_code"), "column", F.concat(F.lit("no entity declares the reference "), "column", to)))
 
 
 def drift_summary(declared: DataFrame, drift: DataFrame) -> dict:

@@ -20,6 +20,8 @@ NODE_BUILTINS = frozenset(
     " inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events"
     " tty url util v8 vm wasi worker_threads zlib test".split()
 )
+#: Modules that left the standard library after 3.12, and still count. Fixed values.
+PY_REMOVED = frozenset("aifc audioop cgi cgitb chunk crypt imghdr lib2to3 mailcap msilib nis nntplib ossaudiodev pipes sndhdr spwd sunau telnetlib uu xdrlib".split())
 
 
 def glob_regex(glob: str) -> str:
@@ -147,7 +149,7 @@ def py_candidates(importer: str, spec: str, roots: list[str]) -> dict:
         at = pre + "/".join(parts)
         paths += [f"{at}.py", f"{at}/__init__.py"]
         tops += [f"{pre}{parts[0]}.py", f"{pre}{parts[0]}/"]
-    kind = "builtin" if parts[0] in sys.stdlib_module_names else "package"
+    kind = "builtin" if parts[0] in sys.stdlib_module_names or parts[0] in PY_REMOVED else "package"
     return {"paths": paths, "otherwise": kind, "name": parts[0], "tops": tops}
 
 

@@ -10,8 +10,10 @@ from ..functions.budget import BudgetWriter, suggest_budget
 from ..operators import algo, views
 from ..schema import Graph
 
-#: Most lines of a module's README in its answer, most rows that are fetched for one list.
-PROSE_LINES, FETCH = 30, 500
+#: Fixed value: most lines of a module's README in its answer.
+PROSE_LINES = 30
+#: No line of a list is shorter than this, line end included: so many rows are fetched as an answer can hold.
+SHORTEST = 4
 
 
 def short_sha(sha: str | None) -> str:
@@ -41,28 +43,34 @@ def _more(w: BudgetWriter, what: str):
     return lambda n: f"+{n} more {what} → ask with a budget of {suggest_budget(w.budget)}"
 
 
-def _section(w: BudgetWriter, title: str, items: list[str], what: str) -> None:
+def _fetch(w: BudgetWriter, df, *order) -> tuple[list, int]:
+    """The first rows, as many as the answer can hold, and how many there are."""
+    df = df.orderBy(*order) if order else df
+    rows = df.limit(w.left // SHORTEST + 1).collect()
+    return rows, len(rows) if len(rows) <= w.left // SHORTEST else df.count()
+
+
+def _section(w: BudgetWriter, title: str, items: list[str], what: str, total: int | None = None) -> None:
     if items:
         w.blank()
         if w.line(f"## {title}"):
-            w.list(items, _more(w, what))
+            w.list(items, _more(w, what), total)
 
 
 def overview(g: Graph, budget: int | None = None) -> str:
     w = BudgetWriter(budget)
     w.line("# Architecture overview")
-    mods = views.overview_modules(g).limit(FETCH).collect()
+    mods, n_mods = _fetch(w, views.overview_modules(g))
     counts = {r.kind: r.n for r in g.nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     w.line(", ".join(f"{n} {k}" for k, n in sorted(counts.items())))
-    _section(w, "Modules", [f"- {m.name}: {m.files} files, {m['loc'] or 0} lines, rank {m['rank']:.3f}" + (f", instability {m.instability}" if m.instability is not None else "") for m in mods], "modules")
-    deps = views.overview_dependencies(g).limit(FETCH).collect()
-    _section(w, "Dependencies", [f"- {d.src[4:]} → {d.dst[4:]} ({d.weight})" for d in deps], "dependencies")
-    cycles: dict[str, list[str]] = {}
-    for r in algo.dependency_cycles(g.edges).orderBy("cycle", "member").limit(FETCH).collect():
-        cycles.setdefault(r.cycle, []).append(r.member[4:])
-    _section(w, "Cycles", [f"- {' ↔ '.join(c)}" for c in cycles.values()], "cycles")
-    packages = views.overview_packages(g).limit(FETCH).collect()
-    _section(w, "Packages", [f"- {p.name} ({p.registry}): {p.fan_in}" for p in packages], "packages")
+    _section(w, "Modules", [f"- {m.name}: {m.files} files, {m['loc'] or 0} lines, rank {m['rank']:.3f}" + (f", instability {m.instability}" if m.instability is not None else "") for m in mods], "modules", n_mods)
+    deps, n = _fetch(w, views.overview_dependencies(g))
+    _section(w, "Dependencies", [f"- {d.src[4:]} → {d.dst[4:]} ({d.weight})" for d in deps], "dependencies", n)
+    members = F.sort_array(F.collect_list(F.expr("substring(member, 5)")))
+    cycles, n = _fetch(w, algo.dependency_cycles(g.edges).groupBy("cycle").agg(F.slice(members, 1, w.left).alias("first"), F.count("*").alias("n")), "cycle")
+    _section(w, "Cycles", [f"- {' ↔ '.join(c['first'])}" + (f" and {c['n'] - len(c['first'])} more" if c["n"] > len(c["first"]) else "") for c in cycles], "cycles", n)
+    packages, n = _fetch(w, views.overview_packages(g))
+    _section(w, "Packages", [f"- {p.name} ({p.registry}): {p.fan_in}" for p in packages], "packages", n)
     return str(w)
 
 
@@ -79,11 +87,13 @@ def module(g: Graph, ref: str, budget: int | None = None) -> str:
         w.blank()
         if w.line("## About"):
             w.list(lines[:PROSE_LINES], lambda n: f"+{n + max(0, len(lines) - PROSE_LINES)} more lines → {readme.path}")
-    _section(w, "Files", [f"- {f.path} ({f['loc'] or 0})" + (f": {name_list(f.exports)}" if f.exports else "") for f in views.module_files(g, hit.id).limit(FETCH).collect()], "files")
+    files, n = _fetch(w, views.module_files(g, hit.id))
+    _section(w, "Files", [f"- {f.path} ({f['loc'] or 0})" + (f": {name_list(f.exports)}" if f.exports else "") for f in files], "files", n)
     for title, out in (("Depends on", True), ("Dependents", False)):
-        rows = views.module_deps(g, hit.id, out).orderBy(F.desc("weight"), "id").limit(FETCH).collect()
-        _section(w, title, [f"- {r.id[4:]} ({r.weight})" for r in rows], "modules")
-    _section(w, "Packages", [f"- {p.name} ({p.files})" for p in views.module_packages(g, hit.id).orderBy(F.desc("files"), "id").limit(FETCH).collect()], "packages")
+        rows, n = _fetch(w, views.module_deps(g, hit.id, out), F.desc("weight"), "id")
+        _section(w, title, [f"- {r.id[4:]} ({r.weight})" for r in rows], "modules", n)
+    packages, n = _fetch(w, views.module_packages(g, hit.id), F.desc("files"), "id")
+    _section(w, "Packages", [f"- {p.name} ({p.files})" for p in packages], "packages", n)
     return str(w)
 
 
@@ -93,9 +103,10 @@ def dependencies(g: Graph, ref: str, budget: int | None = None) -> str:
         return not_found(g, ref, budget)
     w = BudgetWriter(budget)
     w.line(f"# Dependencies of {hit.id}")
-    rows = views.dependencies_of(g, hit.id).orderBy("edge_kind", "other_id").limit(FETCH).collect()
+    found = views.dependencies_of(g, hit.id)
     for title, side in (("Outgoing", "out"), ("Incoming", "in")):
-        _section(w, title, [f"- {r.edge_kind} {r.other_id}" + (f" ({name_list(r.symbols)})" if r.symbols else "") for r in rows if r.direction == side], "edges")
+        rows, n = _fetch(w, found.where(F.col("direction") == side), "edge_kind", "other_id")
+        _section(w, title, [f"- {r.edge_kind} {r.other_id}" + (f" ({name_list(r.symbols)})" if r.symbols else "") for r in rows], "edges", n)
     return str(w)
 
 
@@ -106,9 +117,12 @@ def impact(g: Graph, ref: str, budget: int | None = None) -> str:
     w, s = BudgetWriter(budget), views.impact_summary(g, hit.id).first()
     w.line(f"# Impact of {hit.id}")
     w.line(f"{s.total_files} files, up to {s.max_depth} hops" + (" (cut short)" if s.truncated else ""))
-    _section(w, "Direct dependents", [f"- {r.id}" for r in views.direct_dependents(g, hit.id).limit(FETCH).collect()], "dependents")
-    _section(w, "Modules", [f"- {r.module[4:]}: {r.files} files from hop {r.min_depth}" for r in views.impact_by_module(g, hit.id).limit(FETCH).collect()], "modules")
-    _section(w, "Tables", [f"- {r.name}" for r in views.impact_tables(g, hit.id).orderBy("id").limit(FETCH).collect()], "tables")
+    rows, n = _fetch(w, views.direct_dependents(g, hit.id))
+    _section(w, "Direct dependents", [f"- {r.id}" for r in rows], "dependents", n)
+    rows, n = _fetch(w, views.impact_by_module(g, hit.id))
+    _section(w, "Modules", [f"- {r.module[4:]}: {r.files} files from hop {r.min_depth}" for r in rows], "modules", n)
+    rows, n = _fetch(w, views.impact_tables(g, hit.id), "id")
+    _section(w, "Tables", [f"- {r.name}" for r in rows], "tables", n)
     return str(w)
 
 
@@ -128,16 +142,21 @@ def file_context(g: Graph, ref: str, budget: int | None = None) -> str:
     w.line(f"{hit.lang or ''} {hit['loc'] or 0} lines in {(hit.parent or '')[4:]}".strip())
     if hit.doc:
         w.line(hit.doc)
-    _section(w, "Exports", [f"- {r.symbol_kind} {r.name}" + (f": {clip(r.doc, 120)}" if r.doc else "") for r in views.file_exports(g, hit.id).limit(FETCH).collect()], "exports")
-    _section(w, "Imports", [f"- {r.id}" for r in views.file_imports(g, hit.id).limit(FETCH).collect()], "imports")
-    _section(w, "Imported by", [f"- {r.id}" for r in views.file_imports(g, hit.id, incoming=True).limit(FETCH).collect()], "importers")
+    rows, n = _fetch(w, views.file_exports(g, hit.id))
+    _section(w, "Exports", [f"- {r.symbol_kind} {r.name}" + (f": {clip(r.doc, 120)}" if r.doc else "") for r in rows], "exports", n)
+    rows, n = _fetch(w, g.nodes.where((F.col("kind") == "entity") & (F.col("parent") == hit.id)), "id")
+    _section(w, "Entities", [f"- {r.name} ({r.orm}) → {r.declared_table}" for r in rows], "entities", n)
+    for title, incoming in (("Imports", False), ("Imported by", True)):
+        rows, n = _fetch(w, views.file_imports(g, hit.id, incoming=incoming))
+        _section(w, title, [f"- {r.id}" for r in rows], "files", n)
     return str(w)
 
 
 def docs(g: Graph, budget: int | None = None) -> str:
     w = BudgetWriter(budget)
     w.line("# Documents")
-    w.list([f"- {r.path}: {r.title}" for r in views.docs_list(g).limit(FETCH).collect()], _more(w, "documents"))
+    rows, n = _fetch(w, views.docs_list(g))
+    w.list([f"- {r.path}: {r.title}" for r in rows], _more(w, "documents"), n)
     return str(w)
 
 
@@ -147,17 +166,27 @@ def doc(g: Graph, ref: str, budget: int | None = None) -> str:
         return not_found(g, ref, budget)
     w = BudgetWriter(budget)
     w.line(f"# {hit.title}")
+    at = g.edges.where((F.col("kind") == "documents") & (F.col("src") == hit.id)).orderBy("dst").first()
+    if at is not None:
+        w.line(f"module {at.dst[4:]}")
+    _section(w, "Headings", [f"{'  ' * (h.depth - 1)}- {h.text}" for h in hit.headings or []], "headings")
+    w.blank()
     w.list((hit.content or "").split("\n"), lambda n: f"+{n} more lines → {hit.path}")
     return str(w)
 
 
 def db_schema(g: Graph, budget: int | None = None) -> str:
     w = BudgetWriter(budget)
-    rows = views.table_summaries(g).orderBy("schema", "name").limit(FETCH).collect()
-    w.line(f"# {len(rows)} tables")
-    for schema in sorted({r.schema for r in rows}):
-        _section(w, schema, [f"- {r.name}: {r.n_columns} columns, key {', '.join(r.pk or []) or 'none'}, {r.origin}" + (f", {r.n_drift} drift" if r.n_drift else "") for r in rows if r.schema == schema], "tables")
-    _section(w, "Foreign keys", [f"- {r.src[4:]} → {r.dst[4:]}" for r in views.foreign_keys(g).orderBy("src", "dst").limit(FETCH).collect()], "keys")
+    tables = views.table_summaries(g)
+    sizes = {r.schema: r.n for r in tables.groupBy("schema").agg(F.count("*").alias("n")).orderBy("schema").limit(w.left // SHORTEST + 1).collect()}
+    w.line(f"# {tables.count()} tables")
+    for schema, n in sorted(sizes.items()):
+        rows, _ = _fetch(w, tables.where(F.col("schema") == schema), "name")
+        _section(w, schema, [f"- {r.name}: {r.n_columns} columns, key {', '.join(r.pk or []) or 'none'}, {r.origin}" + (f", {r.n_drift} drift" if r.n_drift else "") for r in rows], "tables", n)
+        if w.truncated:
+            break
+    rows, n = _fetch(w, views.foreign_keys(g), "src", "dst")
+    _section(w, "Foreign keys", [f"- {r.src[4:]} → {r.dst[4:]}" for r in rows], "keys", n)
     return str(w)
 
 
@@ -176,9 +205,10 @@ def entity_relations(g: Graph, ref: str, prefer: str = "entity", budget: int | N
 
 
 def schema_drift(g: Graph, budget: int | None = None) -> str:
-    w, rows = BudgetWriter(budget), views.drifted_tables(g).orderBy("table_id", "kind", "detail").limit(FETCH).collect()
-    w.line(f"# Drift: {len(rows)} findings" if rows else "# No drift")
-    w.list([f"- {r.table_id[4:]}: {r.kind}: {r.detail}" for r in rows], _more(w, "findings"))
+    w, found = BudgetWriter(budget), views.drifted_tables(g)
+    rows, n = _fetch(w, found, "table_id", "kind", "detail")
+    w.line(f"# Drift: {n} findings in {found.select('table_id').distinct().count()} tables" if n else "# No drift")
+    w.list([f"- {r.table_id[4:]}: {r.kind}: {r.detail}" for r in rows], _more(w, "findings"), n)
     return str(w)
 
 
@@ -187,9 +217,9 @@ def diff(changes: dict, budget: int | None = None) -> str:
     w, total = BudgetWriter(budget), 0
     w.line("# Architecture diff")
     for title, df in changes.items():
-        rows = df.limit(FETCH).collect()
-        total += len(rows)
-        _section(w, title.replace("_", " ").capitalize(), ["- " + " ".join(str(v) for v in r if v is not None) for r in sorted(rows, key=str)], title.replace("_", " "))
+        rows, n = _fetch(w, df, *df.columns)
+        total += n
+        _section(w, title.replace("_", " ").capitalize(), ["- " + " ".join(str(v) for v in r if v is not None) for r in rows], title.replace("_", " "), n)
     if not total:
         w.line("No architectural changes.")
     return str(w)
@@ -198,7 +228,8 @@ def diff(changes: dict, budget: int | None = None) -> str:
 def timeline(points, budget: int | None = None) -> str:
     w = BudgetWriter(budget)
     w.line("# Timeline")
-    w.list([f"- {short_sha(r.sha)} {r.date[:10]} {clip(r.subject, 80)}" + (f" [{', '.join(r.tags)}]" if r.tags else "") for r in points.orderBy("pos").limit(FETCH).collect()], _more(w, "points"))
+    rows, n = _fetch(w, points, "pos")
+    w.list([f"- {short_sha(r.sha)} {r.date[:10]} {clip(r.subject, 80)}" + (f" [{', '.join(r.tags)}]" if r.tags else "") for r in rows], _more(w, "points"), n)
     return str(w)
 
 

@@ -45,6 +45,15 @@ def test_impact_stops_at_the_most(spark):
     assert not any(r.truncated for r in algo.impact_depths(nodes, edges, "f0").collect())
 
 
+@pytest.mark.parametrize("most", [1, 2, 5, 8, 13, 60])
+def test_impact_stops_alike_at_any_size(spark, most):
+    tree = [(f"t{i}", f"t{(i - 1) // 3}") for i in range(1, 40)]
+    for links, start in ((tree, "t0"), (random_edges(7), "f0")):
+        nodes, edges = graph(spark, links)
+        a, b = (sorted(map(tuple, algo.impact_depths(nodes, edges, start, most=most, kernel_edges=k).collect())) for k in (algo.KERNEL_EDGES, 0))
+        assert a == b
+
+
 def test_symbols_are_felt_in_their_file(spark):
     nodes = spark.createDataFrame([("sym:a#f", "symbol", "file:a"), ("file:a", "file", "mod:m"), ("file:b", "file", "mod:m")], "id string, kind string, parent string")
     edges = spark.createDataFrame([("imports", "file:b", "file:a")], "kind string, src string, dst string")
@@ -59,6 +68,13 @@ def test_cycles_kernel_equals_loop(spark, seed):
     assert a == b
 
 
+def test_many_cycles_and_long_chains(spark):
+    links = [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)] + [("r3", "s0"), ("s0", "s1"), ("s1", "s0"), ("s1", "x"), ("x", "x"), ("x", "y"), ("y", "z"), ("a", "r0")]
+    _, edges = graph(spark, links, "depends_on")
+    a, b = (sorted(map(tuple, algo.dependency_cycles(edges, kernel_edges=k).collect())) for k in (algo.KERNEL_EDGES, 0))
+    assert a == b and {c for c, _ in a} == {"r0", "s0", "x"}
+
+
 def test_self_loop_is_a_cycle(spark):
     _, edges = graph(spark, [("a", "a"), ("b", "c")], "depends_on")
     assert [tuple(r) for r in algo.dependency_cycles(edges).collect()] == [("a", "a")]

@@ -44,6 +44,24 @@ def test_writer_never_exceeds_its_budget(asked, items):
     assert n == len(items) or f"+{len(items) - n} more" in str(w) or w.truncated
 
 
+def test_hints_count_what_was_not_fetched(spark):
+    w = budget.BudgetWriter(200)
+    n = w.list([f"- item {k}" for k in range(200)], lambda k: f"+{k} more", 5_000)
+    assert f"+{5_000 - n} more" in str(w) and 0 < n < 200 and budget.estimate_tokens(str(w)) <= 200
+    w = budget.BudgetWriter(200)
+    assert w.list(["a", "b"], lambda k: f"+{k} more", 3) == 2 and str(w) == "a\nb\n+1 more" and w.truncated
+    w = budget.BudgetWriter(200)
+    assert w.list(["a", "b"], lambda k: f"+{k} more") == 2 and str(w) == "a\nb" and not w.truncated
+
+
+def test_fitting_lines_as_a_column(spark):
+    rows = [([5, 5, 5], 15), ([5, 5, 5], 14), ([5, 5, 5], 3), ([], 0), ([9, 1, 1], 8)]
+    for costs, room in rows:
+        got = spark.createDataFrame([(costs,)], "c array<int>").select(budget.fitting_col(F.col("c"), room, 4).alias("n")).first().n
+        want = len(costs) if sum(costs) <= room else max([k for k in range(len(costs)) if sum(costs[:k]) + 4 <= room], default=0)
+        assert got == want
+
+
 def test_budget_columns(spark):
     rows = [(t, b) for t, b in (("", None), ("abc", 10.0), ("x" * 999, 5000.7), ("é😀", 99999.0))]
     df = spark.createDataFrame(rows, "t string, b double")
