@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -11,6 +13,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the operators' contracts define it.
 WS = "[\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch, where the session keeps Spark's own default (10,000): whole texts are held on both sides.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 #: Rows of a table of numbers that may be broadcast: some 30 MB. Beyond it Spark joins by sorting.
 BROADCAST_ROWS = 1_000_000
 _SHIPPED: set[str] = set()
@@ -82,6 +85,23 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.select("rid", "whole").join(gone, "rid", "left_anti").select("whole.*")
 
 
+def lean(run: Callable) -> Callable:
+    """A pass over Arrow batches that gives what it has freed back to the system: workers are reused by later stages."""
+
+    def passed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return passed
+
+
 def kept(spark: SparkSession, label: str, source: str, build: Callable[[], dict]) -> dict:
     """What build() makes, which depends on nothing but the file source: read from the shared folder, or made and left there."""
     code = hashlib.sha256(Path(source).read_bytes()).hexdigest()[:16]

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, ship
+from .common import lean, materialize, partitions, ship
 from .tokens import encoder
 
 PER_BUCKET = 20_000
 CHUNK = 10_000
-CACHE = 300_000  # words; less than for records, as other stages of a pipeline leave their memory in the same workers
+CACHE = 200_000  # words, of one task; other stages of a pipeline run in the same workers
 
 
 def pieces(
@@ -48,9 +48,13 @@ def pieces(
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
+    def run_and_forget(batches):
+        yield from run(batches)
+        encoder(tokenizer, CACHE).cache.clear()
+
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return materialize(own.mapInArrow(run, schema), "pieces")
+    return materialize(own.mapInArrow(lean(run_and_forget), schema), "pieces")
 
 
 def plan(histogram: dict[int, int], seq_len: int) -> list[tuple[list[int], int]]:

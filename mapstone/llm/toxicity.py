@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, ship
+from .common import fold, lean, materialize, ship
 
 TRAIN_ROWS = 12_000
 MAX_FEATURES = 4_000
@@ -92,7 +92,7 @@ def char_grams(words: Counter) -> Counter:
     return grams
 
 
-def corpus_grams(docs: DataFrame, text: str = "text", held: int = 100_000) -> dict[str, int]:
+def corpus_grams(docs: DataFrame, text: str = "text", held: int = 60_000) -> dict[str, int]:
     """char_grams of all words of all texts. What comes to the driver grows with the alphabets, not with the rows."""
     ship(docs.sparkSession)
 
@@ -108,7 +108,7 @@ def corpus_grams(docs: DataFrame, text: str = "text", held: int = 100_000) -> di
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
 
     own = docs.select(F.col(text).cast("string").alias("body")).where("body IS NOT NULL")
-    return {r.g: r.n for r in own.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    return {r.g: r.n for r in own.mapInArrow(lean(run), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
 
 class CharModel:
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["f", "pos", "neg", "n"])
 
     schema = "f string, pos long, neg long, n long"
-    counts = some.select("toxic", "body").mapInArrow(count, schema).groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("n").alias("n"))
+    counts = some.select("toxic", "body").mapInArrow(lean(count), schema).groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("n").alias("n"))
     counts = materialize(counts.where("f = '' OR pos >= 3 OR n >= 2"), "counts")
     total = next(((r["pos"], r["neg"]) for r in counts.where("f = ''").collect()), (0, 0))
     if not total[0] or not total[1]:
@@ -352,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = [sorted(scorer.features(x.as_py())) for x in b.column("body")]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
 
-    rows_ = [(r["toxic"], r["found"]) for r in some.select("toxic", "body").mapInArrow(find, "toxic int, found array<string>").collect()]  # bounded by rows
+    rows_ = [(r["toxic"], r["found"]) for r in some.select("toxic", "body").mapInArrow(lean(find), "toxic int, found array<string>").collect()]  # bounded by rows
     weights, bias = fit(sorted(rows_), sorted(chosen))
     return {"bias": bias, "weights": weights, "grams": dict(grams)}
 
@@ -377,7 +377,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return own.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -395,4 +395,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         for b in batches:
             yield b.filter(pa.array([scorer.score(x.as_py() or "") < 0.5 for x in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)  # each row goes through once and comes back as it is
+    return docs.mapInArrow(lean(run), docs.schema)  # each row goes through once and comes back as it is
