@@ -17,6 +17,7 @@ Equal vectors are one class with a weight. Lists are cut into shards of at most
 stored in one shard and visits only later shards, so each pair meets at most once, and counts both ways. A shard
 returns link counts and a spanning forest, never the pairs. Centroids and codewords are trained on at most about
 SAMPLE vectors; every vector is indexed and queried, among those of its own length.
+Components of single precision are kept as such, any others in double precision.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing and is its own component; a null identifier takes part and is larger than any other; an empty table gives
 an empty result; labels and other columns are not read.
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     v = raw.astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])  # exact, and its squares neither overflow nor vanish
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
@@ -143,7 +146,7 @@ class Index:
                 yield x[ok], y[ok]
 
 
-def _search(index: Index):
+def _search(index: Index, dtype: str):
     """Over rows sorted by shard and kind: stored classes (kind 0) against each other, then each visit against them."""
 
     def run(batches):
@@ -197,7 +200,7 @@ def _search(index: Index):
                         yield close()
                         forest, counts = Forest(), {}
                     at, own, stored = shard[lo], [], None
-                vec = _unit(np.frombuffer(b"".join(b.column(4).slice(lo, n).to_pylist()), "<f4").reshape(n, -1))
+                vec = _unit(np.frombuffer(b"".join(b.column(4).slice(lo, n).to_pylist()), dtype).reshape(n, -1))
                 if kind[lo] == 0:
                     codes = np.frombuffer(b"".join(b.column(5).slice(lo, n).to_pylist()), np.uint8).reshape(n, -1)
                     own.append((cid[part], w[part], vec, codes, b.column(6).to_numpy(zero_copy_only=False)[part]))
@@ -211,37 +214,42 @@ def _search(index: Index):
     return run
 
 
-def _rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """One stored row per vector: id, rid, key (its components as bytes; null if it can't link)."""
+def _rows(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, str]:
+    """One stored row per vector: id, rid, key (its components as bytes; null if it can't link); the components' type."""
+    single = vectors.select(embedding).schema[0].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
 
     def run(batches):
         for b in batches:
-            keys = []
-            for x in b.column("v"):
-                x = x.as_py()
-                ok = bool(x) and None not in x
-                a = np.array(x, "<f4") if ok else None
-                keys.append(a.tobytes() if ok and np.isfinite(a).all() and (a != 0).any() else None)
+            v = b.column("v")
+            size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+            flat = v.flatten()
+            x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(kind, copy=False)
+            ends = np.cumsum(size)
+            starts = ends - size
+            bad, full = (np.concatenate([[0], np.cumsum(m)]) for m in (~np.isfinite(x), x != 0))
+            ok = (bad[ends] == bad[starts]) & (full[ends] > full[starts])
+            keys = [x[lo:hi].tobytes() if good else None for lo, hi, good in zip(starts.tolist(), ends.tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(keys, pa.binary())], names=["id", "rid", "key"])
 
-    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(embedding).cast("array<float>").alias("v"))
-    return materialize(own.mapInArrow(run, "id long, rid long, key binary"), "vectors")
+    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
+    return materialize(own.mapInArrow(run, "id long, rid long, key binary"), "vectors"), kind
 
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
-    rows = _rows(vectors, vec_id, embedding)
+    rows, kind = _rows(vectors, vec_id, embedding)
     size = F.octet_length("key")
     sizes = [r["size"] for r in rows.where("key IS NOT NULL").groupBy(size.alias("size")).count().where("count > 1").orderBy("size").collect()]
     alone = rows.where(F.col("key").isNull() | ~size.isin(sizes))
     got = alone.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     for k in sizes:
-        got = _linked(rows.where(size == k), k // 4, cosine).union(got)
+        got = _linked(rows.where(size == k), k // np.dtype(kind).itemsize, cosine, kind).union(got)
     return got
 
 
-def _factor(classes: DataFrame, index: Index, sample: np.ndarray) -> float:
+def _factor(classes: DataFrame, index: Index, sample: np.ndarray, kind: str) -> float:
     """The z at which FOUND of the links of PROBES sampled vectors with all vectors are met."""
     probes = _unit(sample[np.unique(np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int))])
     held = classes.sparkSession.sparkContext.broadcast((index, probes))  # at most PROBES vectors
@@ -252,7 +260,7 @@ def _factor(classes: DataFrame, index: Index, sample: np.ndarray) -> float:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 keys = b.column(0).slice(lo, 1000)
-                n += index.needed(np.frombuffer(b"".join(keys.to_pylist()), "<f4").reshape(len(keys), -1), probes)
+                n += index.needed(np.frombuffer(b"".join(keys.to_pylist()), kind).reshape(len(keys), -1), probes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["bin", "n"])
 
     n = np.zeros(int(1 / LEAST_SPREAD / BIN) + 1, np.int64)
@@ -262,7 +270,7 @@ def _factor(classes: DataFrame, index: Index, sample: np.ndarray) -> float:
     return max(PROBE_Z, BIN * (1 + int(np.searchsorted(np.cumsum(n), FOUND * n.sum())))) if n.sum() > 0 else PROBE_Z
 
 
-def _linked(linked: DataFrame, length: int, cosine: float) -> DataFrame:
+def _linked(linked: DataFrame, length: int, cosine: float, kind: str) -> DataFrame:
     """The same for vectors of one length that can link."""
     spark = linked.sparkSession
     least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "rid")).alias("least")
@@ -271,10 +279,10 @@ def _linked(linked: DataFrame, length: int, cosine: float) -> DataFrame:
     some = classes.select("key")
     if n > SAMPLE:
         some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    sample = np.frombuffer(b"".join(sorted(r[0] for r in some.collect())), "<f4").reshape(-1, length)  # bounded by SAMPLE
+    sample = np.frombuffer(b"".join(sorted(r[0] for r in some.collect())), kind).reshape(-1, length)  # bounded by SAMPLE
     index = Index(sample, n, cosine)
     if len(index.centroids) > 1:
-        index.widen(_factor(classes, index, sample))
+        index.widen(_factor(classes, index, sample, kind))
     _, _, shard, _, to = index.place(sample, np.arange(len(sample)))
     stored, visits = (np.bincount(x, minlength=len(index.list_of)).astype(float) for x in (shard, to))
     bins = balanced(stored * (stored + visits) + 0.05 * (stored + visits), p)
@@ -286,7 +294,7 @@ def _linked(linked: DataFrame, length: int, cosine: float) -> DataFrame:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 keys = part.column("key")
-                raw = np.frombuffer(b"".join(keys.to_pylist()), "<f4").reshape(part.num_rows, -1)
+                raw = np.frombuffer(b"".join(keys.to_pylist()), kind).reshape(part.num_rows, -1)
                 cid = part.column("cid").to_numpy(zero_copy_only=False)
                 codes, error, shard, i, to = index.place(raw, cid)
                 at = np.concatenate([np.arange(len(cid)), i])
@@ -308,7 +316,7 @@ def _linked(linked: DataFrame, length: int, cosine: float) -> DataFrame:
 
     routed = classes.select("cid", "w", "key").mapInArrow(route, "bin int, shard int, kind byte, cid long, w long, key binary, code binary, error double")
     dealt = routed.repartitionById(p, F.col("bin")).sortWithinPartitions("shard", "kind", "cid").select("shard", "kind", "cid", "w", "key", "code", "error")
-    found = materialize(dealt.mapInArrow(_search(index), "a long, b long, n long"), "links")
+    found = materialize(dealt.mapInArrow(_search(index, kind), "a long, b long, n long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL"), "a", "b").toDF("cid", "root")
     per = classes.select("cid", "w", "least").join(roots, "cid", "left").join(counts, "cid", "left")

@@ -39,3 +39,11 @@ def test_every_length_is_searched(spark):
         for i in range(len(v)):
             assert (got[first + i].n_links, got[first + i].component_id) == (g[i].sum(), first + comp[i])
     assert got[5000].n_links == 0 and got[5000].kept and len(got) == 201
+
+
+def test_double_components_keep_their_range(spark):
+    rows = [(1, [1e39, 2e39, 0.0]), (2, [1e39, 2e39, 0.0]), (3, [1e-60, 0.0, 1e-60]), (4, [1e-60, 0.0, 1.1e-60]), (5, [1e200, -1e200, 1e200]), (6, [1e-200, -1e-200, 1e-200])]
+    odd = [(7, [1.0, None, 1.0]), (8, [1.0, float("nan"), 1.0]), (9, [0.0, 0.0, 0.0]), (10, None), (11, []), (12, [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)} | {i: (0, i) for i in range(7, 13)}
