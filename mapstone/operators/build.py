@@ -12,6 +12,8 @@ from .algo import checkpointed, pagerank
 #: What counts as fan: both ends of these kinds, and only the target of package imports. Fixed values.
 FAN_BOTH = ("imports", "depends_on", "maps_to", "fk")
 FAN_TARGET = ("imports_pkg",)
+#: Mappers whose relations name tables and columns; the others name entities and fields.
+BY_TABLE = ("sqlalchemy",)
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -151,17 +153,18 @@ def link_declared_schema(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     entities: id, path, name, orm, table_schema, table_name, explicit, fields (name, type, column, nullable, is_pk, is_fk),
     relations (from_field, from_col, target, target_col). Entities go by identity: for each table column the first entity
-    that declares it wins. Foreign keys of one pair of tables are one edge with all column pairs; a relation to an entity
-    that isn't declared is dropped. A mapping is certain if the table's name is explicit.
+    that declares it wins. Foreign keys of one pair of tables are one edge with all column pairs. A relation that names a
+    table keeps it, declared or not; one to an entity that isn't declared is dropped. A field of the target entity stands
+    for its column. A mapping is certain if the table's name is explicit.
     """
     e = entities.withColumn("table_id", node_id_col("table", F.coalesce("table_schema", F.lit("public")), "table_name"))
-    # relation targets: an entity's name, or a table reference (schema.table or table)
-    by_name = e.groupBy(F.col("name").alias("target")).agg(F.min_by("table_id", "id").alias("t1"))
-    by_table = e.select(F.substring_index("table_id", ":", -1).alias("qualified"), "table_id").distinct()
-    rel = e.select("id", "table_id", F.explode("relations").alias("r")).select("id", "table_id", "r.*")
+    by_name = e.groupBy(F.col("name").alias("target")).agg(F.min_by("table_id", "id").alias("t1"), F.min("id").alias("to_entity"))
+    fields = e.select(F.col("id").alias("to_entity"), F.explode("fields").alias("f")).groupBy("to_entity", F.col("f.name").alias("target_col")).agg(F.min("f.column").alias("to_column"))
+    rel = e.select("id", "table_id", "orm", F.explode("relations").alias("r")).select("id", "table_id", "orm", "r.*")
     rel = rel.join(by_name, "target", "left")
-    rel = rel.join(by_table.select("qualified", F.col("table_id").alias("t2")), F.when(F.col("target").contains("."), F.col("target")).otherwise(F.concat(F.lit("public."), "target")) == F.col("qualified"), "left")
-    rel = rel.withColumn("to_table", F.coalesce("t1", "t2")).where("to_table IS NOT NULL")
+    named = F.concat(F.lit("tbl:"), F.when(F.col("target").contains("."), F.col("target")).otherwise(F.concat(F.lit("public."), "target")))
+    rel = rel.withColumn("to_table", F.when(F.col("orm").isin(*BY_TABLE), named).otherwise(F.col("t1"))).where("to_table IS NOT NULL")
+    rel = rel.join(fields, ["to_entity", "target_col"], "left").withColumn("target_col", F.coalesce("to_column", "target_col")).drop("to_column")
     cols = e.select("id", "table_id", F.posexplode("fields").alias("pos", "f")).where("f.column IS NOT NULL")
     one = cols.withColumn("rn", F.row_number().over(Window.partitionBy("table_id", "f.column").orderBy("id", "pos"))).where("rn = 1")
     fk = rel.withColumn("rn", F.row_number().over(Window.partitionBy("table_id", "from_col").orderBy("id"))).where("rn = 1")

@@ -15,6 +15,9 @@ from .algo import checkpointed
 CONTAINERS = ("packages", "apps", "libs", "services", "modules")
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 SWAPS = {".js": (".ts", ".tsx", ".js", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs"), ".jsx": (".tsx", ".jsx")}
+#: Directories of built files, and what a built file's name ends with.
+BUILD_DIRS = ("dist", "build", "lib")
+BUILT = (".d.ts", ".js", ".mjs", ".cjs")
 NODE_BUILTINS = frozenset(
     "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https"
     " inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events"
@@ -105,8 +108,38 @@ def probes(path: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def ts_candidates(importer: str, spec: str, aliases: list[tuple[str, list[str]]], workspaces: list[tuple[str, str]]) -> dict:
-    """How a TypeScript or JavaScript specifier may resolve: candidate files in order, then what it is if none exists."""
+def plain_probes(path: str) -> list[str]:
+    """The path itself, then with each extension, then an index file in it."""
+    return [path, *(path + x for x in EXTENSIONS), *(f"{path}/index{x}" for x in EXTENSIONS)]
+
+
+def entry_probes(at: str, entry: str) -> list[str]:
+    """Files that a declared entry of a workspace package means: the source that a built one is made of comes first."""
+    entry = entry.removeprefix("./")
+    top, _, below = entry.partition("/")
+    twin = f"src/{below}" if below and top in BUILD_DIRS else entry
+    twin = next((twin.removesuffix(x) for x in BUILT if twin.endswith(x)), twin)
+    out = [] if twin == entry else plain_probes(_join_path(at, twin) or "")
+    return out + plain_probes(_join_path(at, entry) or "")
+
+
+def nearest_aliases(importer: str, aliases: dict[str, list] | list) -> list:
+    """The aliases of the closest directory above the importer that has any configuration; a plain list holds everywhere."""
+    if not isinstance(aliases, dict):
+        return aliases
+    at = importer
+    while at:
+        at = at.rpartition("/")[0]
+        if at in aliases:
+            return aliases[at]
+    return []
+
+
+def ts_candidates(importer: str, spec: str, aliases: dict[str, list] | list[tuple[str, list[str]]], workspaces: list[tuple[str, str]], entries: dict[str, list[str]] | None = None) -> dict:
+    """How a TypeScript or JavaScript specifier may resolve: candidate files in order, then what it is if none exists.
+
+    aliases: (pattern, targets) by directory of their tsconfig; entries: declared entries by directory of a workspace.
+    """
     spec = spec.split("?")[0]
     bare = spec.removeprefix("node:")
     if spec.startswith("node:") or bare.split("/")[0] in NODE_BUILTINS and not spec.startswith("."):
@@ -115,7 +148,7 @@ def ts_candidates(importer: str, spec: str, aliases: list[tuple[str, list[str]]]
         at = _join_path(importer.rpartition("/")[0], spec)
         return {"paths": probes(at) if at is not None else [], "otherwise": "unresolved", "name": None}
     paths: list[str] = []
-    for pattern, targets in aliases:
+    for pattern, targets in nearest_aliases(importer, aliases):
         head, star, tail = pattern.partition("*")
         if spec == pattern or star and spec.startswith(head) and spec.endswith(tail) and len(spec) >= len(head) + len(tail):
             middle = spec[len(head) : len(spec) - len(tail)] if star else ""
@@ -123,10 +156,16 @@ def ts_candidates(importer: str, spec: str, aliases: list[tuple[str, list[str]]]
                 paths += probes(_join_path("", t.replace("*", middle)) or "")
     for name, at in workspaces:
         if spec == name:
-            paths += [f"{at}/{x}" for x in ("src/index.ts", "src/index.tsx", "src/index.js", "src/main.ts", "index.ts", "index.tsx", "index.js")]
+            for entry in (entries or {}).get(at, []):
+                paths += entry_probes(at, entry)
+            paths += plain_probes(f"{at}/src/index") + plain_probes(f"{at}/index")
         elif spec.startswith(name + "/"):
             sub = spec[len(name) + 1 :]
-            paths += probes(f"{at}/src/{sub}") + probes(f"{at}/{sub}")
+            paths += plain_probes(f"{at}/src/{sub}") + plain_probes(f"{at}/{sub}")
+        else:
+            continue
+        # a workspace's own package never is an external one
+        return {"paths": list(dict.fromkeys(paths)), "otherwise": "unresolved", "name": None}
     package = "/".join(spec.split("/")[: 2 if spec.startswith("@") else 1])
     return {"paths": list(dict.fromkeys(paths)), "otherwise": "package", "name": package}
 
@@ -153,7 +192,7 @@ def py_candidates(importer: str, spec: str, roots: list[str]) -> dict:
     return {"paths": paths, "otherwise": kind, "name": parts[0], "tops": tops}
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list, workspaces: list[tuple[str, str]], roots: list[str]) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict | list, workspaces: list[tuple[str, str]], roots: list[str], entries: dict[str, list[str]] | None = None) -> DataFrame:
     """Edges of imports (path, specifier, symbols) to files (path) and packages: kind, src, dst, symbols, registry.
 
     Candidates are made row by row and joined to the files; the first that exists wins. `from package import a` goes to
@@ -171,7 +210,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list, workspa
                     inner = py_candidates(path, spec + ("" if spec.endswith(".") else ".") + s, roots)
                     subs.append((s, inner["paths"]))
             return got["paths"], got["otherwise"], got["name"], got["tops"], subs
-        got = ts_candidates(path, spec, aliases, workspaces)
+        got = ts_candidates(path, spec, aliases, workspaces, entries)
         return got["paths"], got["otherwise"], got["name"], [], []
 
     own = imports.select(F.monotonically_increasing_id().alias("rid"), "path", "specifier", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))

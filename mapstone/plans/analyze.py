@@ -39,7 +39,7 @@ def facts_of(files: DataFrame, store: Store | None = None, full: bool = False) -
     return checkpointed(facts)
 
 
-def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: list, roots: list[str]) -> Graph:
+def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: dict | list, roots: list[str], entries: dict[str, list[str]] | None = None) -> Graph:
     """The whole graph of files (path, content) and their facts."""
     spark = files.sparkSession
     located = checkpointed(infer_modules(facts.select("path", "lang", "loc", "doc"), cfg.modules, workspaces, root_name))
@@ -48,7 +48,7 @@ def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_nam
     nodes = nodes.unionByName(build.symbol_nodes(symbols))
 
     imports = facts.select("path", F.explode("imports").alias("i")).select("path", "i.*")
-    raw = checkpointed(resolve_imports(imports, facts.select("path"), aliases, workspaces, roots))
+    raw = checkpointed(resolve_imports(imports, facts.select("path"), aliases, workspaces, roots, entries))
     merged = build.merge_edges(raw.select("kind", "src", "dst", "symbols")).withColumns({"source": F.lit("static"), "confidence": F.lit("certain")})
     edges = edges_of(merged)
     packages = raw.where("kind = 'imports_pkg'").groupBy("dst").agg(F.min_by("registry", "src").alias("registry"))
@@ -97,8 +97,9 @@ def analyze(spark: SparkSession, root: str, store: Store | None = None, root_nam
     cfg = config.load_config(root)
     files = checkpointed(scan.local_tree(spark, root, config.gitignore(root), cfg.exclude))
     facts = facts_of(files, store, full)
-    roots = python_roots(scan.list_paths(root), cfg.python_roots)
-    g = build_graph(files, facts, cfg, root_name or Path(root).resolve().name, config.workspaces(root), config.path_aliases(root), roots)
+    paths = scan.list_paths(root)
+    roots, members = python_roots(paths, cfg.python_roots), config.workspaces(root)
+    g = build_graph(files, facts, cfg, root_name or Path(root).resolve().name, members, config.path_aliases(root, paths), roots, config.workspace_entries(root, members))
     if store is not None:
         store.save_graph(g)
         store.save_snapshot(g, git.info(root))

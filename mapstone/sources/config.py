@@ -74,6 +74,10 @@ def pick_source(sources: list[dict], name: str | None = None) -> dict:
     raise ValueError(f"no live source named {name}")
 
 
+#: Conditions of package exports, in order.
+EXPORT_CONDITIONS = ("types", "import", "default", "require", "node")
+
+
 def _json(path: Path) -> dict:
     """JSON with comments and trailing commas; an unreadable file counts as empty."""
     try:
@@ -128,30 +132,54 @@ def workspaces(root: str) -> list[tuple[str, str]]:
     return out
 
 
-def path_aliases(root: str) -> list[tuple[str, list[str]]]:
-    """(pattern, targets) of the root's tsconfig paths, its `extends` followed; targets relative to the root."""
-    out: dict[str, list[str]] = {}
-    path, seen = Path(root, "tsconfig.json"), set()
-    if not path.exists():
-        path = Path(root, "tsconfig.base.json")
+def workspace_entries(root: str, members: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Declared entries of each workspace package by its directory: its root export by condition, then types, module, main."""
+    out = {}
+    for _, at in members:
+        data = _json(Path(root, at, "package.json"))
+        exported, found = data.get("exports"), []
+        if isinstance(exported, dict) and "." in exported:
+            exported = exported["."]
+        pending = [exported]
+        while pending:
+            x = pending.pop()
+            if isinstance(x, str):
+                found.append(x)
+            elif isinstance(x, dict):
+                pending += [x[k] for k in reversed(EXPORT_CONDITIONS) if k in x]
+        out[at] = found + [data[k] for k in ("types", "module", "main") if isinstance(data.get(k), str)]
+    return out
+
+
+def tsconfig_aliases(root: str, path: Path) -> list[tuple[str, list[str]]]:
+    """(pattern, targets) of one tsconfig's paths, its `extends` followed; targets relative to the root."""
+    top, seen = Path(root).resolve(), set()
     while path.exists() and path not in seen:
         seen.add(path)
         data = _json(path)
         opts = data.get("compilerOptions") or {}
-        base = (path.parent / opts.get("baseUrl", ".")).resolve()
-        for pattern, targets in (opts.get("paths") or {}).items():
-            rel = []
-            for t in targets:
-                try:
-                    rel.append(str((base / t).relative_to(Path(root).resolve())))
-                except ValueError:
-                    continue
-            out.setdefault(pattern, rel)
+        if isinstance(opts.get("paths"), dict):  # the nearest `paths` of the chain holds whole
+            base = (path.parent / opts.get("baseUrl", ".")).resolve()
+            out = {}
+            for pattern, targets in opts["paths"].items():
+                at = [(base / t).resolve() for t in targets if isinstance(t, str)]
+                out[pattern] = [str(t.relative_to(top)) for t in at if t.is_relative_to(top)]
+            return sorted(out.items(), key=lambda kv: -len(kv[0].split("*")[0]))
         parent = data.get("extends")
         if not isinstance(parent, str) or not parent.startswith("."):
             break
         path = (path.parent / (parent if parent.endswith(".json") else parent + ".json")).resolve()
-    return sorted(out.items(), key=lambda kv: -len(kv[0].split("*")[0]))
+    return []
+
+
+def path_aliases(root: str, paths: list[str] | None = None) -> dict[str, list[tuple[str, list[str]]]]:
+    """Aliases by directory of their tsconfig ("" is the root), for the scanned paths or the root alone."""
+    found = [p for p in paths or [] if p.rpartition("/")[2] == "tsconfig.json"]
+    if Path(root, "tsconfig.json").exists() or not Path(root, "tsconfig.base.json").exists():
+        found.append("tsconfig.json")
+    else:
+        found.append("tsconfig.base.json")
+    return {p.rpartition("/")[0]: tsconfig_aliases(root, Path(root, p)) for p in dict.fromkeys(found) if Path(root, p).exists()}
 
 
 def gitignore(root: str) -> list[str]:

@@ -247,3 +247,44 @@ def test_commands(spark, tmp_path):
     assert "drift" in call("get_schema_drift", store.load_graph()).lower()
     with pytest.raises(ValueError):
         commands.db_drift(spark, str(root), store)
+
+
+def test_workspace_entries_and_nearest_aliases(tmp_path):
+    from mapstone.sources import config
+
+    tree = {
+        "package.json": '{"workspaces": ["packages/*"]}',
+        "packages/ui/package.json": '{"name": "@s/ui", "exports": {".": {"import": "./dist/main.js", "types": "./dist/types.d.ts"}}, "main": "lib/old.cjs"}',
+        "packages/ui/tsconfig.json": '{"compilerOptions": {"paths": {"~/*": ["./src/*"]}}}',
+        "tsconfig.json": '{"compilerOptions": {"paths": {"~/*": ["shared/*"]}}}',
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    members = config.workspaces(str(tmp_path))
+    entries = config.workspace_entries(str(tmp_path), members)
+    assert entries == {"packages/ui": ["./dist/types.d.ts", "./dist/main.js", "lib/old.cjs"]}
+    got = ts_candidates("app/a.ts", "@s/ui", [], members, entries)
+    at = got["paths"].index
+    assert got["otherwise"] == "unresolved"
+    assert at("packages/ui/src/types.ts") < at("packages/ui/dist/types.d.ts") < at("packages/ui/src/main.ts") < at("packages/ui/src/old.ts") < at("packages/ui/src/index.ts")
+    aliases = config.path_aliases(str(tmp_path), sorted(tree))
+    assert "packages/ui/src/x.ts" in ts_candidates("packages/ui/deep/b.ts", "~/x", aliases, members)["paths"]
+    assert "shared/x.ts" in ts_candidates("packages/other/b.ts", "~/x", aliases, members)["paths"]
+
+
+def test_links_keep_named_tables_and_map_fields(spark):
+    from mapstone.operators.build import link_declared_schema
+
+    f = lambda n, c: (n, "Int", c, False, False, False)
+    rows = [
+        ("ent:a#User", "a", "User", "prisma", None, "users", True, [f("id", "user_id")], []),
+        ("ent:b#Post", "b", "Post", "prisma", None, "posts", True, [f("by", "by_id")], [("by", "by_id", "User", "id"), ("by", "by_id", "Gone", "id")]),
+        ("ent:c#Log", "c", "Log", "sqlalchemy", None, "logs", True, [f("at", "at")], [("at", "at", "audit.places", "key")]),
+    ]
+    field = "array<struct<name:string,type:string,column:string,nullable:boolean,is_pk:boolean,is_fk:boolean>>"
+    ents = spark.createDataFrame(rows, f"id string, path string, name string, orm string, table_schema string, table_name string, explicit boolean, fields {field}, relations array<struct<from_field:string,from_col:string,target:string,target_col:string>>")
+    tables, links = link_declared_schema(ents)
+    fks = {(r.src, r.dst): [tuple(c) for c in r.fk_columns] for r in links.where("kind = 'fk'").collect()}
+    assert fks == {("tbl:public.posts", "tbl:public.users"): [("by_id", "user_id")], ("tbl:public.logs", "tbl:audit.places"): [("at", "key")]}
+    assert tables.count() == 3
