@@ -61,11 +61,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: columnar, prunable and safe against lost executors."""
+def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders `by` columns, and read it back: columnar, prunable and safe against lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/mapstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(*by) if by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

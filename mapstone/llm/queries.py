@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing
+from . import embedding_dedup, lexical_search, mixing
 from .common import table
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_dedup
@@ -55,6 +55,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -63,11 +67,13 @@ def pipeline(spark, sf_dir):
 
 _ALL = (
     op1_exact_dedup, op2_html_text, op3_language_id, op4_token_records, op5_toxicity, op6_simhash_near_dedup,
-    op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_embedding_near_dedup, pipeline,
+    op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_embedding_near_dedup,
+    op11_lexical_search, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
+    "op11_lexical_search": lexical_search.SQL,
     "op10_embedding_near_dedup": embedding_dedup.SQL,
     "op7_source_mixing": mixing.sql(),
     "op1_exact_dedup": r"""
