@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, lexical_search, mixing
+from . import collocations, embedding_dedup, lexical_search, mixing
 from .common import table
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_dedup
@@ -59,6 +59,10 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -68,11 +72,12 @@ def pipeline(spark, sf_dir):
 _ALL = (
     op1_exact_dedup, op2_html_text, op3_language_id, op4_token_records, op5_toxicity, op6_simhash_near_dedup,
     op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_embedding_near_dedup,
-    op11_lexical_search, pipeline,
+    op11_lexical_search, op12_collocations, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
+    "op12_collocations": collocations.SQL,
     "op11_lexical_search": lexical_search.SQL,
     "op10_embedding_near_dedup": embedding_dedup.SQL,
     "op7_source_mixing": mixing.sql(),
