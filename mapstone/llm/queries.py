@@ -13,6 +13,7 @@ from .packing import best_fit_pack
 from .records import tokens_to_records
 from .simhash import near_dedup
 from .toxicity import toxicity
+from .vector_packing import pack_examples
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -63,6 +64,10 @@ def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_packing(spark, sf_dir):
+    return pack_examples(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -72,7 +77,7 @@ def pipeline(spark, sf_dir):
 _ALL = (
     op1_exact_dedup, op2_html_text, op3_language_id, op4_token_records, op5_toxicity, op6_simhash_near_dedup,
     op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_embedding_near_dedup,
-    op11_lexical_search, op12_collocations, pipeline,
+    op11_lexical_search, op12_collocations, op13_vector_packing, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
