@@ -8,8 +8,9 @@ ids. The index file beside it has a fixed 28-byte entry for each record: identif
 With both, any record can be read by one seek.
 
 Documents are range-partitioned by identifier, so file numbers and places within them follow ascending identifiers.
-Files are written under an attempt's own name and moved in place at the end, so that a task that runs again after the
-loss of an executor leaves one whole file.
+Every attempt at a task writes a pair of files under a name of its own, and the manifest, a JSON table beside them, names
+the pairs of the attempts that ended. A task that runs again after the loss of an executor neither moves nor
+replaces a file; what a lost attempt left is in no manifest.
 
 Defined results: a null text counts as empty and yields the end id alone; null identifiers come first; repeated
 identifiers give a record each; an empty table gives no file and an empty result.
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir, ship
 from .tokens import encoder
+from .words import gathered
 
 MASK_DELTA = 0xA282EAD8  # the constant of the well-known masked-checksum record framing
 HEAD, ENTRY = "<QI", "<qqqI"
 NULL_ID, TWO_BYTES = 1, 2
+CACHE = 300_000  # words, of one task
+MANIFEST = "part long, file string, records long, ids long"
 
 
 def masked(data: bytes) -> int:
@@ -88,19 +92,19 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int, text:
     def run(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHE)
         wide = max(enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) > 0xFFFF
         end, k, n, total, at = np.array([end_id], "<u4"), TaskContext.get().partitionId(), 0, 0, 0
         filesystem, top = _fs(out)
         filesystem.create_dir(top, recursive=True)
-        name, mine = f"{top}/part-{k:06d}", f"{top}/.part-{k:06d}-{uuid.uuid4().hex}"
+        name = f"{top}/part-{k:06d}-{uuid.uuid4().hex}"
         data = index = None
-        for b in batches:
-            for i, t in zip(b.column("id"), b.column("body"), strict=True):
+        for t in gathered(batches):
+            all_ids, offs = enc.encode_batch(t.column("body").combine_chunks())
+            for j, i in enumerate(t.column("id").to_pylist()):
                 if data is None:
-                    data, index = filesystem.open_output_stream(mine + ".rec"), filesystem.open_output_stream(mine + ".idx")
-                ids = np.concatenate([np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), end])
-                i = i.as_py()
+                    data, index = filesystem.open_output_stream(name + ".rec"), filesystem.open_output_stream(name + ".idx")
+                ids = np.concatenate([all_ids[offs[j] : offs[j + 1]], end])
                 got = frame(payload(i, ids, wide))
                 data.write(got)
                 index.write(struct.pack(ENTRY, i or 0, at, len(ids), NULL_ID if i is None else 0))
@@ -108,17 +112,22 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int, text:
         if data is not None:
             data.close()
             index.close()
-            for x in (".rec", ".idx"):
-                filesystem.move(mine + x, name + x)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k]), "file": [name], "records": pa.array([n]), "ids": pa.array([total])})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k]), "file": pa.array([name]), "records": pa.array([n]), "ids": pa.array([total])})
 
     dealt = (
         docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
         .repartitionByRange(max(partitions(spark), 1), "id")
         .sortWithinPartitions("id")
     )
-    got = dealt.mapInArrow(run, "part long, file string, records long, ids long").collect()  # a row for each file
-    return sorted((r.asDict() for r in got), key=lambda r: r["part"])
+    got = dealt.mapInArrow(run, MANIFEST).collect()  # a row for each file
+    manifest = sorted((r.asDict() for r in got), key=lambda r: r["part"])
+    spark.createDataFrame([tuple(r.values()) for r in manifest], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    return manifest
+
+
+def read_manifest(spark: SparkSession, out: str) -> list[dict]:
+    """The manifest of records written earlier."""
+    return [r.asDict() for r in spark.read.schema(MANIFEST).json(f"{out}/manifest").orderBy("part").collect()]
 
 
 def read_records(spark: SparkSession, manifest: list[dict], out: str, with_ids: bool = False) -> DataFrame:
