@@ -12,8 +12,9 @@ from ..extract.facts import FACTS, extract_files
 from ..functions.ids import node_id_col
 from ..functions.text import cut_document, titles, truncated_document
 from ..functions.text import headings as doc_headings
-from ..operators import build
+from ..operators import build, diff
 from ..operators.algo import checkpointed
+from ..operators.ancestry import History, neighbours
 from ..operators.resolve import infer_modules, resolve_imports
 from ..schema import Graph, edges_of, nodes_of
 from ..sources import cache, config, git, scan
@@ -123,11 +124,22 @@ def ensure_snapshot(spark: SparkSession, root: str, ref: str, store: Store) -> t
 
 def compare(spark: SparkSession, root: str, base: str, head: str, store: Store) -> dict[str, DataFrame]:
     """All differences between two commits, aware of git's renames."""
-    from ..operators import diff
-
     (a, b), (c, d) = ensure_snapshot(spark, root, base, store), ensure_snapshot(spark, root, head, store)
-    moved = git.renames(spark, root, a, c)
-    return {
-        "files": diff.diff_files(b, d, moved), "modules": diff.diff_modules(b, d, moved), "dependencies": diff.diff_dependencies(b, d, moved),
-        "tables": diff.diff_tables(b, d), "columns": diff.diff_columns(b, d), "foreign_keys": diff.diff_foreign_keys(b, d), "drift": diff.diff_drift(b, d),
-    }
+    return diff.all_differences(b, d, git.renames(spark, root, a, c))
+
+
+def history(spark: SparkSession, root: str, base: str, store: Store, head: str = "HEAD", most: int = 5) -> dict[str, DataFrame]:
+    """points (nth, sha, label, date) from base over sampled tagged commits to head; intervals between neighbours; and every kind of
+    difference, one table for all intervals (column interval), made in one plan from the kept graphs."""
+    a, b = git.resolve_ref(root, base), git.resolve_ref(root, head)
+    asked = spark.createDataFrame([("range", a, b, base, head)], "key string, base string, head string, base_label string, head_label string")
+    points = checkpointed(History(git.commits(spark, root, a, b)).waypoints(asked, most))
+    intervals = checkpointed(neighbours(points).drop("key"))
+    shas = sorted({r["sha"] for r in points.select("sha").collect()})  # at most `most`
+    for sha in shas:
+        ensure_snapshot(spark, root, sha, store)
+    moved = [(r["interval"], *x) for r in intervals.select("interval", "base", "head").collect() for x in git.renamed(root, r["base"], r["head"])]
+    renames = spark.createDataFrame(moved, "interval string, old string, new string")
+    kept = store.load_snapshots(shas)
+    sides = diff.interval_graphs(kept.nodes, kept.edges, intervals)
+    return {"points": points.drop("key"), "intervals": intervals, **diff.all_differences(*sides, renames, ("interval",))}

@@ -630,3 +630,6 @@ def table_boxes(spark, sf):
 @query(f"WITH {SUPPLY_RANKED} SELECT parent AS id, count(*) AS files FROM files JOIN ranks USING (id) GROUP BY parent ORDER BY round(sum(rank), 6) DESC, parent LIMIT {flows.HOME_MODULES}")
 def home_modules(spark, sf):
     return flows.home_modules(A.supply(spark, sf)).select("id", "files")
+
+
+from . import history_queries  # noqa: E402, F401  it registers its queries with the above

@@ -45,6 +45,17 @@ def log(spark: SparkSession, root: str, limit: int | None = None, ref: str = "HE
     return spark.createDataFrame(rows, "pos int, sha string, short_sha string, date string, author string, subject string, tags array<string>")
 
 
+def commits(spark: SparkSession, root: str, *tips: str) -> DataFrame:
+    """sha, pos, parents, tags, date of all commits that the tips reach, children before parents."""
+    form = _SEP.join(["%H", "%P", "%cI", "%D"]) + _END
+    rows = []
+    for k, part in enumerate(x.strip("\n") for x in git(root, "log", "--topo-order", f"--format={form}", *tips).split(_END) if x.strip()):
+        sha, above, date, deco = part.split(_SEP)
+        tags = sorted(d.strip().removeprefix("tag: ") for d in deco.split(",") if d.strip().startswith("tag: "))
+        rows.append((sha, k, above.split(), tags, date))
+    return spark.createDataFrame(rows, "sha string, pos long, parents array<string>, tags array<string>, date string")
+
+
 def refs(spark: SparkSession, root: str) -> DataFrame:
     """kind (branch, tag), name, sha (of the commit), date."""
     form = _SEP.join(["%(refname)", "%(objectname)", "%(*objectname)", "%(committerdate:iso-strict)", "%(*committerdate:iso-strict)", "%(creatordate:iso-strict)"])
@@ -56,11 +67,15 @@ def refs(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, sha string, date string")
 
 
+def renamed(root: str, base: str, head: str) -> list[tuple[str, str]]:
+    """Old and new paths of files renamed between two commits."""
+    parts = git(root, "diff", f"-M{SIMILARITY}%", "--diff-filter=R", "--name-status", "-z", base, head).split("\0")
+    return [(parts[i + 1], parts[i + 2]) for i in range(0, len(parts) - 2, 3)]
+
+
 def renames(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
     """old, new of files renamed between two commits."""
-    parts = git(root, "diff", f"-M{SIMILARITY}%", "--diff-filter=R", "--name-status", "-z", base, head).split("\0")
-    rows = [(parts[i + 1], parts[i + 2]) for i in range(0, len(parts) - 2, 3)]
-    return spark.createDataFrame(rows, "old string, new string")
+    return spark.createDataFrame(renamed(root, base, head), "old string, new string")
 
 
 def file_diff(root: str, sha: str, path: str) -> str:

@@ -54,6 +54,15 @@ class Store:
         except Exception:  # noqa: BLE001  a stale snapshot is a miss, whatever is wrong with it
             return None
 
+    def load_snapshots(self, shas: list[str]) -> Graph:
+        """The kept graphs of commits in one: nodes and edges with a column snapshot. Only the folders of these commits are read."""
+
+        def part(name: str, ddl: str) -> DataFrame:
+            rows = self.spark.read.schema(f"{ddl}, snapshot_id string").parquet(f"{self.at}/{name}")
+            return rows.where(F.col("snapshot_id").isin(*shas)).withColumnRenamed("snapshot_id", "snapshot")
+
+        return Graph(part("nodes", NODE), part("edges", EDGE))
+
     def list_snapshots(self) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.at}/nodes")
