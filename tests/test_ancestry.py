@@ -34,7 +34,7 @@ def walk(rows, sha):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_ranges_and_ancestors_equal_a_walk(spark, seed):
     rows = random_log(seed)
     h = History(spark.createDataFrame(rows + rows[:5], DDL))
@@ -56,7 +56,7 @@ def test_chains_cover_every_commit_once(spark):
     assert chains(spark.createDataFrame([], DDL)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 2, 3, 5, 40])
+@pytest.mark.parametrize("most", [2, 5, 40])
 def test_waypoints_are_sampled_evenly(spark, most):
     rows = random_log(4)
     ranges = [("a", "2", "59"), ("b", "50", "50"), ("c", "0", "40")]
