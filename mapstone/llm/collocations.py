@@ -37,6 +37,8 @@ from .words import classes, cut, gathered
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Counters of the sieve, slots of a block of counters, arrays that are summed at once.
 SKETCH, BLOCK, RADIX = 1 << 23, 1 << 16, 16
+#: Bytes of text that are cut at once.
+AT_ONCE = 4 << 20
 #: Words of a wave, and numbered words that are sent to the tasks, at most.
 WAVE_WORDS, VOCABULARY = 1 << 28, 4_000_000
 GAMMA = 2.0
@@ -148,7 +150,7 @@ def word_counts(own: DataFrame, least: int) -> DataFrame:
     """Stored: lang, word, f of the words seen often enough, and for each language a row without word, f being all its words."""
 
     def run(batches):
-        for t in gathered(batches):
+        for t in gathered(batches, most=AT_ONCE):
             pairs, codes, _ = _local(t)
             n = np.bincount(codes, minlength=len(pairs))
             of: dict[str, int] = {}
@@ -174,7 +176,7 @@ def encoded(own: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = own.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        for t in gathered(batches):
+        for t in gathered(batches, most=AT_ONCE):
             pairs, codes, fresh = _local(t)
             known = sent.value([f"{lang}\0".encode() + w for lang, w in pairs])
             if len(codes):
@@ -189,7 +191,7 @@ def encoded_by_join(own: DataFrame, numbered: DataFrame) -> DataFrame:
     def local(batches):
         from pyspark import TaskContext
 
-        for k, t in enumerate(gathered(batches)):
+        for k, t in enumerate(gathered(batches, most=AT_ONCE)):
             pairs, codes, fresh = _local(t)
             if len(codes):
                 rows = pa.array([{"lang": lang, "word": w.decode()} for lang, w in pairs], pa.struct([("lang", pa.string()), ("word", pa.string())]))
@@ -213,7 +215,7 @@ def encoded_by_join(own: DataFrame, numbered: DataFrame) -> DataFrame:
 
 @dataclass
 class Level:
-    """What is known of the phrases of one length in a wave: which counters pass the sieve, the candidates, their counts."""
+    """What is known of the phrases of one length in a wave: which counters pass the sieve (bits), the candidates, their counts."""
 
     passed: np.ndarray
     numbers: Numbers | None = None
@@ -248,7 +250,8 @@ class Wave:
 
     def passing(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         at, keys = self.keys(codes, k)
-        ok = self.levels[k].passed[(mixed(keys) & np.uint64(SKETCH - 1)).astype(np.int64)]
+        s = (mixed(keys) & np.uint64(SKETCH - 1)).astype(np.int64)
+        ok = (self.levels[k].passed[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
         return at[ok], keys[ok]
 
     def slots(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,25 +282,26 @@ class Wave:
         return np.where(self.own(ids[:, 0]) & (slot >= 0), self.levels[k].counts[slot], -1)
 
 
-def _blocks(counts: np.ndarray, part: int):
+def _blocks(counts: np.ndarray, part: int, kind: str):
     """The counters that aren't 0, block by block."""
     for block, lo in enumerate(range(0, len(counts), BLOCK)):
         at = np.flatnonzero(counts[lo : lo + BLOCK])
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([counts[lo : lo + BLOCK][at].astype("<i8").tobytes()], pa.binary())], names=["block", "part", "at", "n"]
+                [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([counts[lo : lo + BLOCK][at].astype(kind).tobytes()], pa.binary())], names=["block", "part", "at", "n"]
             )
 
 
-def tree_sum(blocks: DataFrame, parts: int) -> DataFrame:
-    """The sum of the arrays of `parts` parts, RADIX of them at a time."""
+def tree_sum(blocks: DataFrame, parts: int, kind: str = "<i8", most: int | None = None) -> DataFrame:
+    """The sum of the arrays of `parts` parts, RADIX of them at a time; no counter goes beyond `most`."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
-        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        for at, n in zip(t.column("at"), t.column("n"), strict=True):
+            total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), kind)
+        total = total if most is None else np.minimum(total, most)
         at = np.flatnonzero(total)
-        return pa.table([t.column("block").slice(0, 1), t.column("part").slice(0, 1), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())], names=["block", "part", "at", "n"])
+        return pa.table([t.column("block").slice(0, 1), t.column("part").slice(0, 1), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype(kind).tobytes()], pa.binary())], names=["block", "part", "at", "n"])
 
     while True:
         blocks = blocks.withColumn("part", F.expr(f"part div {RADIX}").cast("int")).groupBy("block", "part").applyInArrow(add, COUNTS)
@@ -306,21 +310,27 @@ def tree_sum(blocks: DataFrame, parts: int) -> DataFrame:
             return blocks
 
 
-def _counted(corpus: DataFrame, wave, size: int, slots) -> DataFrame:
-    """The stored sums of bincount arrays of what slots(wave, codes) gives for each array of word numbers."""
+def _counted(corpus: DataFrame, wave: Wave, size: int, slots, kind: str = "<i8", most: int | None = None) -> DataFrame:
+    """The stored sums of the counting arrays of what slots(wave, codes) gives for each array of word numbers."""
+    sent = corpus.sparkSession.sparkContext.broadcast(wave)
 
     def run(batches):
         from pyspark import TaskContext
 
-        w, total = wave.value, None
+        w, total = sent.value, np.zeros(size, np.uint32 if most else np.int64)
         for b in batches:
             for c in b.column("codes"):
                 s = slots(w, np.frombuffer(c.as_buffer(), "<i4").astype(np.int64))
-                total = np.bincount(s, minlength=size) if total is None else np.add(total, np.bincount(s, minlength=size), out=total)
-        if total is not None:
-            yield from _blocks(total, TaskContext.get().partitionId())
-
-    return materialize(tree_sum(corpus.mapInArrow(lean(run), COUNTS), corpus.rdd.getNumPartitions()), "counts")
+                if size <= 4 * len(s):
+                    total += np.bincount(s, minlength=size).astype(total.dtype)
+                else:  # few slots of many
+                    at, n = np.unique(s, return_counts=True)
+                    total[at] += n.astype(total.dtype)
+        yield from _blocks(total if most is None else np.minimum(total, most), TaskContext.get().partitionId(), kind)
+
+    out = materialize(tree_sum(corpus.mapInArrow(lean(run), COUNTS), corpus.rdd.getNumPartitions(), kind, most), "counts")
+    sent.destroy()
+    return out
 
 
 def _array(summed: DataFrame, size: int) -> np.ndarray:
@@ -331,34 +341,38 @@ def _array(summed: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _passed(summed: DataFrame, least: int) -> np.ndarray:
-    """Which counters of the sieve reach the limit; a bit for each comes to the driver."""
+def _sieve(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
+    """A bit for each counter of the sieve that reaches the limit; counters are cut off at it."""
+    least, kind = wave.least, "<u2" if wave.least < 1 << 16 else "<u4"
+    summed = _counted(corpus, wave, SKETCH, lambda w, c: (mixed(w.keys(c, k)[1]) & np.uint64(SKETCH - 1)).astype(np.int64), kind, least)
 
     def run(batches):
         for b in batches:
             for block, at, n in zip(b.column("block"), b.column("at"), b.column("n"), strict=True):
                 full = np.zeros(BLOCK, bool)
-                full[np.frombuffer(at.as_py(), "<u2")] = np.frombuffer(n.as_py(), "<i8") >= least
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([np.packbits(full).tobytes()], pa.binary())], names=["block", "bits"])
+                full[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), kind) >= least
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros(SKETCH, bool)
+    out = np.zeros(SKETCH // 8, np.uint8)
     for r in summed.mapInArrow(run, "block int, bits binary").collect():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _candidates(corpus: DataFrame, wave, k: int) -> np.ndarray:
+def _candidates(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
     """The different keys that pass the sieve."""
+    sent = corpus.sparkSession.sparkContext.broadcast(wave)
 
     def run(batches):
         seen = np.zeros(0, np.int64)
         for b in batches:
             for c in b.column("codes"):
-                seen = np.union1d(seen, wave.value.passing(np.frombuffer(c.as_buffer(), "<i4").astype(np.int64), k)[1])
+                seen = np.union1d(seen, sent.value.passing(np.frombuffer(c.as_buffer(), "<i4").astype(np.int64), k)[1])
         for lo in range(0, len(seen), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(seen[lo : lo + 100_000])], names=["key"])
 
     keys = materialize(corpus.mapInArrow(lean(run), "key long").distinct(), "candidates")
+    sent.destroy()
     return np.sort(keys.toArrow().column("key").to_numpy())
 
 
@@ -383,19 +397,20 @@ def _phrases(summed: DataFrame, wave, k: int, longest: int) -> DataFrame:
 
 def mine_wave(corpus: DataFrame, wave: Wave, longest: int) -> list[DataFrame]:
     """The frequent phrases of a wave, of 2 to `longest` words."""
-    sc, out = corpus.sparkSession.sparkContext, []
+    out = []
     for k in range(2, longest + 1):
-        sieve = _counted(corpus, sc.broadcast(wave), SKETCH, lambda w, c, k=k: (mixed(w.keys(c, k)[1]) & np.uint64(SKETCH - 1)).astype(np.int64))
-        wave.levels[k] = Level(_passed(sieve, wave.least))
-        wave.levels[k].numbers = Numbers(_candidates(corpus, sc.broadcast(wave), k))
+        wave.levels[k] = Level(_sieve(corpus, wave, k))
+        wave.levels[k].numbers = Numbers(_candidates(corpus, wave, k))
         size = len(wave.levels[k].numbers.keys)
         if not size:
             break
-        summed = _counted(corpus, sc.broadcast(wave), size, lambda w, c, k=k: w.slots(c, k)[1])
+        summed = _counted(corpus, wave, size, lambda w, c, k=k: w.slots(c, k)[1])
         wave.levels[k].counts = _array(summed, size)
         out.append((k, summed))
-    whole = sc.broadcast(wave)
-    return [_phrases(summed, whole, k, longest) for k, summed in out]
+    whole = corpus.sparkSession.sparkContext.broadcast(wave)
+    found = [_phrases(summed, whole, k, longest) for k, summed in out]
+    whole.destroy()
+    return found
 
 
 def _joined_parts(phrases: DataFrame, vocabulary: DataFrame) -> DataFrame:
