@@ -40,7 +40,7 @@ def facts_of(files: DataFrame, store: Store | None = None, full: bool = False) -
     return checkpointed(facts)
 
 
-def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: dict | list, roots: list[str], entries: dict[str, list[str]] | None = None) -> Graph:
+def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: dict[str, dict] | list, roots: list[str], entries: dict[str, list[str]] | None = None) -> Graph:
     """The whole graph of files (path, content) and their facts."""
     spark = files.sparkSession
     located = checkpointed(infer_modules(facts.select("path", "lang", "loc", "doc"), cfg.modules, workspaces, root_name))

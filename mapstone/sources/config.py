@@ -151,28 +151,54 @@ def workspace_entries(root: str, members: list[tuple[str, str]]) -> dict[str, li
     return out
 
 
-def tsconfig_aliases(root: str, path: Path) -> list[tuple[str, list[str]]]:
-    """(pattern, targets) of one tsconfig's paths, its `extends` followed; targets relative to the root."""
-    top, seen = Path(root).resolve(), set()
-    while path.exists() and path not in seen:
-        seen.add(path)
-        data = _json(path)
-        opts = data.get("compilerOptions") or {}
-        if isinstance(opts.get("paths"), dict):  # the nearest `paths` of the chain holds whole
-            base = (path.parent / opts.get("baseUrl", ".")).resolve()
-            out = {}
-            for pattern, targets in opts["paths"].items():
-                at = [(base / t).resolve() for t in targets if isinstance(t, str)]
-                out[pattern] = [str(t.relative_to(top)) for t in at if t.is_relative_to(top)]
-            return sorted(out.items(), key=lambda kv: -len(kv[0].split("*")[0]))
-        parent = data.get("extends")
-        if not isinstance(parent, str) or not parent.startswith("."):
-            break
-        path = (path.parent / (parent if parent.endswith(".json") else parent + ".json")).resolve()
-    return []
-
-
-def path_aliases(root: str, paths: list[str] | None = None) -> dict[str, list[tuple[str, list[str]]]]:
+def _extended(root: str, at: Path, name: str) -> Path | None:
+    """The file that an `extends` names: relative to the configuration, or an installed package's."""
+    if name.startswith((".", "/")):
+        tries = [at.parent / name, at.parent / f"{name}.json"]
+    else:
+        top = Path(root).resolve()
+        above = [p for p in (at.parent, *at.parent.parents) if p == top or top in p.parents]
+        tries = [p / "node_modules" / x for p in above for x in (name, f"{name}.json", f"{name}/tsconfig.json")]
+    return next((p.resolve() for p in tries if p.is_file()), None)
+
+
+def _compiler_options(root: str, path: Path, seen: frozenset[Path] = frozenset()) -> dict | None:
+    """baseUrl and paths of a tsconfig over those it extends, later ones first; whence: the folder that each is relative to. None if
+    one that it extends is missing."""
+    data, out = _json(path), {}
+    extends = data.get("extends") or []
+    for name in [extends] if isinstance(extends, str) else extends:
+        parent = _extended(root, path, name)
+        if parent is None:
+            return None
+        if parent in seen:
+            continue
+        got = _compiler_options(root, parent, seen | {path})
+        if got is None:
+            return None
+        out |= got
+    for key in ("baseUrl", "paths"):
+        if key in (data.get("compilerOptions") or {}):
+            out[key] = ((data["compilerOptions"])[key], path.parent)
+    return out
+
+
+def tsconfig_aliases(root: str, path: Path) -> dict:
+    """paths: (pattern, targets) in order; base: the folder of plain specifiers, or None. All relative to the root."""
+    top = Path(root).resolve()
+    options = _compiler_options(root, path.resolve()) or {}
+    base, whence = options.get("baseUrl", (None, None))
+    at = (whence / base).resolve() if isinstance(base, str) else None
+    inside = lambda p: "" if p == top else str(p.relative_to(top)) if p.is_relative_to(top) else None
+    paths, whence = options.get("paths", (None, None))
+    out = []
+    for pattern, targets in (paths or {}).items() if isinstance(paths, dict) else ():
+        own = [inside(((at or whence) / t).resolve()) for t in targets if isinstance(t, str)]
+        out.append((pattern, [t for t in own if t is not None]))
+    return {"paths": out, "base": inside(at) if at is not None else None}
+
+
+def path_aliases(root: str, paths: list[str] | None = None) -> dict[str, dict]:
     """Aliases by directory of their tsconfig ("" is the root), for the scanned paths or the root alone."""
     found = [p for p in paths or [] if p.rpartition("/")[2] == "tsconfig.json"]
     if Path(root, "tsconfig.json").exists() or not Path(root, "tsconfig.base.json").exists():

@@ -6,7 +6,7 @@ import pytest
 from mapstone.api import TOOLS, call
 from mapstone.extract.facts import extract
 from mapstone.functions.budget import estimate_tokens
-from mapstone.operators.resolve import glob_regex, py_candidates, ts_candidates
+from mapstone.operators.resolve import glob_regex
 from mapstone.plans import analyze as A
 from mapstone.schema import validate
 from mapstone.sources import config, git, scan
@@ -158,14 +158,6 @@ def test_watch_calls_rebuild(spark, repo, tmp_path):
     assert len(seen) == 1 and any(p.endswith("src/main.ts") for p in seen[0]) and not any(p.endswith(".prisma") for p in seen[0])
 
 
-def test_resolution_candidates():
-    assert ts_candidates("a/b.ts", "../../x", [], [])["otherwise"] == "unresolved" and not ts_candidates("a/b.ts", "../../x", [], [])["paths"]
-    assert ts_candidates("a/b.ts", "./c.js?raw", [], [])["paths"][:2] == ["a/c.ts", "a/c.tsx"]
-    assert ts_candidates("a.ts", "@s/n/deep", [], [])["name"] == "@s/n" and ts_candidates("a.ts", "fs/promises", [], [])["otherwise"] == "builtin"
-    assert py_candidates("p/q/r.py", "..x", [""])["paths"] == ["p/x.py", "p/x/__init__.py"]
-    assert py_candidates("r.py", "...x", [""])["otherwise"] == "unresolved"
-
-
 def test_globs_and_ignores(spark):
     import re
 
@@ -249,30 +241,6 @@ def test_commands(spark, tmp_path):
         commands.db_drift(spark, str(root), store)
 
 
-def test_workspace_entries_and_nearest_aliases(tmp_path):
-    from mapstone.sources import config
-
-    tree = {
-        "package.json": '{"workspaces": ["packages/*"]}',
-        "packages/ui/package.json": '{"name": "@s/ui", "exports": {".": {"import": "./dist/main.js", "types": "./dist/types.d.ts"}}, "main": "lib/old.cjs"}',
-        "packages/ui/tsconfig.json": '{"compilerOptions": {"paths": {"~/*": ["./src/*"]}}}',
-        "tsconfig.json": '{"compilerOptions": {"paths": {"~/*": ["shared/*"]}}}',
-    }
-    for name, text in tree.items():
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(text)
-    members = config.workspaces(str(tmp_path))
-    entries = config.workspace_entries(str(tmp_path), members)
-    assert entries == {"packages/ui": ["./dist/types.d.ts", "./dist/main.js", "lib/old.cjs"]}
-    got = ts_candidates("app/a.ts", "@s/ui", [], members, entries)
-    at = got["paths"].index
-    assert got["otherwise"] == "unresolved"
-    assert at("packages/ui/src/types.ts") < at("packages/ui/dist/types.d.ts") < at("packages/ui/src/main.ts") < at("packages/ui/src/old.ts") < at("packages/ui/src/index.ts")
-    aliases = config.path_aliases(str(tmp_path), sorted(tree))
-    assert "packages/ui/src/x.ts" in ts_candidates("packages/ui/deep/b.ts", "~/x", aliases, members)["paths"]
-    assert "shared/x.ts" in ts_candidates("packages/other/b.ts", "~/x", aliases, members)["paths"]
-
-
 def test_links_keep_named_tables_and_map_fields(spark):
     from mapstone.operators.build import link_declared_schema
 
