@@ -4,7 +4,9 @@ A page is parsed into a tree of elements. Every block-level element gets feature
 attributes and of its ancestors', the words of a short text and of the heading before it speak for main text (odds that
 are learned), depth, size and density of its subtree, link share, sentence signs, and statistics among its siblings. Boosted trees give the probability that the element holds main text. Decoding chooses, by dynamic programming
 over the tree, the likeliest labelling in which a dropped element has no kept descendant; an element that holds
-text of its own counts fully, a mere container by less. Kept text is joined block by block in page order.
+text of its own counts fully, a mere container by less. Names are no evidence against an element that holds most of a page's
+text, and a page of prose that decodes to nothing is decoded again without any names. Kept text is joined block by block
+in page order.
 
 The trees are trained here on pages made by a seeded generator of many layouts (PAGES pages), whose main text is known;
 no row of the corpus is used. The same seed gives the same trees on every machine.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import kept, ship
 
-PAGES, SEED, TREES, DEPTH, BINS, RATE, SHARE = 2000, 5, 90, 4, 32, 0.2, 0.4
+PAGES, SEED, TREES, DEPTH, BINS, RATE, SHARE = 2400, 5, 90, 4, 32, 0.2, 0.4
+SHRINK = 6  # sightings at which a token's odds count half
 
 #: Comments, declarations and tags. A quote counts only after an equals sign; nothing is read twice.
 _TAG = re.compile(
@@ -64,6 +67,8 @@ TAG_AT = {t: k for k, t in enumerate(TAGS)}
 ABOVE = "article main nav footer aside form header".split()  # of these it matters whether an element is inside of one
 NAMING = frozenset(("class", "id", "role", "itemprop", "data-component", "aria-label"))
 SHORT = 80  # words of no longer texts are looked at
+MOST = 0.8  # of a page's text: names don't speak against what holds so much
+PROSE = 200  # characters that make a page one of prose, if they stand in blocks with sentence signs
 
 
 class Node:
@@ -201,7 +206,7 @@ def odds_of(names, odds: dict[str, float]) -> tuple[float, float]:
     return (min(got), max(got)) if got else (0.0, 0.0)
 
 
-N_FEATURES = len(TAGS) + len(ABOVE) + 30
+N_FEATURES = len(TAGS) + len(ABOVE) + 31
 
 
 def features(blocks: list[Node], root: Node, odds: dict[str, float]) -> np.ndarray:
@@ -214,20 +219,21 @@ def features(blocks: list[Node], root: Node, odds: dict[str, float]) -> np.ndarr
         g[0] += 1
         g[1] = max(g[1], x.text)
         g[2] += x.text
-    #: of a block, for those in it: lowest and highest odds above, flags of ABOVE, hidden, odds of the last heading, blocks so far, tag and text of the last
+    #: of a block, for those in it: lowest and highest odds above, flags of ABOVE, hidden, odds of the last heading, blocks so far, tag and text of the last, highest odds of the last heading
     state: dict[int, list] = {}
-    start = [0.0, 0.0, 0, False, 0.0, 0, "", 0]
+    start = [0.0, 0.0, 0, False, 0.0, 0, "", 0, 0.0]
     for i, x in enumerate(blocks):
         up = state.get(id(x.block)) or state.setdefault(id(x.block), list(start))
         lo, hi = odds_of(x.names, odds)
+        lo = max(lo, 0.0) if x.text > max(MOST * total, PROSE) else lo
         words = odds_of(said_words(x), odds)
         title = odds_of(said_words(x.title), odds)[0] if x.title else 0.0
         if x.tag in HEADS:
-            up[4] = words[0]
+            up[4], up[8] = words
         k, last_tag, last_text = up[5], up[6], up[7]
         up[5], up[6], up[7] = k + 1, x.tag, x.text
         flags = up[2] | (1 << ABOVE.index(x.tag) if x.tag in ABOVE else 0)
-        state[id(x)] = [min(up[0], lo), max(up[1], hi), flags, up[3] or x.hidden, min(up[4], title), 0, "", 0]
+        state[id(x)] = [min(up[0], lo), max(up[1], hi), flags, up[3] or x.hidden, min(up[4], title), 0, "", 0, up[8]]
         row = out[i]
         if x.tag in TAG_AT:
             row[TAG_AT[x.tag]] = 1
@@ -248,6 +254,7 @@ def features(blocks: list[Node], root: Node, odds: dict[str, float]) -> np.ndarr
             words[1],
             title,
             up[4],
+            up[8],
             x.depth,
             math.log1p(x.text),
             math.log1p(x.own),
@@ -400,9 +407,15 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     blocks = [measure(t) for t in trees]
     xs = [features(b, t, model.odds) for b, t in zip(blocks, trees, strict=True)]
     ps = np.split(model.predict(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1]) if xs else []
+    out = []
     for t, b, p in zip(trees, blocks, ps, strict=True):
         decode(t, b, p)
-    return [collect(t) for t in trees]
+        text = collect(t)
+        if not text and sum(x.own for x in b if x.marks) >= PROSE:
+            decode(t, b, model.predict(features(b, t, {w: v for w, v in model.odds.items() if ":" in w})))
+            text = collect(t)
+        out.append(text)
+    return out
 
 
 # --- training pages -------------------------------------------------------------------------------------------------
@@ -417,17 +430,18 @@ CALLED = {
     "side": "sidebar side aside rail widget widgets secondary complementary related related-posts recommended popular trending more-stories recent-posts teaser-list also-like",
     "bio": "author-bio author-box about-author byline-box tags tag-list post-tags categories meta-box post-meta",
     "ad": "ad ads advert advertisement adsense ad-slot sponsor sponsored promo promotion promoted banner-ad dfp outbrain taboola commercial ad-container",
-    "note": "cookie cookies cookie-notice cookie-banner consent gdpr notice alert modal popup overlay paywall dialog toast warning privacy-note disclaimer noscript-warning",
+    "note": "cookie cookies cookie-notice cookie-banner cc-window cc-banner consent gdpr notice alert modal popup overlay paywall dialog toast warning privacy-note disclaimer noscript-warning",
     "talk": "comments comment-list commentlist comments-area respond replies discussion disqus thread reviews feedback comment-section user-comments responses",
     "form": "search search-form login signin signup newsletter subscribe subscription register contact-form mailing-list opt-in",
     "share": "share share-buttons sharing social social-links follow buttons cta share-bar",
     "text": "content main-content post post-content entry entry-content article article-body body-text story story-body text prose markdown blog-post page-content wysiwyg hentry maincontent post-body",
+    "wrap": "site page wrapper wrap container outer inner root app layout main row col grid top bar hero notice public-notice top-story site-content site-main content-area primary block box panel section item view story-wrap page-wrap wp-site home lead card",
     "title": "entry-header post-header article-header page-header title-wrap headline story-header entry-title",
 }
 SAID = {
     "menu": "home start accueil inicio contact kontakt about über sitemap menu menü archive blog news shop",
     "foot": "copyright rights reserved impressum datenschutz agb imprint privacy policy terms mentions légales confidentialité aviso legal privacidad colofon powered theme",
-    "side": "related popular recent trending recommended ähnliche beliebte neueste verwandte articles artikel similaires récents relacionados recientes populares also weitere",
+    "side": "related popular recent trending more from recommended ähnliche beliebte neueste verwandte articles artikel similaires récents relacionados recientes populares also weitere",
     "ad": "advertisement anzeige werbung publicité publicidad sponsored sponsor gesponsert buy kaufen offer angebot discount rabatt",
     "note": "cookies cookie consent accept akzeptieren zustimmen accepter aceptar javascript enable browser subscribers registered",
     "talk": "comments comment kommentare kommentar commentaires comentarios commenti reacties reply replies antworten répondre responder says schrieb",
@@ -473,6 +487,14 @@ class Maker:
             names[0] += self.r.choice(["-wrap", "-box", "-inner", "-1", "__list", "Container"])
         return f' {self.r.choice(["class", "class", "class", "id", "role", "aria-label"])}="{" ".join(names)}"'
 
+    def boxed(self, text: str) -> str:
+        """A box around the article or the page: its name says nothing, whatever it is, but that of a box is likelier."""
+        r = self.r
+        names = [r.choice(self.called["wrap"]) if r.random() < 0.75 else self.words(1)[0] if r.random() < 0.6 else r.choice("abcdefghi")] + (self.words(1) if r.random() < 0.2 else [])
+        name = "" if r.random() < 0.15 else f' {r.choice(["class", "class", "id"])}="{" ".join(names)}"'
+        tag = r.choice(["div", "div", "div", "section", "main"])
+        return f"<{tag}{name} data-keep>{text}</{tag}>"
+
     def prose(self, lo: int = 1, hi: int = 8) -> str:
         s = " ".join(self.sentence() for _ in range(self.r.randint(lo, hi)))
         if self.r.random() < 0.15:  # no signs at all, or words that repeat
@@ -490,6 +512,7 @@ class Maker:
         return r.choice([
             "All rights reserved.", f"Copyright {r.randint(1990, 2026)} {w[0].title()}. All rights reserved.", f"{self.said(r.choice([*self.boiler]), 3)}.", f"{self.sentence()[:-1]} {w[1]}@mail.example.com {w[2]}.",
             f"{self.sentence()} https://www.{w[0]}.example.com/{w[1]}", f"Licensed under the {w[0]} license, see http://{w[1]}.example.org.", f"{self.said(r.choice([*self.boiler]), 2)} {self.sentence()}",
+            f"{r.choice(self.any_said).title()} {' '.join(self.words(r.randint(2, 5)))}", f"{r.choice(self.any_said).title()} {' '.join(self.words(r.randint(2, 5)))}.",
         ])
 
     def linked(self) -> str:
@@ -526,8 +549,10 @@ class Maker:
         """Readers' comments: in blocks of their own, in lists, with names, with or without a class."""
         r = self.r
         who = lambda: r.choice(["<b>{}</b>", "<cite>{}</cite>", "<strong>{}:</strong>", '<a href="/u">{}</a>', "<span>{}</span>", "<h4>{}</h4>"]).format(self.words(1)[0].title())
+        if r.random() < 0.35:
+            who = lambda: self.words(1)[0].title() + ":"
         each = [who() + r.choice(["", " " + self.said("talk")]) + r.choice([f"<p>{self.prose(1, 3)}</p>", " " + self.sentence(2, 14)]) for _ in range(r.randint(1, 6))]
-        title = r.choice([f"<h3>{self.said('talk')}</h3>", f"<h2>{len(each)} {self.said('talk')}</h2>", f"<h3>{self.said('talk')}</h3>", f"<h3>{' '.join(self.words(2))}</h3>"])
+        title = r.choice([f"<h3>{self.said('talk')}</h3>", f"<h2>{len(each)} {self.said('talk', 1)}</h2>", f"<h3>{r.randint(1, 40)} {r.choice(self.boiler['talk'])}</h3>", f"<h3>{' '.join(self.words(2))}</h3>"])
         named = r.random() < 0.45
         own = lambda t: f"<{t}{r.choice([' class=comment', ' class=reply', ' class=c', ''])}>"
         if r.random() < 0.6:
@@ -555,6 +580,9 @@ class Maker:
             return f"<div{self.name('share') or ' class=share'}>{r.choice(['<ul>' + self.links(r.randint(2, 5), 'share') + '</ul>', ' '.join('<a href=/s>' + w + '</a>' for w in r.choices(self.boiler['share'], k=3))])}</div>"
         if kind == 4:
             inner = f"<h3>{r.choice([' '.join(self.words(2)), self.said('side')])}</h3><ul>{self.links(r.randint(2, 7), 'side')}</ul>" + (f"<p>{s}</p>" if r.random() < 0.5 else "")
+            if r.random() < 0.3:  # cards
+                card = lambda: f"<div{r.choice([' class=card', ' class=item', ''])}><h4>{' '.join(self.words(r.randint(2, 6)))}</h4><p>{self.sentence(3, 16)}</p></div>"
+                inner = f"<h3>{self.said('side', 3)}</h3>" + "".join(card() for _ in range(r.randint(2, 5)))
             return r.choice([f"<aside>{inner}</aside>", f"<aside{self.name('side')}>{inner}</aside>", f"<div{self.name('side') or ' class=sidebar'}>{inner}</div>"])
         if kind in (5, 9):
             return self.talk()
@@ -589,16 +617,22 @@ class Maker:
                 body = self.linked() if rich or r.random() < 0.05 else self.quoted() if r.random() < 0.12 else self.prose(1, r.choice([1, 2, 8]))
             elif kind < 0.8:
                 t, body = r.choice(["h2", "h3"]), self.sentence(1, 8)
+                if r.random() < 0.2:  # boilerplate's words in a heading, with prose below
+                    body = f"{self.said(r.choice([*self.boiler]), 1)} {' '.join(self.words(r.randint(2, 4)))}"
+                    out.append(f"<{t}{k}>{body}{end(t)}")
+                    t, body = "p", self.prose(1, 3)
             elif kind < 0.88:
                 t = r.choice(["ul", "ol"])
                 body = "".join(f"<li{k}>{r.choice([self.sentence(2, 14), self.prose(1, 2), self.sentence(2, 14), self.linked()])}</li>" for _ in range(r.randint(2, 6)))
             elif kind < 0.92:
-                t, body = "blockquote", f"<p{k}>{self.prose(1, 2)}</p>"
+                t, body = "blockquote", f"<p{k}>{self.prose(1, 2) if r.random() < 0.6 else self.quoted()}</p>"
             elif kind < 0.95:
                 t, body = "pre", " ".join(self.words(12))
             elif kind < 0.97:
                 t = "table"
                 body = "".join(f"<tr{k}>" + "".join(f"<td{k}>{' '.join(self.words(2))}</td>" for _ in range(3)) + "</tr>" for _ in range(3))
+            elif kind < 0.975:
+                t, body = "dl", "".join(f"<dt{k}>{r.choice([self.words(1)[0], self.said(r.choice([*self.boiler]), 1)])}</dt><dd{k}>{self.prose(1, 2)}</dd>" for _ in range(r.randint(1, 4)))
             elif kind < 0.98:
                 t, body = "noscript", f"<p{k}>{self.prose(1, 2)}</p>"
             else:
@@ -613,8 +647,8 @@ class Maker:
     def page(self) -> str:
         r, k = self.r, " data-keep"
         text = self.main()
-        if r.random() < 0.3:
-            text += self.junk()
+        if r.random() < 0.4:
+            text += self.talk() if r.random() < 0.4 else self.junk()
         style = r.random()
         if style < 0.5:
             text = f"<article{self.name('text') if r.random() < 0.5 else ''}{k}>{text}</article>"
@@ -626,6 +660,8 @@ class Maker:
             text = f"<div{k}>{text}</div>"
         if r.random() < 0.3:
             text = f"<{r.choice(['main', 'section', 'div'])}{k}>{text}" + "".join(self.junk() for _ in range(r.randint(0, 2)))
+        for _ in range(r.choice([0, 0, 0, 1, 2])):  # boxes of any name around the article
+            text = self.boxed(text)
         before = [self.menu()] + ([self.edge(False)] if r.random() < 0.6 else []) + [self.junk() for _ in range(r.choice([0, 1, 1, 2]))]
         after = [self.junk() for _ in range(r.choice([0, 0, 1, 2, 3]))] + ([self.edge(True)] if r.random() < 0.9 else [])
         r.shuffle(before)
@@ -635,8 +671,11 @@ class Maker:
             after = []
         if r.random() < 0.06:  # no page around it
             return "".join(before[:1]) + text + "".join(after[:1])
+        whole = "".join(before) + text + "".join(after)
+        for _ in range(r.choice([0, 0, 1, 1, 2])):  # and around the page
+            whole = self.boxed(whole)
         ends = r.choice(["</body></html>", "</body></html>", ""])
-        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body{k}>{''.join(before)}{text}{''.join(after)}{ends}"
+        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body{k}>{whole}{ends}"
 
 
 def marked_pages(pages: int, seed: int) -> list[tuple[Node, list[Node], np.ndarray]]:
@@ -652,12 +691,15 @@ def marked_pages(pages: int, seed: int) -> list[tuple[Node, list[Node], np.ndarr
 
 
 def token_odds(pages: list[tuple[Node, list[Node], np.ndarray]], least: int = 4) -> dict[str, float]:
-    """log odds that an element with a token among its names, or a word in its short text or heading, is main text."""
+    """log odds that an element with a token among its names, or a word in its short text or heading, is main text: less for rare
+    ones, none for names of one or two letters but those that templates use."""
+    known = {t for v in CALLED.values() for t in _TOKEN.findall(v)}
     yes, no = Counter(), Counter()
     for _, blocks, answers in pages:
         for x, keep in zip(blocks, answers, strict=True):
             (yes if keep else no).update({*x.names, *said_words(x), *(said_words(x.title) if x.title else ())})
-    return {t: round(max(-4.0, min(4.0, math.log((yes[t] + 0.3) / (no[t] + 0.3)))), 4) for t in yes.keys() | no.keys() if yes[t] + no[t] >= least}
+    seen = {t: yes[t] + no[t] for t in yes.keys() | no.keys() if len(t) > 2 or t in known}
+    return {t: round(max(-4.0, min(4.0, math.log((yes[t] + 0.3) / (no[t] + 0.3)))) * n / (n + SHRINK), 4) for t, n in seen.items() if n >= least}
 
 
 def training_rows(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:

@@ -45,6 +45,31 @@ CASES = {
     ),
 }
 
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>", "<footer><p>Copyright 2024 All rights reserved.</p></footer>"
+ARTICLE, WHOLE = f"<article><h1>The title</h1>{P}</article>", "The title\n" + REST
+CASES |= {
+    "a box called site": (f"<div class=site>{NAV}{ARTICLE}{FOOT}</div>", WHOLE),
+    "a page called page and site": (f"<div id=page class=site><main><h1>The title</h1>{P}</main></div>", WHOLE),
+    "a common blog's template": (
+        '<div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">My Blog</a></p><nav id="site-navigation" class="main-navigation"><ul><li><a href=/>Home</a></li><li><a href=/c>Contact</a></li></ul></nav></header>'
+        '<div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-1" class="post-1 post type-post hentry"><header class="entry-header"><h1 class="entry-title">The title</h1></header><div class="entry-content">' + P + "</div></article></main></div>"
+        '<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent Posts</h2><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></section></aside></div><footer id="colophon" class="site-footer"><div class="site-info">Proudly powered by WordPress</div></footer></div>',
+        WHOLE,
+    ),
+    **{f"an article called {x}": (f"{NAV}<div class={x}><h1>The title</h1>{P}</div>{FOOT}", WHOLE) for x in ("top-story", "public-notice", "c", "hero", "bar")},
+    "boxes in boxes": (f"<div class=container><div class=row><div class=col>{ARTICLE}</div></div></div>", WHOLE),
+    "names of two letters": (f"<div id=wrap class=de>{NAV}<div class='li go in'>{ARTICLE}</div>{FOOT}</div>", WHOLE),
+    "a cookie window": (f'<div class="cc-window cc-banner" role=dialog><span>This website uses cookies to ensure you get the best experience.</span><a href=/p>Learn more</a><a>Got it!</a></div>{ARTICLE}', WHOLE),
+    "cards of other stories": (ARTICLE + "<div class=cards><h3>More from us</h3><div class=card><h4>Another story here</h4><p>A short teaser of it.</p></div><div class=card><h4>Second story there</h4><p>A teaser of that one.</p></div></div>", WHOLE),
+    "a quoted paragraph that sounds like a button": (f"<article><h1>The title</h1>{P}<blockquote><p>Share what you know</p></blockquote></article>", WHOLE + "\nShare what you know"),
+    "terms that sound like notices": (
+        f"<article><h1>The title</h1>{P}<dl><dt>Cookie</dt><dd>A small piece of data that a site keeps in the browser.</dd><dt>Newsletter</dt><dd>A letter that is sent to many readers at once.</dd></dl></article>",
+        WHOLE + "\nCookie\nA small piece of data that a site keeps in the browser.\nNewsletter\nA letter that is sent to many readers at once.",
+    ),
+    "comments as lines of a list": (ARTICLE + "<h3>Comments</h3><ul><li>Anna: great article!</li><li>Bob: I liked it a lot, thanks.</li></ul>", WHOLE),
+    "a notice alone": (f"<div class='cookie-banner'><p>We use cookies to improve your experience on our site. Accept all of them.</p></div>{NAV}", ""),
+}
+
 
 @pytest.mark.parametrize("name", CASES)
 def test_layouts(name):
