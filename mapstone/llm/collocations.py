@@ -31,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, ship
+from .common import lean, materialize, ship, small_batches
 from .words import classes, cut, gathered
 
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Counters of the sieve, slots of a block of counters, arrays that are summed at once.
 SKETCH, BLOCK, RADIX = 1 << 23, 1 << 16, 16
 #: Bytes of text that are cut at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Words of a wave, and numbered words that are sent to the tasks, at most.
 WAVE_WORDS, VOCABULARY = 1 << 28, 4_000_000
 GAMMA = 2.0
@@ -324,9 +324,10 @@ def _counted(corpus: DataFrame, wave: Wave, size: int, slots, kind: str = "<i8",
                 if size <= 4 * len(s):
                     total += np.bincount(s, minlength=size).astype(total.dtype)
                 else:  # few slots of many
-                    at, n = np.unique(s, return_counts=True)
-                    total[at] += n.astype(total.dtype)
-        yield from _blocks(total if most is None else np.minimum(total, most), TaskContext.get().partitionId(), kind)
+                    s.sort()
+                    at = np.flatnonzero(np.diff(s, prepend=-1))
+                    total[s[at]] += np.diff(at, append=len(s)).astype(total.dtype)
+        yield from _blocks(total if most is None else np.minimum(total, most, out=total), TaskContext.get().partitionId(), kind)
 
     out = materialize(tree_sum(corpus.mapInArrow(lean(run), COUNTS), corpus.rdd.getNumPartitions(), kind, most), "counts")
     sent.destroy()
@@ -433,6 +434,13 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language."""
     ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        phrases, vocabulary, totals = _mined(docs, least, longest, text, lang, wave_words, vocabulary_limit)
+    return best(phrases, vocabulary, totals, most)
+
+
+def _mined(docs: DataFrame, least: int, longest: int, text: str, lang: str, wave_words: int, vocabulary_limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored phrases (ids, a, parts), the numbered words, and the words of each language."""
     own = _own(docs, text, lang)
     counts = word_counts(own, least)
     words, totals = counts.where("word IS NOT NULL"), counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
@@ -459,13 +467,13 @@ def collocations(
         corpus = encoded_by_join(own, vocabulary)
     found = [x for w in range(waves) for x in mine_wave(corpus, Wave(w, waves, least, known.counts if known else None), longest)]
     if not found:
-        return words.limit(0).select("lang", F.lit(0).alias("rank"), F.col("word").alias("phrase"), *[F.col("f").alias(x) for x in ("a", "l", "r", "n", "score")])
+        return docs.sparkSession.createDataFrame([], "ids array<long>, a long, parts array<long>"), vocabulary, totals
     phrases = found[0]
     for x in found[1:]:
         phrases = phrases.unionByName(x)
     if waves > 1 or known is None:
         phrases = materialize(_joined_parts(phrases, vocabulary), "phrases")
-    return best(phrases, vocabulary, totals, most)
+    return phrases, vocabulary, totals
 
 
 def best(phrases: DataFrame, vocabulary: DataFrame, totals: DataFrame, most: int) -> DataFrame:

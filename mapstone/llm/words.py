@@ -58,12 +58,14 @@ def cut(texts: pa.Array, kinds: np.ndarray) -> Cut:
     first[tops] = word[tops]
     starts = np.flatnonzero(first)
     doc = np.searchsorted(offs, starts, "right") - 1
-    before = (np.cumsum(word) - 1)[starts]
+    kind_of = np.int32 if len(data) < 1 << 31 else np.int64
+    before = np.cumsum(word, dtype=kind_of)[starts] - 1
     ends = np.append(before, np.count_nonzero(word)).astype(np.int64)
     letters = _LOWER[data[word]]
+    del first, before
     flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
     coded = flat.dictionary_encode()
-    broken = np.cumsum(kind == BREAK)[starts]
+    broken = np.cumsum(kind == BREAK, dtype=kind_of)[starts]
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (broken[1:] != broken[:-1]) | (doc[1:] != doc[:-1])
     return Cut(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, doc, fresh)
