@@ -12,9 +12,10 @@ number of candidates, so chance words don't enter.
 Training takes a bounded sample: at most about TRAIN_ROWS labelled documents outside the held-out fold, chosen by a
 hash of the identifier. The character model counts the n-grams of all texts. Scoring reads whole texts.
 
-Defined results: null and empty texts score the model's bias; with no labelled row, or one label only, every score is
-the training share of label 1 (0 without labels); labels that are null are not used; null identifiers are not held out
-and not trained on; repeated rows score alike; an empty table gives an empty result.
+Defined results: null and empty texts score the model's bias, which is always below 0.5; with no labelled row, one label only,
+or no feature that the labels show, every score is that, so nothing is dropped for want of a model; labels that are null are
+not used; null identifiers are not held out and not trained on; repeated rows score alike; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "*": "aeiou", "%": "",
 }
 #: The bias goes no lower, so that one plain piece of evidence can decide: about 1 in 100 without any.
+#: The highest log odds of a text without evidence.
+CLEAN = -0.1
 NO_EVIDENCE = -4.6
 SUBSTITUTED, DROPPED, DOUBLED, BROKEN = 2.0, 1.0, 1.0, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -284,7 +287,7 @@ def fit(rows: list[tuple[int, list[str]]], weights_from: list[str], steps: int =
     feat = np.array([index[f] for _, fs in rows for f in fs if f in index], int)
     y = np.array([t for t, _ in rows], float)
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))  # both labels weigh the same
-    prior = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    prior = min(math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), CLEAN)
     w, bias = np.zeros(len(index)), prior
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for t in range(1, steps + 1):
@@ -310,7 +313,7 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: i
     n = both.count()
     if n > 2 * rows:  # identifiers repeat
         both = both.where(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)) < int((1 << 30) * rows / n)).distinct()
-    return both
+    return materialize(both, "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> dict:
@@ -335,8 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = materialize(counts.where("f = '' OR pos >= 3 OR n >= 2"), "counts")
     total = next(((r["pos"], r["neg"]) for r in counts.where("f = ''").collect()), (0, 0))
     if not total[0] or not total[1]:
-        share = total[0] / max(1, sum(total))
-        return {"bias": math.log((share + 1e-9) / (1 - share + 1e-9)), "weights": {}, "grams": char_grams(Counter("a"))}
+        return {"bias": CLEAN, "weights": {}, "grams": char_grams(Counter("a"))}  # nothing to learn from: nothing is toxic
     level = 2 * math.log(max(2, counts.count())) + 4
     rated = counts.where("f <> '' AND pos >= 3").withColumn("g", F.round(_g2(*total), 9)).where(F.col("g") > level)
     got = rated.orderBy(F.desc("g"), F.desc("f")).limit(MAX_FEATURES).collect()

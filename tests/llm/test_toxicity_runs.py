@@ -95,3 +95,13 @@ def test_a_repeated_identifier_doesnt_fill_the_sample(spark):
     docs = spark.createDataFrame([(1, "bad words") for _ in range(500)] + [(i, f"text {i}") for i in range(2, 40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert toxicity.labelled(docs, labels, "text", "doc_id", 100).where("id = 1").count() <= 1
+
+
+@pytest.mark.parametrize("toxic", [[0, 1] * 5, [1] * 10, []])
+def test_nothing_is_dropped_where_nothing_is_learned(spark, toxic):
+    from mapstone.llm.toxicity import drop_toxic, toxicity
+
+    docs = spark.createDataFrame([(k, f"plain text of number {k}" if k else None) for k in range(21)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, t) for k, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    assert drop_toxic(docs, labels).count() == 21
+    assert {r["predicted"] for r in toxicity(docs, labels).collect()} == {0}
