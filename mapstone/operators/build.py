@@ -98,9 +98,11 @@ def manual_edges(edges: DataFrame, manual: DataFrame) -> DataFrame:
     return first_wins([own.dropDuplicates(["id"]), edges])
 
 
-def with_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds derived module dependencies; a derived one replaces a manual one of the same identity. Other kinds pass through."""
-    return edges.where("kind <> 'depends_on'").unionByName(first_wins([depends_on(nodes, edges), edges.where("kind = 'depends_on'")]))
+def with_dependencies(nodes: DataFrame, edges: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """Adds derived module dependencies (made here unless they are given); a derived one replaces a manual one of the same identity.
+    Other kinds pass through."""
+    derived = depends_on(nodes, edges) if derived is None else derived
+    return edges.where("kind <> 'depends_on'").unionByName(first_wins([derived, edges.where("kind = 'depends_on'")]))
 
 
 def fan_metrics(edges: DataFrame) -> DataFrame:
@@ -125,12 +127,13 @@ def rollup(nodes: DataFrame) -> DataFrame:
     )
 
 
-def with_metrics(graph: Graph, rank: DataFrame | None = None) -> Graph:
+def with_metrics(graph: Graph, rank: DataFrame | None = None, fans: DataFrame | None = None) -> Graph:
     """Fan, PageRank of files, and module sums attached to the nodes. Edges are read several times, so they are stored first."""
     graph = Graph(checkpointed(graph.nodes), checkpointed(graph.edges))
     rank = pagerank(graph.nodes, graph.edges) if rank is None else rank
     base = graph.nodes.drop("fan_in", "fan_out", "rank")
-    own = base.join(fan_metrics(graph.edges), "id", "left").join(rank.select("id", "rank"), "id", "left")
+    fans = fan_metrics(graph.edges) if fans is None else fans
+    own = base.join(fans, "id", "left").join(rank.select("id", "rank"), "id", "left")
     own = own.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fan_in", "fan_out", "rank")})
     sums = rollup(own).select("id", F.col("loc").alias("m_loc"), F.col("rank").alias("m_rank"))
     own = own.join(sums, "id", "left").withColumns({"loc": F.coalesce("m_loc", "loc"), "rank": F.coalesce("m_rank", "rank")})

@@ -234,24 +234,45 @@ def first_files(candidates: DataFrame, files: DataFrame, *keys: str) -> DataFram
     return each.join(files.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by(F.struct("path", "ends"), "pos").alias("hit")).select(*keys, F.col("hit.path").alias("target"), F.col("hit.ends").alias("ends"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, dict] | list, workspaces: list[tuple[str, str]], roots: list[str], entries: dict[str, list[str]] | None = None) -> DataFrame:
-    """Edges of imports (path, specifier, symbols) to files (path) and packages: kind, src, dst, symbols, registry.
-
-    A Python name imported from a package goes to its submodule where that is a file, the other names to the package's own
-    file. What resolves to the importer itself, or to nothing, makes no edge; a null specifier or path doesn't either.
-    """
+def import_candidates(imports: DataFrame, aliases: dict[str, dict] | list, workspaces: list[tuple[str, str]], roots: list[str], entries: dict[str, list[str]] | None = None) -> DataFrame:
+    """path, specifier, symbols, found, otherwise, name, package of imports (path, specifier, symbols), stored: all that can be said of
+    an import without knowing which files exist. A null specifier or path is left out."""
     none = F.array().cast("array<string>")
     own = imports.where("path IS NOT NULL AND specifier IS NOT NULL")
     own = checkpointed(own.select(F.monotonically_increasing_id().alias("rid"), "path", "specifier", F.coalesce("symbols", none).alias("symbols")))
     python = F.col("path").endswith(".py")
     scripts = script_candidates(own.where(~python), aliases, workspaces, entries).withColumn("package", F.lit(None).cast("string"))
-    asked = checkpointed(scripts.unionByName(python_candidates(own.where(python), roots)))
-    hit = first_files(asked, files, "rid").withColumn("target", F.when(~F.col("ends"), F.col("target")))
-    whole = checkpointed(own.join(asked.select("rid", "otherwise", "name", "package"), "rid").join(hit, "rid", "left"))
+    return checkpointed(own.join(scripts.unionByName(python_candidates(own.where(python), roots)), "rid").drop("rid"))
+
+
+def _member_files(folder: Column, symbol: Column) -> Column:
+    """Where a name of a package is a submodule."""
+    return _module_files(F.when(folder == "", symbol).otherwise(F.concat_ws("/", folder, symbol)))
+
+
+def candidate_files(candidates: DataFrame) -> DataFrame:
+    """path, file: every file whose existence may matter to an importer, names that may be submodules included."""
+    plain = candidates.select("path", F.explode("found.path").alias("file"))
+    inside = F.concat(F.array("package"), F.transform(F.filter("found.path", lambda p: p.rlike("(^|/)__init__[.]py$")), folder_of))
+    named = candidates.where(F.col("path").endswith(".py")).select("path", F.explode("symbols").alias("symbol"), F.array_compact(inside).alias("inside"))
+    named = named.where("symbol <> '*'").select("path", "symbol", F.explode("inside").alias("folder"))
+    return plain.unionByName(named.select("path", F.explode(_member_files(F.col("folder"), F.col("symbol"))).alias("file"))).distinct()
+
+
+def resolved(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges of import_candidates to files (path) and packages: kind, src, dst, symbols, registry.
+
+    A Python name imported from a package goes to its submodule where that is a file, the other names to the package's own
+    file. What resolves to the importer itself, or to nothing, makes no edge.
+    """
+    none = F.array().cast("array<string>")
+    python = F.col("path").endswith(".py")
+    own = checkpointed(candidates.withColumn("rid", F.monotonically_increasing_id()))
+    hit = first_files(own, files, "rid").withColumn("target", F.when(~F.col("ends"), F.col("target")))
+    whole = checkpointed(own.drop("found").join(hit, "rid", "left"))
     inside = F.coalesce("package", F.when(python & F.col("target").rlike("(^|/)__init__[.]py$"), folder_of(F.col("target"))))
     named = whole.withColumn("inside", inside).where("inside IS NOT NULL").select("rid", "inside", F.explode("symbols").alias("symbol")).where("symbol <> '*'")
-    member = F.when(F.col("inside") == "", F.col("symbol")).otherwise(F.concat_ws("/", "inside", "symbol"))
-    subs = named.select("rid", "symbol", F.transform(_module_files(member), lambda p: F.struct(p.alias("path"), F.lit(False).alias("ends"))).alias("found"))
+    subs = named.select("rid", "symbol", F.transform(_member_files(F.col("inside"), F.col("symbol")), lambda p: F.struct(p.alias("path"), F.lit(False).alias("ends"))).alias("found"))
     subs = first_files(subs, files, "rid", "symbol")
     left = subs.groupBy("rid").agg(F.collect_set("symbol").alias("as_sub"))
     rest = whole.join(left, "rid", "left").withColumn("kept", F.array_except("symbols", F.coalesce("as_sub", none)))
@@ -266,6 +287,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, dic
     return sub_edges.unionByName(file_edges).unionByName(pkg_edges).where("src <> dst")
 
 
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, dict] | list, workspaces: list[tuple[str, str]], roots: list[str], entries: dict[str, list[str]] | None = None) -> DataFrame:
+    """Edges of imports (path, specifier, symbols) to files (path) and packages: see import_candidates and resolved."""
+    return resolved(import_candidates(imports, aliases, workspaces, roots, entries), files)
+
+
 def matches(path: str, globs: list[str]) -> bool:
     """Whether a path matches one of the globs; for the driver's short lists."""
     return any(re.match(glob_regex(g), path) or fnmatch.fnmatch(path, g) for g in globs)

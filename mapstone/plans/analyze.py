@@ -15,6 +15,7 @@ from ..functions.text import headings as doc_headings
 from ..operators import build, diff
 from ..operators.algo import checkpointed
 from ..operators.ancestry import History, neighbours
+from ..operators.maintain import Maintained
 from ..operators.resolve import infer_modules, resolve_imports
 from ..schema import Graph, edges_of, nodes_of
 from ..sources import cache, config, git, scan
@@ -40,8 +41,8 @@ def facts_of(files: DataFrame, store: Store | None = None, full: bool = False) -
     return checkpointed(facts)
 
 
-def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: dict[str, dict] | list, roots: list[str], entries: dict[str, list[str]] | None = None) -> Graph:
-    """The whole graph of files (path, content) and their facts."""
+def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_name: str, workspaces: list, aliases: dict[str, dict] | list, roots: list[str], entries: dict[str, list[str]] | None = None, kept: Maintained | None = None) -> Graph:
+    """The whole graph of files (path, content) and their facts. kept: imports that are maintained already, used as they are."""
     spark = files.sparkSession
     located = checkpointed(infer_modules(facts.select("path", "lang", "loc", "doc"), cfg.modules, workspaces, root_name))
     nodes = build.module_nodes(located).unionByName(build.file_nodes(located))
@@ -49,7 +50,7 @@ def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_nam
     nodes = nodes.unionByName(build.symbol_nodes(symbols))
 
     imports = facts.select("path", F.explode("imports").alias("i")).select("path", "i.*")
-    raw = checkpointed(resolve_imports(imports, facts.select("path"), aliases, workspaces, roots, entries))
+    raw = kept.edges if kept else checkpointed(resolve_imports(imports, facts.select("path"), aliases, workspaces, roots, entries))
     merged = build.merge_edges(raw.select("kind", "src", "dst", "symbols")).withColumns({"source": F.lit("static"), "confidence": F.lit("certain")})
     edges = edges_of(merged)
     packages = raw.where("kind = 'imports_pkg'").groupBy("dst").agg(F.min_by("registry", "src").alias("registry"))
@@ -82,7 +83,8 @@ def build_graph(files: DataFrame, facts: DataFrame, cfg: config.Config, root_nam
     if cfg.edges:
         edges = build.manual_edges(edges, spark.createDataFrame([(e["kind"], e["src"], e["dst"], e.get("reason")) for e in cfg.edges], "kind string, src string, dst string, reason string"))
     nodes, edges = checkpointed(nodes), checkpointed(edges)
-    g = build.with_metrics(Graph(nodes, build.with_dependencies(nodes, edges)))
+    derived, fans = (kept.dependencies(), kept.fans_with(edges)) if kept and not cfg.edges else (None, None)
+    g = build.with_metrics(Graph(nodes, build.with_dependencies(nodes, edges, derived)), fans=fans)
     return Graph(checkpointed(g.nodes), g.edges)
 
 

@@ -632,4 +632,4 @@ def home_modules(spark, sf):
     return flows.home_modules(A.supply(spark, sf)).select("id", "files")
 
 
-from . import history_queries  # noqa: E402, F401  it registers its queries with the above
+from . import history_queries, resolution_queries  # noqa: E402, F401  they register their queries with the above

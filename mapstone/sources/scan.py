@@ -91,9 +91,9 @@ def list_paths(root: str) -> list[str]:
     return sorted(out)
 
 
-def local_tree(spark: SparkSession, root: str, gitignore: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path, content of a local repository's sources and documents; contents are read by the tasks, not by the driver."""
-    found = [(p,) for p in list_paths(root)]
+def local_tree(spark: SparkSession, root: str, gitignore: list[str] | None = None, exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """path, content of a local repository's sources and documents, or of only some; contents are read by the tasks, not by the driver."""
+    found = [(p,) for p in (list_paths(root) if only is None else only)]
     paths = spark.createDataFrame(found, "path string")
     keep = paths.where(kept_path(F.col("path"), gitignore, exclude) & (is_source(F.col("path")) | F.lower("path").endswith(".md")))
 
