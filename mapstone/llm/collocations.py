@@ -4,8 +4,8 @@ Words are counted first, for each language; those seen often enough get numbers,
 arrays of word numbers, in which 0 stands for a rare word or the border of a piece. Phrases grow word by word. For each
 length three passes go over the stored arrays:
 
-- sieve: every phrase whose parts may be frequent falls into one of SKETCH counters; a phrase whose counter stays below
-  the limit is rare for certain (Apriori holds for its parts: beginnings and, where known, ends are frequent);
+- sieve: every phrase whose parts may be frequent falls into one of a wave's counters (one for LOAD words); a phrase whose
+  counter stays below the limit is rare for certain (Apriori holds for its parts: beginnings and, where known, ends are frequent);
 - candidates: the phrases that pass, each once; a minimal perfect hash gives each a slot, and the slot stores its key;
 - count: the slots of all phrases, verified by the stored key, are counted by bincount.
 
@@ -13,8 +13,9 @@ A key is exact: the slot of the phrase without its last word, and the number of
 task as sparse blocks and are summed in a tree, RADIX arrays in a group. Parts of a phrase are read by their slots.
 
 Phrases are dealt with in waves by their first word, so that counters and hashes of a wave have a bounded size (a wave
-is some WAVE_WORDS words; there are at most WAVE_WORDS / least frequent phrases in it); a part that belongs to another
-wave is joined. Word numbers are a minimal perfect hash as well if they are counted to be at most VOCABULARY; beyond it
+is some WAVE_WORDS words; there are at most WAVE_WORDS / least frequent phrases in it). The stored corpus is dealt to the
+waves likewise, each word with the words that may follow it in a phrase, so a wave's passes read its own share only. A part
+that belongs to another wave is joined. Word numbers are a minimal perfect hash as well if they are counted to be at most VOCABULARY; beyond it
 they are joined.
 
 Defined results: a null text has no words; a null language is `und`; repeated rows count each; an empty table gives an
@@ -35,8 +36,8 @@ from .common import lean, materialize, ship, small_batches
 from .words import classes, cut, gathered
 
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
-#: Counters of the sieve, slots of a block of counters, arrays that are summed at once.
-SKETCH, BLOCK, RADIX = 1 << 23, 1 << 16, 16
+#: Words for each counter of the sieve, slots of a block of counters, arrays that are summed at once.
+LOAD, BLOCK, RADIX = 4, 1 << 16, 16
 #: Bytes of text that are cut at once.
 AT_ONCE = 2 << 20
 #: Words of a wave, and numbered words that are sent to the tasks, at most.
@@ -171,8 +172,26 @@ def _broken(codes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return np.insert(codes, np.flatnonzero(fresh), 0).astype("<i4")
 
 
-def encoded(own: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Stored arrays of word numbers."""
+def wave_of(first: np.ndarray, waves: int) -> np.ndarray:
+    return (mixed(first, 7) % np.uint64(waves)).astype(np.int64)
+
+
+def _dealt(codes: np.ndarray, waves: int, longest: int) -> pa.RecordBatch:
+    """A row for each wave: its words, each with those that may follow it in a phrase, and a 0 where others are left out."""
+    of = np.where(codes > 0, wave_of(codes, waves), -1)
+    rows = []
+    for w in range(waves):
+        own = of == w
+        keep = own.copy()
+        for k in range(1, longest):
+            keep[k:] |= own[:-k] if k < len(own) else False
+        at = np.flatnonzero(keep)
+        rows.append(np.insert(codes[at], np.flatnonzero(np.diff(at, prepend=-1) > 1), 0).astype("<i4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(range(waves), pa.int32()), pa.array(rows, pa.binary())], names=["wave", "codes"])
+
+
+def encoded(own: DataFrame, vocabulary: Vocabulary, waves: int, longest: int) -> DataFrame:
+    """Stored arrays of word numbers: wave, codes."""
     sent = own.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -180,12 +199,12 @@ def encoded(own: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             pairs, codes, fresh = _local(t)
             known = sent.value([f"{lang}\0".encode() + w for lang, w in pairs])
             if len(codes):
-                yield pa.RecordBatch.from_arrays([pa.array([_broken(known[codes], fresh).tobytes()], pa.binary())], names=["codes"])
+                yield _dealt(_broken(known[codes], fresh), waves, longest)
 
-    return materialize(own.mapInArrow(lean(run), "codes binary"), "encoded")
+    return materialize(own.mapInArrow(lean(run), "wave int, codes binary"), "encoded", by=["wave"])
 
 
-def encoded_by_join(own: DataFrame, numbered: DataFrame) -> DataFrame:
+def encoded_by_join(own: DataFrame, numbered: DataFrame, waves: int, longest: int) -> DataFrame:
     """The same for a vocabulary (lang, word, number) of any size."""
 
     def local(batches):
@@ -205,12 +224,12 @@ def encoded_by_join(own: DataFrame, numbered: DataFrame) -> DataFrame:
                 c, known = np.frombuffer(codes, "<i4"), words.as_py() or []
                 to = np.zeros(int(c.max(initial=0)) + 1, "<i4")
                 to[[x["pos"] + 1 for x in known]] = [x["number"] for x in known]
-                yield pa.RecordBatch.from_arrays([pa.array([to[c].tobytes()], pa.binary())], names=["codes"])
+                yield _dealt(to[c], waves, longest)
 
     batches = materialize(own.mapInArrow(local, "batch long, codes binary, words array<struct<lang:string,word:string>>"), "local-words")
     words = batches.select("batch", F.posexplode("words").alias("pos", "w")).select("batch", "pos", "w.*")
     known = words.join(numbered.select("lang", "word", "number"), ["lang", "word"]).groupBy("batch").agg(F.collect_list(F.struct("pos", "number")).alias("known"))
-    return materialize(batches.select("batch", "codes").join(known, "batch", "left").select("codes", "known").mapInArrow(translate, "codes binary"), "encoded")
+    return materialize(batches.select("batch", "codes").join(known, "batch", "left").select("codes", "known").mapInArrow(translate, "wave int, codes binary"), "encoded", by=["wave"])
 
 
 @dataclass
@@ -227,11 +246,12 @@ class Wave:
     number: int
     waves: int
     least: int
+    sketch: int  # counters of its sieve, a power of two
     words: np.ndarray | None = None
     levels: dict[int, Level] = field(default_factory=dict)
 
     def own(self, first: np.ndarray) -> np.ndarray:
-        return mixed(first, 7) % np.uint64(self.waves) == self.number if self.waves > 1 else np.ones(len(first), bool)
+        return wave_of(first, self.waves) == self.number if self.waves > 1 else np.ones(len(first), bool)
 
     def keys(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and keys of this wave's phrases of k words, those whose parts may be frequent."""
@@ -250,7 +270,7 @@ class Wave:
 
     def passing(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         at, keys = self.keys(codes, k)
-        s = (mixed(keys) & np.uint64(SKETCH - 1)).astype(np.int64)
+        s = (mixed(keys) & np.uint64(self.sketch - 1)).astype(np.int64)
         ok = (self.levels[k].passed[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
         return at[ok], keys[ok]
 
@@ -317,17 +337,17 @@ def _counted(corpus: DataFrame, wave: Wave, size: int, slots, kind: str = "<i8",
     def run(batches):
         from pyspark import TaskContext
 
-        w, total = sent.value, np.zeros(size, np.uint32 if most else np.int64)
+        w, total = sent.value, np.zeros(size, kind)
         for b in batches:
             for c in b.column("codes"):
                 s = slots(w, np.frombuffer(c.as_buffer(), "<i4").astype(np.int64))
-                if size <= 4 * len(s):
-                    total += np.bincount(s, minlength=size).astype(total.dtype)
-                else:  # few slots of many
+                if most is None:
+                    total += np.bincount(s, minlength=size)
+                else:  # few of many counters, cut off
                     s.sort()
                     at = np.flatnonzero(np.diff(s, prepend=-1))
-                    total[s[at]] += np.diff(at, append=len(s)).astype(total.dtype)
-        yield from _blocks(total if most is None else np.minimum(total, most, out=total), TaskContext.get().partitionId(), kind)
+                    total[s[at]] = np.minimum(total[s[at]] + np.diff(at, append=len(s)), most)
+        yield from _blocks(total, TaskContext.get().partitionId(), kind)
 
     out = materialize(tree_sum(corpus.mapInArrow(lean(run), COUNTS), corpus.rdd.getNumPartitions(), kind, most), "counts")
     sent.destroy()
@@ -344,8 +364,8 @@ def _array(summed: DataFrame, size: int) -> np.ndarray:
 
 def _sieve(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
     """A bit for each counter of the sieve that reaches the limit; counters are cut off at it."""
-    least, kind = wave.least, "<u2" if wave.least < 1 << 16 else "<u4"
-    summed = _counted(corpus, wave, SKETCH, lambda w, c: (mixed(w.keys(c, k)[1]) & np.uint64(SKETCH - 1)).astype(np.int64), kind, least)
+    least, kind = wave.least, "<u1" if wave.least < 1 << 8 else "<u4"
+    summed = _counted(corpus, wave, wave.sketch, lambda w, c: (mixed(w.keys(c, k)[1]) & np.uint64(w.sketch - 1)).astype(np.int64), kind, least)
 
     def run(batches):
         for b in batches:
@@ -354,7 +374,7 @@ def _sieve(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
                 full[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), kind) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros(SKETCH // 8, np.uint8)
+    out = np.zeros(wave.sketch // 8, np.uint8)
     for r in summed.mapInArrow(run, "block int, bits binary").collect():
         out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -398,7 +418,7 @@ def _phrases(summed: DataFrame, wave, k: int, longest: int) -> DataFrame:
 
 def mine_wave(corpus: DataFrame, wave: Wave, longest: int) -> list[DataFrame]:
     """The frequent phrases of a wave, of 2 to `longest` words."""
-    out = []
+    corpus, out = corpus.where(F.col("wave") == wave.number).select("codes"), []
     for k in range(2, longest + 1):
         wave.levels[k] = Level(_sieve(corpus, wave, k))
         wave.levels[k].numbers = Numbers(_candidates(corpus, wave, k))
@@ -450,7 +470,7 @@ def _mined(docs: DataFrame, least: int, longest: int, text: str, lang: str, wave
     if size <= vocabulary_limit:
         t = words.toArrow()
         known = Vocabulary(t.column("lang").to_pylist(), [x.encode() for x in t.column("word").to_pylist()], t.column("f").to_numpy().astype(np.int64))
-        corpus = encoded(own, known)
+        corpus = encoded(own, known, waves, longest)
         sent = docs.sparkSession.sparkContext.broadcast(known)
 
         def number(batches):
@@ -464,8 +484,9 @@ def _mined(docs: DataFrame, least: int, longest: int, text: str, lang: str, wave
         shard = F.pmod(F.xxhash64("lang", "word"), F.lit(shards))
         inside = Window.partitionBy("shard").orderBy("lang", "word")
         vocabulary = materialize(words.withColumn("shard", shard).withColumn("number", F.row_number().over(inside).cast("long") * shards + F.col("shard")).drop("shard"), "vocabulary")
-        corpus = encoded_by_join(own, vocabulary)
-    found = [x for w in range(waves) for x in mine_wave(corpus, Wave(w, waves, least, known.counts if known else None), longest)]
+        corpus = encoded_by_join(own, vocabulary, waves, longest)
+    sketch = max(BLOCK, 1 << (used // waves // LOAD).bit_length())
+    found = [x for w in range(waves) for x in mine_wave(corpus, Wave(w, waves, least, sketch, known.counts if known else None), longest)]
     if not found:
         return docs.sparkSession.createDataFrame([], "ids array<long>, a long, parts array<long>"), vocabulary, totals
     phrases = found[0]
