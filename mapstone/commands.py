@@ -59,7 +59,8 @@ def db_drift(spark: SparkSession, root: str, store: Store, source: str | None =
     """Findings, and exit 1 if there are any; migration heads are told but don't count."""
     declared = drift.declared_columns(store.load_graph())
     found = drift.compute_drift(declared, live or _live(spark, root, source), SPARK_FAMILY)
-    heads = config.migration_heads(scan.local_tree(spark, root).where("path LIKE '%versions/%.py'"))
+    at = config.versions_dir(root, scan.list_paths(root))
+    heads = config.migration_heads(scan.local_tree(spark, root).where(F.col("path").startswith(f"{at}/") & F.col("path").rlike(r"/(?!__)[^/]+[.]py$"))) if at else spark.createDataFrame([], "revision string")
     return drift.drift_summary(declared, found) | {"findings": [r.asDict() for r in found.orderBy("schema", "table", "kind", "detail").collect()], "heads": [r.revision for r in heads.collect()]}
 
 

@@ -80,3 +80,16 @@ def relative_time(at, now) -> Column:
     s = F.unix_timestamp(now) - F.unix_timestamp(at)
     ago = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f"{unit} ago"))
     return F.when(s < FRESH_SECONDS, "just now").when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h")).otherwise(ago(86_400, "d"))
+
+
+#: Colours of layers. Fixed values.
+LAYER_COLORS = ("#2563eb", "#7c3aed", "#0891b2", "#16a34a", "#d97706", "#dc2626", "#db2777", "#65a30d")
+
+
+def layer_color(layer: Column) -> Column:
+    """A layer's colour by a rolling hash of its characters (times 31, in 32 bits with overflow); of a character beyond 16 bits its first half counts."""
+    wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    point = lambda c: F.ascii(c).cast("long")
+    unit = lambda c: F.when(point(c) > 0xFFFF, F.lit(0xD800) + F.shiftright(point(c) - 0x10000, 10)).otherwise(point(c))
+    hashed = F.aggregate(F.filter(F.split(layer, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + unit(c)))
+    return F.when(layer.isNotNull(), F.element_at(F.array(*[F.lit(c) for c in LAYER_COLORS]), (F.abs(hashed) % len(LAYER_COLORS)).cast("int") + 1))

@@ -58,6 +58,46 @@ def edges_of(df: DataFrame) -> DataFrame:
     return conform(df.withColumn("id", F.concat_ws("|", "kind", "src", "dst")), EDGE)
 
 
+#: What each kind of edge leads from and to; a document may belong to anything. Fixed values.
+ENDS = {
+    "imports": ("file", "file"), "imports_pkg": ("file", "extpkg"), "calls": ("symbol", "symbol"), "fk": ("table", "table"), "maps_to": ("entity", "table"), "depends_on": ("module", "module"), "documents": ("doc", None),
+}
+#: What may hold a node of a kind. Fixed values.
+HOLDERS = {"file": "module", "symbol": "file", "entity": "file"}
+
+
+def violations(graph: Graph) -> DataFrame:
+    """what, id, detail of everything that is wrong with a graph, in one plan: unknown kinds, sources and confidences, negative metrics,
+    repeated identities, parents and ends of edges that aren't there or are of the wrong kind, and tables whose foreign keys
+    name no table. An empty result is a valid graph."""
+    n, e = graph.nodes, graph.edges
+    kinds = n.select(F.col("id").alias("at"), F.col("kind").alias("is")).dropDuplicates(["at"])
+    told = lambda df, what, detail: df.select(F.lit(what).alias("what"), "id", F.expr(detail).cast("string").alias("detail"))
+    allowed = lambda values: ", ".join(f"'{v}'" for v in values)
+    out = [
+        told(n.where(f"kind IS NULL OR kind NOT IN ({allowed(NODE_KINDS)})"), "node kind", "kind"),
+        told(n.where("fan_in < 0 OR fan_out < 0 OR rank < 0 OR loc < 0"), "negative metric", "NULL"),
+        told(n.groupBy("id").agg(F.count("*").alias("times")).where("times > 1"), "repeated node", "times"),
+        told(e.where(f"kind IS NULL OR kind NOT IN ({allowed(EDGE_KINDS)})"), "edge kind", "kind"),
+        told(e.where(f"source IS NULL OR source NOT IN ({allowed(EDGE_SOURCES)})"), "edge source", "source"),
+        told(e.where(f"confidence IS NULL OR confidence NOT IN ({allowed(CONFIDENCES)})"), "edge confidence", "confidence"),
+        told(e.groupBy("id").agg(F.count("*").alias("times")).where("times > 1"), "repeated edge", "times"),
+    ]
+    held = n.where("parent IS NOT NULL").select("id", "parent", F.create_map(*[F.lit(x) for kv in HOLDERS.items() for x in kv])[F.col("kind")].alias("wanted"))
+    held = held.join(kinds.withColumnRenamed("at", "parent"), "parent", "left")
+    out += [told(held.where("is IS NULL"), "missing parent", "parent"), told(held.where("is IS NOT NULL AND wanted IS NOT NULL AND is <> wanted"), "kind of parent", "is")]
+    for end, k in (("src", 0), ("dst", 1)):
+        wanted = F.create_map(*[F.lit(x) for kind, ends in ENDS.items() for x in (kind, ends[k] or "")])[F.col("kind")]
+        own = e.select("id", F.col(end).alias("at"), wanted.alias("wanted")).join(kinds, "at", "left")
+        out += [told(own.where("is IS NULL"), f"missing {end}", "at"), told(own.where("is IS NOT NULL AND wanted <> '' AND is <> wanted"), f"kind of {end}", "is")]
+    refs = n.where("kind = 'table'").select("id", F.explode("columns").alias("c")).where("c.fk_table IS NOT NULL").select("id", F.concat(F.lit("tbl:"), "c.fk_table").alias("at"))
+    out.append(told(refs.join(kinds, "at", "left_anti"), "missing referenced table", "at"))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
+
+
 def validate(graph: Graph) -> None:
     """Raise if a kind, source or confidence is unknown, a metric is negative, or an identity repeats."""
     n = graph.nodes.agg(

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONFIG_NAME = "mapstone.yml"
@@ -213,15 +213,46 @@ def gitignore(root: str) -> list[str]:
     return path.read_text().splitlines() if path.exists() else []
 
 
+def _assigned(content: str, name: str) -> Column:
+    """The value of a module-level assignment, with or without an annotation, as it is written."""
+    return F.regexp_extract(content, rf"(?m)^{name}(?::[^=\n]+)?\s*=\s*(.+)$", 1)
+
+
+def migrations(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """revision, path, down (the revisions that it follows) of migration files; of files with one revision the last by path counts."""
+    quoted = F.lit(r"['\"]([^'\"]+)['\"]")
+    own = files.select(F.col(path).alias("path"), F.get(F.regexp_extract_all(_assigned(content, "revision"), quoted, 1), 0).alias("revision"), F.regexp_extract_all(_assigned(content, "down_revision"), quoted, 1).alias("down"))
+    last = own.where("revision IS NOT NULL").groupBy("revision").agg(F.max_by(F.struct("path", "down"), "path").alias("m"))
+    return last.select("revision", "m.path", F.array_distinct("m.down").alias("down"))
+
+
+def migration_graph(found: DataFrame) -> DataFrame:
+    """revision, path, down, followers, missing (followed revisions that aren't there), head, base, branch (several follow), merge (it
+    follows several) of every migration."""
+    links = found.select("revision", F.explode("down").alias("to"))
+    after = links.groupBy(F.col("to").alias("revision")).agg(F.count("*").alias("followers"))
+    broken = links.join(found.select(F.col("revision").alias("to")), "to", "left_anti").groupBy("revision").agg(F.sort_array(F.collect_set("to")).alias("missing"))
+    own = found.join(after, "revision", "left").join(broken, "revision", "left").na.fill({"followers": 0})
+    own = own.withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    return own.withColumns({"head": F.col("followers") == 0, "base": F.size("down") == 0, "branch": F.col("followers") > 1, "merge": F.size("down") > 1})
+
+
 def migration_heads(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """revision, path of migrations that no other migration follows."""
-    m = files.select(
-        F.col(path).alias("path"),
-        F.regexp_extract(content, r"(?m)^revision(?:\s*:\s*[\w\[\], |]+)?\s*=\s*['\"]([^'\"]+)['\"]", 1).alias("revision"),
-        F.regexp_extract_all(F.regexp_extract(content, r"(?m)^down_revision(?:\s*:\s*[\w\[\], |]+)?\s*=\s*(.*)$", 1), F.lit(r"['\"]([^'\"]+)['\"]"), 1).alias("down"),
-    ).where("revision <> ''")
-    followed = m.select(F.explode("down").alias("revision")).distinct()
-    return m.select("revision", "path").join(followed, "revision", "left_anti").orderBy("revision")
+    return migration_graph(migrations(files, path, content)).where("head").select("revision", "path").orderBy("revision")
+
+
+def versions_dir(root: str, paths: list[str]) -> str | None:
+    """The folder of migrations: where the ini file points to, else the first env.py beside a folder versions, at most three levels down."""
+    ini = Path(root, "alembic.ini")
+    if ini.exists() and (m := re.search(r"(?m)^\s*script_location\s*=\s*(.+)$", ini.read_text())):
+        at = Path(m[1].strip().replace("%(here)s", "."), "versions")
+        if Path(root, at).is_dir():
+            return str(at)
+    dirs = {str(Path(p).parent) for p in paths}
+    found = sorted((p for p in paths if p.rpartition("/")[2] == "env.py" and p.count("/") <= 3), key=lambda p: (p.count("/"), p))
+    beside = (str(Path(p).parent / "versions") for p in found)
+    return next((v for v in beside if any(d == v or d.startswith(v + "/") for d in dirs)), None)
 
 
 #: Layer that a directory's name suggests. Fixed values.

@@ -63,6 +63,25 @@ class Store:
 
         return Graph(part("nodes", NODE), part("edges", EDGE))
 
+    def compact_facts(self, used: DataFrame | None = None, per_file: int = 50_000) -> int:
+        """Write the kept facts, appended run by run, anew: each key once, with `used` (key) only those, in files of about `per_file` rows sorted
+        by key, so that a look-up skips what can't hold its keys. Returns how many stay. The old files go when the new ones are whole."""
+        at = f"{self.at}/facts"
+        if not self._exists(at):
+            return 0
+        kept = self.spark.read.parquet(at).dropDuplicates(["key"])
+        kept = kept if used is None else kept.join(used.select("key").distinct(), "key", "left_semi")
+        n = self.spark.read.parquet(at).select("key").distinct().count()
+        fresh, old = f"{self.at}/facts-new", f"{self.at}/facts-old"
+        kept.repartitionByRange(max(1, -(-n // per_file)), "key").sortWithinPartitions("key").write.mode("overwrite").parquet(fresh)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(at).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(old), True)
+        fs.rename(path(at), path(old))
+        fs.rename(path(fresh), path(at))
+        fs.delete(path(old), True)
+        return self.spark.read.parquet(at).count()
+
     def list_snapshots(self) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.at}/nodes")
