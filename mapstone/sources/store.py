@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def save_graph(self, graph: Graph) -> None:
-        """The current graph, replaced as a whole."""
+        """The current graph, replaced as a whole; leaves a row in the table of versions, for those who follow it."""
         for part, df in (("nodes", graph.nodes), ("edges", graph.edges)):
             df.write.mode("overwrite").parquet(self._path(part, "current"))
+        row = self.spark.range(1).select(F.lit(self.at).alias("graph"), F.lit(time.time_ns() // 1_000_000).alias("version"), F.current_timestamp().alias("at"))
+        row.coalesce(1).write.mode("append").json(f"{self.at}/versions")
 
     def load_graph(self, snapshot: str = "current") -> Graph:
         """Fails loudly if the graph is missing or not valid."""
