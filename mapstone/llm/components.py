@@ -70,6 +70,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, few
 
     Beyond `few` links, every round costs two keyed minima and two joins on the remaining links; no group is ever collected, and links
     that repeat collapse before each shuffle. An empty table gives an empty result; null ends are ignored.
+    Rounds grow with the logarithm of the longest path; a run that isn't settled after `most` rounds raises rather than
+    giving an unfinished answer.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct()

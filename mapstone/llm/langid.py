@@ -9,8 +9,8 @@ Training takes a bounded sample: at most about TRAIN_ROWS labelled documents, ch
 n-gram counts (at most BUCKETS numbers a document) are counted on the executors. Predictions read whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with no labelled document at all every
-prediction is `und`; with one language only, it is predicted with score 1; null identifiers are held out by the
-checksum of nothing, that is never used to train; repeated rows are predicted alike; an empty table gives an empty result.
+prediction is `und`; with one language only, it is predicted with score 1; null identifiers count as not held
+out and are never used to train; repeated rows are predicted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
