@@ -89,7 +89,7 @@ def plain_collocations(docs, least, longest, most):
     return sorted((lang, k + 1, p.decode(), -a, x, y, n[lang], -s) for lang, got in rows.items() for k, (s, a, p, x, y) in enumerate(sorted(got)[:most]))
 
 
-@pytest.mark.parametrize(("wave", "vocabulary"), [(collocations.WAVE_WORDS, collocations.VOCABULARY), (1000, collocations.VOCABULARY), (1500, 0)])
+@pytest.mark.parametrize(("wave", "vocabulary"), [(collocations.WAVE_WORDS, collocations.VOCABULARY), (20_000, collocations.VOCABULARY), (30_000, 0)])
 def test_collocations_equal_brute_force(spark, wave, vocabulary):
     docs = [(["en", None, "und", "de"][i % 4], t) for i, t in enumerate(texts(160, 5))] + [("en", None), ("en", ""), ("fr", " .,;"), ("de", "so so so so so " * 9000)] + [("es", "uno dos  tres\tcuatro")] * 9
     df = frame(spark, [(lang, t, 1, "b") for lang, t in docs], "lang string, text string, part int, word string").repartition(5)
