@@ -632,4 +632,4 @@ def home_modules(spark, sf):
     return flows.home_modules(A.supply(spark, sf)).select("id", "files")
 
 
-from . import checking_queries, history_queries, resolution_queries, schema_queries  # noqa: E402, F401  they register their queries with the above
+from . import checking_queries, history_queries, resolution_queries, schema_queries, tree_queries  # noqa: E402, F401  they register their queries with the above
