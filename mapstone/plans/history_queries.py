@@ -115,3 +115,32 @@ def history_diff_files(spark, sf):
 def history_diff_dependencies(spark, sf):
     return diff.diff_dependencies(*_yearly(spark, sf), keys=("interval",))
 
+
+
+# Customers as files, months of their first orders as modules. Later some months have new names, some are split in three, some are gone.
+MONTHS = """
+    f AS (SELECT o_custkey AS k, strftime(min(o_orderdate), '%Y-%m') AS m FROM orders GROUP BY 1),
+    b AS (SELECT 'mod:' || m AS m, k FROM f),
+    h AS (SELECT 'mod:' || m || CASE WHEN m[-1:] IN ('1', '4', '7') THEN 'x' WHEN m[-1:] = '2' THEN CAST(k % 3 AS VARCHAR) ELSE '' END AS m, k FROM f WHERE m[-1:] <> '9'),
+    gone AS (SELECT DISTINCT m FROM b EXCEPT SELECT m FROM h), fresh AS (SELECT DISTINCT m FROM h EXCEPT SELECT m FROM b),
+    nb AS (SELECT m, count(*) AS n FROM b GROUP BY m), nh AS (SELECT m, count(*) AS n FROM h GROUP BY m),
+    pr AS (SELECT b.m AS old, h.m AS new FROM b JOIN h USING (k) JOIN nb ON nb.m = b.m JOIN nh ON nh.m = h.m WHERE b.m IN (SELECT m FROM gone) AND h.m IN (SELECT m FROM fresh) GROUP BY ALL HAVING count(*) / greatest(any_value(nb.n), any_value(nh.n)) > 0.5)
+"""
+
+
+def _months(spark, sf) -> tuple[Graph, Graph]:
+    f = A.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("m"))
+    end = F.substring("m", 7, 1)
+    later = F.concat("m", F.when(end.isin("1", "4", "7"), "x").when(end == "2", (F.col("k") % 3).cast("string")).otherwise(""))
+
+    def graph(rows):
+        files = rows.select(F.concat(F.lit("file:customer/"), "k").alias("id"), F.lit("file").alias("kind"), F.concat(F.lit("mod:"), "m").alias("parent"))
+        mods = files.select(F.col("parent").alias("id"), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("parent")).distinct()
+        return Graph(conform(files.unionByName(mods), NODE), spark.createDataFrame([], EDGE))
+
+    return graph(f), graph(f.where(end != "9").withColumn("m", later))
+
+
+@query(f"""WITH {MONTHS} SELECT 'added' AS change, m AS module, CAST(NULL AS VARCHAR) AS previous FROM fresh WHERE m NOT IN (SELECT new FROM pr) UNION ALL SELECT 'removed', m, NULL FROM gone WHERE m NOT IN (SELECT old FROM pr) UNION ALL SELECT 'renamed', new, old FROM pr""")
+def diff_months(spark, sf):
+    return diff.diff_modules(*_months(spark, sf))
