@@ -20,9 +20,8 @@ from .algo import checkpointed
 CONTAINERS = ("packages", "apps", "libs", "services", "modules")
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 SWAPS = {".js": (".ts", ".tsx", ".js", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
-#: Directories of built files, and what a built file's name ends with.
+#: Directories of built files. Fixed values.
 BUILD_DIRS = ("dist", "build", "lib")
-BUILT = (".d.ts", ".js", ".mjs", ".cjs")
 #: Specifiers that name a part of the runtime, as a whole. Fixed values.
 NODE_BUILTINS = tuple(
     "assert assert/strict async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns dns/promises domain"
