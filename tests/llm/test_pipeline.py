@@ -90,5 +90,5 @@ def test_each_stage_equals_its_brute_force_version(spark):
     assert max(fill.values()) <= 2048
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*[f"op{k}" for k in range(1, 11)], "pipeline"])
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*[f"op{k}" for k in range(1, 14)], "pipeline"])
