@@ -38,6 +38,7 @@ from .words import classes, cut, gathered
 KINDS = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words for each counter of the sieve, slots of a block of counters, arrays that are summed at once.
 LOAD, BLOCK, RADIX = 4, 1 << 16, 16
+KEY_BLOCKS = 64  # arrays that a task's candidates are split into
 #: Bytes of text that are cut at once.
 AT_ONCE = 2 << 20
 #: Words of a wave, and numbered words that are sent to the tasks, at most.
@@ -381,20 +382,35 @@ def _sieve(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
 
 
 def _candidates(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
-    """The different keys that pass the sieve."""
+    """The different keys that pass the sieve, sorted. Each task finds its own; sorted arrays of them, by blocks of their hashes, are
+    united in a tree, RADIX at a time."""
     sent = corpus.sparkSession.sparkContext.broadcast(wave)
+    schema = "block int, part int, keys binary"
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen = np.zeros(0, np.int64)
         for b in batches:
             for c in b.column("codes"):
                 seen = np.union1d(seen, sent.value.passing(np.frombuffer(c.as_buffer(), "<i4").astype(np.int64), k)[1])
-        for lo in range(0, len(seen), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[lo : lo + 100_000])], names=["key"])
+        of = (mixed(seen, 3) % np.uint64(KEY_BLOCKS)).astype(np.int64)
+        for block in np.unique(of).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen[of == block].tobytes()], pa.binary())], names=["block", "part", "keys"])
 
-    keys = materialize(corpus.mapInArrow(lean(run), "key long").distinct(), "candidates")
+    def unite(t: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("keys")]))
+        return pa.table([t.column("block").slice(0, 1), t.column("part").slice(0, 1), pa.array([keys.tobytes()], pa.binary())], names=["block", "part", "keys"])
+
+    keys, parts = corpus.mapInArrow(lean(run), schema), corpus.rdd.getNumPartitions()
+    while True:
+        keys = keys.withColumn("part", F.expr(f"part div {RADIX}").cast("int")).groupBy("block", "part").applyInArrow(unite, schema)
+        parts = -(-parts // RADIX)
+        if parts <= 1:
+            break
+    found = materialize(keys, "candidates").select("keys").toArrow().column("keys").to_pylist()
     sent.destroy()
-    return np.sort(keys.toArrow().column("key").to_numpy())
+    return np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in found])) if found else np.zeros(0, np.int64)
 
 
 def _phrases(summed: DataFrame, wave, k: int, longest: int) -> DataFrame:
