@@ -109,3 +109,16 @@ def test_history_of_a_branched_repository(spark, tmp_path):
         deps = {tuple(x)[1:] for x in got["dependencies"].collect() if x["interval"] == f"range/{i}"}
         assert deps == {tuple(x) for x in two["dependencies"].collect()}
     assert git.commits(spark, str(root), "HEAD").count() == 5
+
+
+def test_short_branches_leave_the_trunk_whole(spark, monkeypatch):
+    rows = []  # a trunk; from each of its commits a branch that is merged, and whose commits are newer than the trunk's next ones
+    for k in range(40):
+        rows += [(f"t{k}", 1000 - 10 * k, ([f"t{k - 1}"] if k else []) + ([f"b{k - 4}"] if k > 3 else []), [], ""), (f"b{k}", 1000 - 10 * k - 35, [f"t{k}"], [], "")]
+    at = History(spark.createDataFrame(rows, DDL))
+    assert at.chains.where("sha LIKE 't%'").select("chain").distinct().count() == 1
+    starts, reached = [], at.reached
+    monkeypatch.setattr(at, "reached", lambda df: starts.append(df.count()) or reached(df))
+    asked = [(f"q{k}", f"t{k}", "t30") for k in range(40)]
+    got = {r["key"]: r["ancestor"] for r in at.is_ancestor(spark.createDataFrame(asked, "key string, base string, head string")).collect()}
+    assert got == {f"q{k}": k <= 30 for k in range(40)} and starts == [1]  # a head that is asked for often is walked once
