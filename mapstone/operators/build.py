@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import node_id_col
 from ..schema import NODE_KINDS, Graph, edges_of, nodes_of
-from .algo import checkpointed, pagerank
+from .algo import checkpointed, pagerank, stored
 
 #: What counts as fan: both ends of these kinds, and only the target of package imports. Fixed values.
 FAN_BOTH = ("imports", "depends_on", "maps_to", "fk")
@@ -16,10 +16,10 @@ FAN_TARGET = ("imports_pkg",)
 BY_TABLE = ("sqlalchemy",)
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (kind, src, dst): symbols are the sorted distinct union of all its occurrences."""
+def merge_edges(edges: DataFrame, keys: tuple[str, ...] = ("kind", "src", "dst")) -> DataFrame:
+    """One edge for each (kind, src, dst), or what else names it: symbols are the sorted distinct union of all its occurrences."""
     union = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.coalesce("symbols", F.array().cast("array<string>"))))))
-    return edges.groupBy("kind", "src", "dst").agg(union.alias("symbols"))
+    return edges.groupBy(*keys).agg(union.alias("symbols"))
 
 
 def module_nodes(files: DataFrame) -> DataFrame:
@@ -127,9 +127,14 @@ def rollup(nodes: DataFrame) -> DataFrame:
     )
 
 
+def stored_graph(graph: Graph) -> Graph:
+    """The graph, its edges in a table without their identities, which follow from the rest."""
+    return Graph(checkpointed(graph.nodes), edges_of(stored(graph.edges.drop("id"))))
+
+
 def with_metrics(graph: Graph, rank: DataFrame | None = None, fans: DataFrame | None = None) -> Graph:
     """Fan, PageRank of files, and module sums attached to the nodes. Edges are read several times, so they are stored first."""
-    graph = Graph(checkpointed(graph.nodes), checkpointed(graph.edges))
+    graph = stored_graph(graph)
     rank = pagerank(graph.nodes, graph.edges) if rank is None else rank
     base = graph.nodes.drop("fan_in", "fan_out", "rank")
     fans = fan_metrics(graph.edges) if fans is None else fans
