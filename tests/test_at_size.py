@@ -2,7 +2,7 @@
 
 import pytest
 from mapstone.operators import algo, build
-from mapstone.plans import adapters
+from mapstone.plans import adapters, queries  # noqa: F401  registers all queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,13 @@ def test_edges_are_stored_without_identities(spark):
     got = build.stored_graph(g)
     assert got.edges.dtypes == g.edges.dtypes and sorted(map(str, got.edges.collect())) == sorted(map(str, g.edges.collect()))
     assert not any(f.endswith("id") for f in spark.read.parquet(*{x.rsplit("/", 1)[0] for x in got.edges.inputFiles()}).columns)
+
+
+def test_years_count_pairs_before_they_spread_them(spark, monkeypatch):
+    from mapstone.plans import history_queries
+
+    kept, own = [], history_queries.checkpointed
+    monkeypatch.setattr(history_queries, "checkpointed", lambda df: kept.append(own(df)) or kept[-1])
+    got = history_queries.history_diff_dependencies(spark, SF)
+    assert [df.columns for df in kept] == [["src", "dst", "made", "n"]] and got.count() > 0
+    assert "l_suppkey" not in plan(got)  # the lines are read for those rows only
