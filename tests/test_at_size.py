@@ -61,3 +61,13 @@ def test_years_count_pairs_before_they_spread_them(spark, monkeypatch):
     got = history_queries.history_diff_dependencies(spark, SF)
     assert [df.columns for df in kept] == [["src", "dst", "made", "n"]] and got.count() > 0
     assert "l_suppkey" not in plan(got)  # the lines are read for those rows only
+
+
+def test_violations_read_the_graph_once(spark):
+    from mapstone.schema import Graph, edges_of, nodes_of, violations
+
+    nodes = nodes_of(spark.createDataFrame([("file:a", "file", "mod:m"), ("mod:m", "module", None), ("file:b", "file", "mod:m")], "id string, kind string, parent string"))
+    edge = spark.createDataFrame([("imports", "file:a", "file:b", "static", "certain")] * 2 + [("imports", "file:a", "file:z", "static", "certain")], "kind string, src string, dst string, source string, confidence string")
+    got = violations(Graph(nodes, edges_of(edge)))
+    assert sorted(map(tuple, got.collect())) == [("missing dst", "imports|file:a|file:z", "file:z"), ("repeated edge", "imports|file:a|file:b", "2")]
+    assert "ExistingRDD" not in plan(got)
