@@ -142,7 +142,10 @@ def impact_tables(g: Graph, start: str) -> DataFrame:
 
 
 def direct_dependents(g: Graph, node: str) -> DataFrame:
-    e = g.edges.where(F.col("kind").isin("imports", "depends_on", "maps_to") & (F.col("dst") == node)).select(F.col("src").alias("id"), "symbols")
+    e = g.edges.where(F.col("kind").isin("imports", "depends_on", "maps_to") & (F.col("dst") == node))
+    if not node.startswith("mod:"):  # derived dependencies lie between modules: they needn't be counted to find none
+        e = e.where("NOT (kind <=> 'depends_on' AND source <=> 'static')")
+    e = e.select(F.col("src").alias("id"), "symbols")
     return e.join(g.nodes.select("id", "name", "kind"), "id").orderBy(F.collate("id", "UNICODE"))
 
 

@@ -46,6 +46,23 @@ def test_imports_are_merged_by_their_keys(spark):
     assert "hashpartitioning(o_custkey" in plan(df) and "hashpartitioning(kind" not in plan(df)
 
 
+def test_what_imports_a_file_is_found_without_counting_dependencies(spark):
+    df = queries.QUERIES["direct_dependents"](spark, SF)
+    read = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" in read and "to_module" not in read and "LeftAnti" not in read
+    assert df.count() > 0
+
+
+def test_dependencies_by_hand_lead_to_files_too(spark):
+    from mapstone.operators import views
+    from mapstone.schema import Graph, edges_of, nodes_of
+
+    nodes = nodes_of(spark.createDataFrame([("file:a", "file", "mod:m"), ("file:b", "file", "mod:n"), ("mod:m", "module", None), ("mod:n", "module", None)], "id string, kind string, parent string"))
+    rows = [("imports", "file:a", "file:b", "static"), ("depends_on", "mod:m", "file:b", "manual"), ("depends_on", "mod:n", "file:b", None), ("depends_on", "mod:m", "mod:n", "static")]
+    g = Graph(nodes, edges_of(spark.createDataFrame(rows, "kind string, src string, dst string, source string")))
+    assert [[r.id for r in views.direct_dependents(g, x).collect()] for x in ("file:b", "mod:n", "file:a")] == [["file:a", "mod:m", "mod:n"], ["mod:m"], []]
+
+
 def test_edges_are_stored_without_identities(spark):
     g = adapters.supply_base(spark, SF)
     got = build.stored_graph(g)
