@@ -34,8 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more), that of the smallest doc_id.
 
-    Texts are joined by their shingles, not by fingerprints, which would lose most such pairs. Texts of fewer than five words are alike only
-    if they are equal; null doc_ids come last, ties go by row.
+    The tree of fingerprints finds most such pairs, and a join of shingles those that it misses; all are verified by their shingles. Texts of
+    fewer than five words are alike only if they are equal; null doc_ids come last, ties go by row.
     """
     return drop_near_copies(docs, words=5, similarity=0.8)
 
@@ -64,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}-{name}")
+            docs.write.option("compression", "zstd").parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
     return docs

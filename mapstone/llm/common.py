@@ -10,10 +10,11 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -78,7 +79,8 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     """Write df as Parquet into the shared folder, in folders `by` columns, and read it back: columnar, prunable and safe against lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/mapstone/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(at)
+    to = df.write.option("compression", "zstd")  # whole texts take a quarter less of the disk than by Spark's default
+    (to.partitionBy(*by) if by else to).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -98,6 +100,14 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.select("rid", "whole").join(gone, "rid", "left_anti").select("whole.*")
 
 
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n 64-bit hashes, given in arrays."""
+    ones = np.zeros(64, np.int64)
+    for x in hashes:
+        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def lean(run: Callable) -> Callable:
     """A pass over Arrow batches that gives what it has freed back to the system: workers are reused by later stages."""
 

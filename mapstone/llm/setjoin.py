@@ -5,6 +5,8 @@ elements that fall on it. Two fingerprints differ in at most as many bits as the
 shared, and a wider one folds onto a narrower one by exclusive or. So sets that are similar enough lie within a radius
 in Hamming space that follows from their sizes, and what is farther apart is left out without loss.
 
+Pairs that are likely by another search (see simhash) are verified first, and what they link is one component from the start.
+
 Candidates: with shingles in one order for all texts, the first n - ceil(s n) + 1 of the n of two texts with similarity
 s or more share one. Texts that share such a shingle form a shard. In a first pass neighbours within a shard, in order
 of size, are compared; this connects groups of copies, however large, without pairing all of them. Two more passes
@@ -25,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, partitions, ship, small
+from .common import lean, majority, materialize, partitions, ship, small
 from .components import components
 
 ORDER_SAMPLE, COMMON, BLOCK, LOW = 20_000, 65_536, 4_096, 8
+_CHUNK = 1 << 16
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -86,7 +89,7 @@ def _common(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndar
 
 
 def sets_of(docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """docs: id, rid and text. One stored row each: id, rid, fp (a hash of the set), n (its size), prefix, low, print."""
+    """docs: id, rid and text. One stored row each: id, rid, fp (a hash of the set), sim (its SimHash), n (its size), prefix, low, print."""
     ship(docs.sparkSession)
     common, counts = _common(docs, text, words)
 
@@ -99,20 +102,21 @@ def sets_of(docs: DataFrame, text: str, words: int, similarity: float) -> DataFr
         return g[np.lexsort((g, rank))[: len(g) - int(least_shared(len(g), similarity)) + 1]]
 
     def run(batches):
-        names, kinds = ["fp", "n", "prefix", "low", "print"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names, kinds = ["fp", "sim", "n", "prefix", "low", "print"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part, rows = b.slice(lo, 500), []
                 for x in part.column("body"):
                     s = shingles(x.as_py(), words)
                     fp = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
+                    sim = majority((s[k : k + _CHUNK] for k in range(0, len(s), _CHUNK)), len(s))
                     prefix = first(s)
-                    rows.append((fp, len(s), prefix.tobytes(), np.sort(prefix)[:LOW].tobytes(), parity(s)))
+                    rows.append((fp, int(np.uint64(sim).view(np.int64)), len(s), prefix.tobytes(), np.sort(prefix)[:LOW].tobytes(), parity(s)))
                 made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), *made], names=["id", "rid", *names])
 
     own = docs.select("id", "rid", F.col(text).cast("string").alias("body"))
-    return materialize(own.mapInArrow(lean(run), "id long, rid long, fp long, n long, prefix binary, low binary, print binary"), "sets")
+    return materialize(own.mapInArrow(lean(run), "id long, rid long, fp long, sim long, n long, prefix binary, low binary, print binary"), "sets")
 
 
 def _exploded(batches):
@@ -295,10 +299,10 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def similar_components(docs: DataFrame, sets: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+def similar_components(docs: DataFrame, sets: DataFrame, text: str, words: int, similarity: float, likely: DataFrame) -> DataFrame:
     """fp, comp: the representative of each linked fp that is not its own, by exact Jaccard similarity.
 
-    docs has rid and text of the rows behind sets (sets_of).
+    docs has rid and text of the rows behind sets (sets_of). likely (a, b of fp) are verified first; what they link isn't searched again.
     """
     spark = sets.sparkSession
     p = partitions(spark)
@@ -318,7 +322,11 @@ def similar_components(docs: DataFrame, sets: DataFrame, text: str, words: int,
         both = near.join(texts.toDF("rid_a", "text_a"), "rid_a").join(texts.toDF("rid_b", "text_b"), "rid_b")
         return materialize(both.mapInArrow(lean(_verified(words, similarity)), "a long, b long"), "links")
 
-    found = verify(shared.where("prev IS NOT NULL").select(F.least("prev", "fp").alias("a"), F.greatest("prev", "fp").alias("b")).distinct())
+    found = verify(likely)
+    linked, beside = small(components(found).toDF("fp", "comp")), shared.where("prev IS NOT NULL").select(F.least("prev", "fp").alias("a"), F.greatest("prev", "fp").alias("b")).distinct()
+    for x in "ab":
+        beside = beside.join(linked.toDF(x, f"comp_{x}"), x, "left")
+    found = found.union(verify(beside.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")))
     open_shards = None
     for nearest in (True, False):
         own = nodes.select("fp", "print", "low").join(components(found).toDF("fp", "comp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "print", "low")

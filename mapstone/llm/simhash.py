@@ -12,8 +12,11 @@ The tree is shaped by a bounded sample (SAMPLE fingerprints); every fingerprint
 affects balance only. Equal fingerprints are one node: copies of a text never meet each other.
 
 Stages of a pipeline take another rule: two texts link if the sets of their five-word shingles have a Jaccard similarity
-of 0.8 or more (drop_near_copies with `similarity`). Such pairs differ by 3 to 20 of 64 bits, where no branch of the
-tree can be pruned, so they are searched by wider fingerprints in Hamming space with a radius for each pair (see setjoin).
+of 0.8 or more (drop_near_copies with `similarity`). Most such pairs differ by 4 to 14 of 64 bits. A radius as wide as
+that prunes no branch, but few of these bits lie in the slices above a leaf: the tree is entered with the narrow radius, and
+in the leaves each fingerprint meets the nearest one, up to APART bits away. These pairs are verified by whole sets and
+linked first. What the tree misses is found among the texts that it left apart, by wider fingerprints in Hamming space
+with a radius for each pair (see setjoin), so that no link is lost.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; a null identifier is larger
 than every other; repeated rows share a component; an empty table gives an empty result.
@@ -27,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, materialize, numbered, partitions, ship, without
+from .common import checkpoint, majority, materialize, numbered, partitions, ship, without
 from .components import Forest, components
 from .setjoin import sets_of, similar_components
 
 SAMPLE = 65_536
 LEVELS = 8
+APART = 12  # some 2 of 10 million pairs of unrelated fingerprints differ by no more bits
 NO_ID = 2**63 - 1
 _CHUNK = 1 << 16
 
@@ -45,12 +49,14 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     if len(w) <= words:
         return xxhash.xxh64_intdigest(b" ".join(w), seed)
     h, join = xxhash.xxh64_intdigest, b" ".join
-    n, ones = len(w) - words + 1, np.zeros(64, np.int64)
-    for lo in range(0, n, _CHUNK):
-        part = w[lo : min(n, lo + _CHUNK) + words - 1]
-        hashes = np.array([h(join(x), seed) for x in zip(*(part[i:] for i in range(words)), strict=False)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    n = len(w) - words + 1
+
+    def parts():
+        for lo in range(0, n, _CHUNK):
+            part = w[lo : min(n, lo + _CHUNK) + words - 1]
+            yield np.array([h(join(x), seed) for x in zip(*(part[i:] for i in range(words)), strict=False)], dtype="<u8")
+
+    return majority(parts(), n)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, rid: str | None = None) -> DataFrame:
@@ -135,28 +141,57 @@ def near(a: np.ndarray, b: np.ndarray, radius: int):
                 yield x + i, y + j
 
 
-def _search(radius: int):
-    """Over rows sorted by leaf and kind: link the stored fingerprints (kind 0) with each other and with the queries."""
+class Nearest:
+    """Each fingerprint with the nearest other one, not farther than `apart`, of every block that it meets."""
+
+    def __init__(self, apart: int) -> None:
+        self.apart, self.up, self.pairs = apart, (), []
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i in range(0, len(a), 1024):
+            for j in range(0, len(b), 4096):
+                x, y = a[i : i + 1024], b[j : j + 4096]
+                d = np.bitwise_count(x[:, None] ^ y[None])
+                d[d == 0] = 255  # itself
+                at = d.argmin(1)
+                ok = d[np.arange(len(x)), at] <= self.apart
+                self.pairs.append(np.stack([x[ok], y[at[ok]]], 1).view(np.int64))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        got = np.concatenate([np.zeros((0, 2), np.int64), *self.pairs])
+        return got[:, 0], got[:, 1]
+
+
+class Linked(Forest):
+    """A spanning forest of all pairs that are at most radius bits apart."""
+
+    def __init__(self, radius: int) -> None:
+        super().__init__()
+        self.radius = radius
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in near(a, b, self.radius):
+            x, y = a[i].view(np.int64), b[j].view(np.int64)
+            differ = x != y
+            self.link(x[differ], y[differ])
+
+
+def _search(new):
+    """Over rows sorted by leaf and kind: the stored fingerprints (kind 0) meet each other and the queries; new() keeps what they give."""
 
     def run(batches):
-        leaf, own, forest = None, [], Forest()
+        leaf, own, forest = None, [], new()
         stored = None
 
         def close():
             hi, lo = forest.edges()
             return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["a", "b"])
 
-        def link(a, b):
-            for i, j in near(a, b, radius):
-                x, y = a[i].view(np.int64), b[j].view(np.int64)
-                differ = x != y
-                forest.link(x[differ], y[differ])
-
         def settle():
             nonlocal stored
             if stored is None:
                 stored = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                link(stored, stored)
+                forest.meet(stored, stored)
 
         for b in batches:
             leaves, kinds = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -169,21 +204,24 @@ def _search(radius: int):
                     settle()
                     if len(forest.up) > 200_000:
                         yield close()
-                        forest = Forest()
+                        forest = new()
                     leaf, own, stored = leaves[part[0]], [], None
                 if kinds[part[0]] == 0:
                     own.append(fps[part])
                 else:
                     settle()
-                    link(fps[part], stored)
+                    forest.meet(fps[part], stored)
         settle()
         yield close()
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """a, b: a forest of links whose components are those of all pairs of distinct fp at most radius bits apart."""
+def links(nodes: DataFrame, radius: int = 2, sample: int = SAMPLE, apart: int | None = None) -> DataFrame:
+    """a, b: a forest of links whose components are those of all pairs of distinct fp at most radius bits apart.
+
+    With apart: pairs up to that many bits apart, of each fp and the nearest one in every leaf that the radius makes it visit.
+    """
     spark = nodes.sparkSession
     ship(spark)
     n, p = nodes.count(), partitions(spark)
@@ -216,7 +254,7 @@ def links(nodes: DataFrame, radius: int = 2, sample: int = SAMPLE) -> DataFrame:
 
     routed = nodes.select("fp").mapInArrow(route, "bin int, leaf int, kind byte, fp long")
     dealt = routed.repartitionById(p, F.col("bin")).sortWithinPartitions("leaf", "kind", "fp").select("leaf", "kind", "fp")
-    return dealt.mapInArrow(_search(radius), "a long, b long")
+    return dealt.mapInArrow(_search((lambda: Linked(radius)) if apart is None else (lambda: Nearest(apart))), "a long, b long")
 
 
 def near_components(stored: DataFrame, radius: int = 2) -> DataFrame:
@@ -243,10 +281,21 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     )
 
 
+def tree_pairs(stored: DataFrame, radius: int = 2, apart: int = APART) -> DataFrame:
+    """a, b of fp: the pairs of sets that the tree finds by their fingerprints (sim), sets of one fingerprint included."""
+    sets = checkpoint(stored.select("sim", "fp").distinct())
+    first = sets.groupBy("sim").agg(F.min("fp").alias("fp"))
+    found = materialize(links(checkpoint(first.select("sim").toDF("fp")), radius, apart=apart).distinct(), "tree")
+    ends = found.toDF("sim", "other").join(first.toDF("sim", "a"), "sim").select(F.col("other").alias("sim"), "a").join(first.toDF("sim", "b"), "sim").select("a", "b")
+    same = sets.join(first.toDF("sim", "a"), "sim").where("fp <> a").select("a", F.col("fp").alias("b"))
+    return ends.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """The documents, all columns, one (of the smallest identifier) for each group of near-duplicates.
 
-    With a similarity, texts link by the Jaccard similarity of their shingles, and radius isn't used.
+    With a similarity, texts link by the Jaccard similarity of their shingles: the tree, entered with the radius, finds pairs to verify, and
+    setjoin the rest.
     """
     rows = numbered(docs, doc_id)
     body = rows.select("id", "rid", F.col("whole").getField(text).cast("string").alias("body"))
@@ -255,6 +304,6 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         comps = near_components(stored, radius)
     else:
         stored = sets_of(body, "body", words, similarity)
-        comps = similar_components(body, stored, "body", words, similarity)
+        comps = similar_components(body, stored, "body", words, similarity, tree_pairs(stored, radius))
     kept = _by_component(stored.select("id", "rid", "fp"), comps).select(F.col("best.rid").alias("rid")).distinct()
     return without(rows, stored.select("rid").join(kept, "rid", "left_anti"))
