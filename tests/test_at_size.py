@@ -88,3 +88,22 @@ def test_violations_read_the_graph_once(spark):
     got = violations(Graph(nodes, edges_of(edge)))
     assert sorted(map(tuple, got.collect())) == [("missing dst", "imports|file:a|file:z", "file:z"), ("repeated edge", "imports|file:a|file:b", "2")]
     assert "ExistingRDD" not in plan(got)
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    from mapstone.operators import ancestry
+
+    bytes_of = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    log = spark.createDataFrame([(f"c{i}", i, [f"c{i + 1}"], ["t"] if i % 9 == 0 else [], "d") for i in range(200)], "sha string, pos long, parents array<string>, tags array<string>, date string")
+    h = ancestry.History(log)
+    got = h.reached(spark.createDataFrame([(1, "c0"), (2, "c150")], "key int, sha string"))
+    assert max(bytes_of(x) for x in (h.chains, h.links, got)) < 2**200
+    assert {(r.key, r.place) for r in got.collect()} == {(1, 0), (2, 150)}
+
+
+def test_a_checkpoint_without_estimate_keeps_rows_and_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(algo, "MOST_BYTES", 0)
+    df = spark.range(100).selectExpr("id % 7 AS a", "id AS b").repartition("a")
+    got, own = algo.checkpointed(df), df.checkpoint()
+    assert got.schema == df.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert plan(got.groupBy("a").count()).count("Exchange") == plan(own.groupBy("a").count()).count("Exchange")
