@@ -107,3 +107,12 @@ def test_a_checkpoint_without_estimate_keeps_rows_and_partitioning(spark, monkey
     got, own = algo.checkpointed(df), df.checkpoint()
     assert got.schema == df.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
     assert plan(got.groupBy("a").count()).count("Exchange") == plan(own.groupBy("a").count()).count("Exchange")
+
+
+def test_waypoints_of_a_long_line_have_a_bounded_estimate(spark):
+    from mapstone.operators import ancestry
+
+    log = spark.createDataFrame([(f"c{i}", i, [f"c{i + 1}"], ["t"] if i % 50 == 0 else [], "d") for i in range(200)], "sha string, pos long, parents array<string>, tags array<string>, date string")
+    got = ancestry.History(log).waypoints(spark.createDataFrame([(1, "c199", "c0", "base", "head")], "key int, base string, head string, base_label string, head_label string"), 7)
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**2000
+    assert [r.sha for r in got.orderBy("nth").collect()] == ["c199", "c150", "c100", "c50", "c0"]
