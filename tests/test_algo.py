@@ -54,6 +54,29 @@ def test_impact_stops_alike_at_any_size(spark, most):
         assert a == b
 
 
+@pytest.mark.parametrize("kernel", [algo.KERNEL_EDGES, 0])
+def test_impact_reaches_all_of_a_large_graph(spark, kernel, monkeypatch):
+    from mapstone.operators import views
+    from mapstone.schema import Graph
+
+    if not kernel:
+        monkeypatch.setattr(algo, "SENT_ROWS", 100)  # the first level is sent, the others are joined
+    nodes = spark.range(11_601).selectExpr("concat('f', id) AS id", "'file' AS kind", "concat('mod:', id % 2) AS parent").localCheckpoint()
+    edges = spark.range(1, 11_601).selectExpr("'imports' AS kind", "concat('f', id) AS src", "if(id <= 5800, 'f0', concat('f', id - 5800)) AS dst")
+    got = algo.impact_depths(nodes, edges, "f0", kernel_edges=kernel)
+    assert {(r.depth, r.truncated, r.n) for r in got.groupBy("depth", "truncated").agg(algo.F.count("*").alias("n")).collect()} == {(1, False, 5800), (2, False, 5800)}
+    monkeypatch.setattr(views, "impact_depths", lambda n, e, start: got)
+    assert sorted(map(tuple, views.impact_by_module(Graph(nodes, edges), "f0").collect())) == [("mod:0", 5800, 1), ("mod:1", 5800, 1)]
+
+
+@pytest.mark.parametrize("sent", [0, 3, 20_000])
+def test_levels_are_sent_or_joined_alike(spark, sent, monkeypatch):
+    monkeypatch.setattr(algo, "SENT_ROWS", sent)
+    nodes, edges = graph(spark, random_edges(5))
+    a, b = (sorted(map(tuple, algo.impact_depths(nodes, edges, "f0", kernel_edges=k).collect())) for k in (algo.KERNEL_EDGES, 0))
+    assert a == b and len(a) > 3
+
+
 def test_symbols_are_felt_in_their_file(spark):
     nodes = spark.createDataFrame([("sym:a#f", "symbol", "file:a"), ("file:a", "file", "mod:m"), ("file:b", "file", "mod:m")], "id string, kind string, parent string")
     edges = spark.createDataFrame([("imports", "file:b", "file:a")], "kind string, src string, dst string")
