@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flows
-from ..schema import Graph, violations
+from ..operators import build, flows
+from ..operators.algo import stored
+from ..schema import CHECKED_OF_EDGES, CHECKED_OF_NODES, violations_of
 from ..sources import config
 from . import adapters as A
 from .answers import module_answers as answers_of
@@ -21,11 +22,15 @@ from .queries import SUPPLY, query
 def graph_violations(spark, sf):
     """Of a damaged graph: Asia's files and modules are lost, files without lines hang below a package, Europe's modules are there twice."""
     g = A.supply_base(spark, sf)
-    asia = g.nodes.where("kind = 'module' AND layer = 'ASIA'").select(F.col("id").alias("m"))
-    nodes = g.nodes.withColumn("m", F.when(F.col("kind") == "module", F.col("id")).when(F.col("kind") == "file", F.col("parent")).otherwise("")).join(asia, "m", "left_anti").drop("m")
+    whole = stored(g.nodes.select(*CHECKED_OF_NODES, "layer"))  # made once: the damage and the dependencies read nodes many times
+    links = stored(g.edges.where("kind <> 'depends_on'").select(*CHECKED_OF_EDGES))
+    edges = links.unionByName(stored(build.depends_on(whole, links).select(*CHECKED_OF_EDGES)))
+    asia = whole.where("kind = 'module' AND layer = 'ASIA'").select(F.col("id").alias("m"))
+    nodes = whole.withColumn("m", F.when(F.col("kind") == "module", F.col("id")).when(F.col("kind") == "file", F.col("parent")).otherwise("")).join(asia, "m", "left_anti").drop("m")
     package = nodes.where("kind = 'extpkg'").agg(F.min("id").alias("p"))
     nodes = nodes.join(F.broadcast(package)).withColumn("parent", F.when((F.col("kind") == "file") & (F.col("loc") == 0), F.col("p")).otherwise(F.col("parent"))).drop("p")  # package is one row
-    return violations(Graph(nodes.unionByName(nodes.where("kind = 'module' AND layer = 'EUROPE'")), g.edges))
+    nodes = stored(nodes)
+    return violations_of(nodes.unionByName(nodes.where("kind = 'module' AND layer = 'EUROPE'")), edges)
 
 
 @query(f"""WITH RECURSIVE {DAG}, d AS (SELECT k, p FROM par WHERE p IS NOT NULL AND p % 97 <> 0), a AS (SELECT k FROM o WHERE k % 97 <> 0), l AS (SELECT DISTINCT k, p FROM par WHERE p IS NOT NULL AND k % 97 <> 0),

@@ -66,41 +66,44 @@ ENDS = {
 HOLDERS = {"file": "module", "symbol": "file", "entity": "file"}
 
 
+#: Columns that a check reads.
+CHECKED_OF_NODES = ("id", "kind", "parent", "fan_in", "fan_out", "rank", "loc", "columns")
+CHECKED_OF_EDGES = ("id", "kind", "src", "dst", "source", "confidence")
+
+
 def violations(graph: Graph) -> DataFrame:
     """what, id, detail of everything that is wrong with a graph, in one plan: unknown kinds, sources and confidences, negative metrics,
     repeated identities, parents and ends of edges that aren't there or are of the wrong kind, and tables whose foreign keys
     name no table. An empty result is a valid graph."""
     from .operators.algo import stored
 
-    # both are read many times
-    n, e = stored(graph.nodes.select("id", "kind", "parent", "fan_in", "fan_out", "rank", "loc", "columns")), stored(graph.edges.select("id", "kind", "src", "dst", "source", "confidence"))
-    kinds = n.select(F.col("id").alias("at"), F.col("kind").alias("is")).dropDuplicates(["at"])
+    return violations_of(stored(graph.nodes.select(*CHECKED_OF_NODES)), stored(graph.edges.select(*CHECKED_OF_EDGES)))  # both are read many times
+
+
+def violations_of(n: DataFrame, e: DataFrame) -> DataFrame:
+    """The same for nodes and edges (CHECKED_OF_NODES, CHECKED_OF_EDGES) that are stored already. Each of both is looked through once for
+    what a row shows alone, and all that names a node is joined with the nodes at once, so that the plan stays small."""
     same = e.groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("m")).where("m > 1").select("h")
     maybe = e.withColumn("h", F.xxhash64("id")).join(same, "h", "left_semi")  # hashes are shorter than identities; few repeat
-    told = lambda df, what, detail: df.select(F.lit(what).alias("what"), "id", F.expr(detail).cast("string").alias("detail"))
     allowed = lambda values: ", ".join(f"'{v}'" for v in values)
-    out = [
-        told(n.where(f"kind IS NULL OR kind NOT IN ({allowed(NODE_KINDS)})"), "node kind", "kind"),
-        told(n.where("fan_in < 0 OR fan_out < 0 OR rank < 0 OR loc < 0"), "negative metric", "NULL"),
-        told(n.groupBy("id").agg(F.count("*").alias("times")).where("times > 1"), "repeated node", "times"),
-        told(e.where(f"kind IS NULL OR kind NOT IN ({allowed(EDGE_KINDS)})"), "edge kind", "kind"),
-        told(e.where(f"source IS NULL OR source NOT IN ({allowed(EDGE_SOURCES)})"), "edge source", "source"),
-        told(e.where(f"confidence IS NULL OR confidence NOT IN ({allowed(CONFIDENCES)})"), "edge confidence", "confidence"),
-        told(maybe.groupBy("id").agg(F.count("*").alias("times")).where("times > 1"), "repeated edge", "times"),
-    ]
-    held = n.where("parent IS NOT NULL").select("id", "parent", F.create_map(*[F.lit(x) for kv in HOLDERS.items() for x in kv])[F.col("kind")].alias("wanted"))
-    held = held.join(kinds.withColumnRenamed("at", "parent"), "parent", "left")
-    out += [told(held.where("is IS NULL"), "missing parent", "parent"), told(held.where("is IS NOT NULL AND wanted IS NOT NULL AND is <> wanted"), "kind of parent", "is")]
-    for end, k in (("src", 0), ("dst", 1)):
-        wanted = F.create_map(*[F.lit(x) for kind, ends in ENDS.items() for x in (kind, ends[k] or "")])[F.col("kind")]
-        own = e.select("id", F.col(end).alias("at"), wanted.alias("wanted")).join(kinds, "at", "left")
-        out += [told(own.where("is IS NULL"), f"missing {end}", "at"), told(own.where("is IS NOT NULL AND wanted <> '' AND is <> wanted"), f"kind of {end}", "is")]
-    refs = n.where("kind = 'table'").select("id", F.explode("columns").alias("c")).where("c.fk_table IS NOT NULL").select("id", F.concat(F.lit("tbl:"), "c.fk_table").alias("at"))
-    out.append(told(refs.join(kinds, "at", "left_anti"), "missing referenced table", "at"))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
+    other = lambda column, values: f"{column} IS NULL OR {column} NOT IN ({allowed(values)})"
+    told = lambda what, when, detail: F.when(F.expr(when), F.struct(F.lit(what).alias("what"), F.expr(detail).cast("string").alias("detail")))
+    listed = lambda df, *found: df.select("id", F.explode(F.array_compact(F.array(*found))).alias("v")).select("v.what", "id", "v.detail")
+    again = lambda df, what: df.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select(F.lit(what).alias("what"), "id", F.col("times").cast("string").alias("detail"))
+    of = lambda found, kind: F.create_map(*[F.lit(x) for k, v in found.items() for x in (k, v)])[F.col(kind)]
+    # names of nodes: by whom, as what, and the kind that it must be of
+    held = n.where("parent IS NOT NULL").select("id", F.lit("parent").alias("role"), F.col("parent").alias("at"), of(HOLDERS, "kind").alias("wanted"))
+    ends = [F.struct(F.lit(end).alias("role"), F.col(end).alias("at"), of({kind: x[k] or "" for kind, x in ENDS.items()}, "kind").alias("wanted")) for k, end in enumerate(("src", "dst"))]
+    ends = e.select("id", F.explode(F.array(*ends)).alias("x")).select("id", "x.*")
+    refs = n.where("kind = 'table'").select("id", F.explode("columns").alias("c")).where("c.fk_table IS NOT NULL").select("id", F.lit("ref").alias("role"), F.concat(F.lit("tbl:"), "c.fk_table").alias("at"), F.lit(None).cast("string").alias("wanted"))
+    kinds = n.select(F.col("id").alias("at"), F.col("kind").alias("is"), F.lit(True).alias("there")).dropDuplicates(["at"])
+    named = held.unionByName(ends).unionByName(refs).join(kinds, "at", "left")
+    wrong = F.expr("if(role = 'ref', there IS NULL, is IS NULL)")
+    named = named.where(wrong | F.expr("wanted <> '' AND is <> wanted"))
+    named = named.select(F.when(wrong, F.expr("if(role = 'ref', 'missing referenced table', concat('missing ', role))")).otherwise(F.concat(F.lit("kind of "), "role")).alias("what"), "id", F.when(wrong, F.col("at")).otherwise(F.col("is")).alias("detail"))
+    found = listed(n, told("node kind", other("kind", NODE_KINDS), "kind"), told("negative metric", "fan_in < 0 OR fan_out < 0 OR rank < 0 OR loc < 0", "NULL"))
+    found = found.unionByName(listed(e, told("edge kind", other("kind", EDGE_KINDS), "kind"), told("edge source", other("source", EDGE_SOURCES), "source"), told("edge confidence", other("confidence", CONFIDENCES), "confidence")))
+    return found.unionByName(again(n, "repeated node")).unionByName(again(maybe, "repeated edge")).unionByName(named)
 
 
 def validate(graph: Graph) -> None:

@@ -116,3 +116,14 @@ def test_waypoints_of_a_long_line_have_a_bounded_estimate(spark):
     got = ancestry.History(log).waypoints(spark.createDataFrame([(1, "c199", "c0", "base", "head")], "key int, base string, head string, base_label string, head_label string"), 7)
     assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**2000
     assert [r.sha for r in got.orderBy("nth").collect()] == ["c199", "c150", "c100", "c50", "c0"]
+
+
+def test_violations_join_all_names_of_nodes_at_once(spark):
+    from mapstone.schema import Graph, edges_of, nodes_of, violations
+
+    nodes = nodes_of(spark.createDataFrame([("file:a", "file", "mod:m"), ("mod:m", "module", None), ("file:b", "file", "file:a"), ("file:c", "file", "gone")], "id string, kind string, parent string"))
+    edge = spark.createDataFrame([("imports", "file:a", "mod:m", "static", "certain"), ("imports", "file:a", "file:z", "static", None)], "kind string, src string, dst string, source string, confidence string")
+    got = violations(Graph(nodes, edges_of(edge)))
+    want = [("edge confidence", "imports|file:a|file:z", None), ("kind of dst", "imports|file:a|mod:m", "module"), ("kind of parent", "file:b", "file"), ("missing dst", "imports|file:a|file:z", "file:z"), ("missing parent", "file:c", "gone")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 1
