@@ -338,16 +338,21 @@ def _counted(corpus: DataFrame, wave: Wave, size: int, slots, kind: str = "<i8",
     def run(batches):
         from pyspark import TaskContext
 
-        w, total = sent.value, np.zeros(size, kind)
+        w, total, held, n = sent.value, np.zeros(size, kind), [], 0
         for b in batches:
             for c in b.column("codes"):
                 s = slots(w, np.frombuffer(c.as_buffer(), "<i4").astype(np.int64))
-                if most is None:
-                    total += np.bincount(s, minlength=size)
+                if most is None:  # as many are held as there are counters, so that passes over all counters cost no more than the words
+                    held, n = [*held, s], n + len(s)
+                    if n >= size:
+                        total += np.bincount(np.concatenate(held), minlength=size)
+                        held, n = [], 0
                 else:  # few of many counters, cut off
                     s.sort()
                     at = np.flatnonzero(np.diff(s, prepend=-1))
                     total[s[at]] = np.minimum(total[s[at]] + np.diff(at, append=len(s)), most)
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size)
         yield from _blocks(total, TaskContext.get().partitionId(), kind)
 
     out = materialize(tree_sum(corpus.mapInArrow(lean(run), COUNTS), corpus.rdd.getNumPartitions(), kind, most), "counts")
@@ -381,6 +386,20 @@ def _sieve(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
     return out
 
 
+def united(arrays) -> np.ndarray:
+    """The union of sorted arrays. Each is united with those of about its own length, so that a key is sorted again as often as that
+    length doubles, not once for each array that comes."""
+    stack: list[np.ndarray] = []
+    for x in arrays:
+        while stack and len(stack[-1]) <= 2 * len(x):
+            x = np.union1d(stack.pop(), x)
+        stack.append(x)
+    out = np.zeros(0, np.int64)
+    while stack:
+        out = np.union1d(stack.pop(), out)
+    return out
+
+
 def _candidates(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
     """The different keys that pass the sieve, sorted. Each task finds its own; sorted arrays of them, by blocks of their hashes, are
     united in a tree, RADIX at a time."""
@@ -390,10 +409,7 @@ def _candidates(corpus: DataFrame, wave: Wave, k: int) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        seen = np.zeros(0, np.int64)
-        for b in batches:
-            for c in b.column("codes"):
-                seen = np.union1d(seen, sent.value.passing(np.frombuffer(c.as_buffer(), "<i4").astype(np.int64), k)[1])
+        seen = united(np.unique(sent.value.passing(np.frombuffer(c.as_buffer(), "<i4").astype(np.int64), k)[1]) for b in batches for c in b.column("codes"))
         of = (mixed(seen, 3) % np.uint64(KEY_BLOCKS)).astype(np.int64)
         for block in np.unique(of).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen[of == block].tobytes()], pa.binary())], names=["block", "part", "keys"])

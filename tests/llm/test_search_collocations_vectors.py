@@ -199,3 +199,16 @@ def test_vector_packing_of_answers(spark, cut):
     assert sum(r.length for r in rows) == sum(size(x) + size(told.get((c, t - 1))) + 1 for c, t, who, x in talk if who == "assistant")
     if not cut:
         assert all(r.length == r.doc_tokens for r in rows if r.doc_tokens < 100)
+
+
+def test_keys_are_not_sorted_again_for_each_array(monkeypatch):
+    import numpy as np
+    from mapstone.llm import collocations as C
+
+    r, work, own = np.random.default_rng(5), [], np.union1d
+    arrays = [np.unique(r.integers(0, 1 << 40, 100)) for _ in range(256)] + [np.zeros(0, np.int64), np.array([-5, 7])]
+    monkeypatch.setattr(np, "union1d", lambda a, b: work.append(len(a) + len(b)) or own(a, b))
+    got = C.united(iter(arrays))
+    assert got.tolist() == sorted({x for a in arrays for x in a.tolist()}) and got.dtype == np.int64
+    assert sum(work) < 20 * sum(map(len, arrays))  # one by one it were 129 times
+    assert C.united([]).tolist() == []
